@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.session import read_table
 
-from . import bpe, langid, secrets
+from . import bpe, langid, minhash, secrets
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,10 +41,15 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), minhash.Params(words=2))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_secret_scan": op8_secret_scan,
+    "op9_minhash": op9_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}

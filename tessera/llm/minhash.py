@@ -125,15 +125,21 @@ def _near(p: Params):
     return sum((F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k])) for k in range(1, words)), F.bit_count(F.col("sa")[0].bitwiseXOR(F.col("sb")[0]))) <= p.most_bits()
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of the similarity asked for, by their full sets (only the texts in pairs are read again)."""
-    wanted = pairs.selectExpr("a AS id").union(pairs.selectExpr("b AS id")).distinct()
+def _sets(docs: DataFrame, wanted: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:
+    """(id, s: the hashes of its full set) of the ids wanted."""
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict[bytes, int] = {}
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "s": [shingle_set(t, p.words, cache).tobytes() for t in batch["text"]]})
 
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return texts.join(wanted.hint("merge"), "id").mapInPandas(run, "id long, s binary").dropDuplicates(["id"])
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+    """The pairs (a, b) of the similarity asked for, by their full sets."""
+
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keep = []
@@ -143,10 +149,15 @@ def _confirm(pairs: DataFrame, docs: DataFrame, p: Params, id_col: str, text_col
                 keep.append(100 * both >= p.percent * (len(x) + len(y) - both))
             yield batch.loc[keep, ["a", "b"]]
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id")
-    have = stored(texts.mapInPandas(sets, "id long, s binary").dropDuplicates(["id"]), "near-sets")
-    with_x = pairs.join(have.selectExpr("id AS a", "s AS x"), "a")
-    return with_x.join(have.selectExpr("id AS b", "s AS y"), "b").select("a", "b", "x", "y").mapInPandas(verify, "a long, b long")
+    with_x = pairs.join(sets.selectExpr("id AS a", "s AS x"), "a")
+    return with_x.join(sets.selectExpr("id AS b", "s AS y"), "b").select("a", "b", "x", "y").mapInPandas(verify, "a long, b long")
+
+
+def _sifted(pairs: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
+    """The pairs whose sketches allow the similarity, smaller id first, each once."""
+    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    with_a = ordered.join(reps.selectExpr("id AS a", "sketch AS sa"), "a")
+    return with_a.join(reps.selectExpr("id AS b", "sketch AS sb"), "b").where(_near(p)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,41 +175,55 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
     some = marks.where("n > 0 AND id IS NOT NULL")
     classes = stored(some.groupBy("digest").agg(F.min("id").alias("rep")), "near-classes")
     own = stored(some.select("id", "digest").join(classes, "digest").select("id", "rep"), "near-own")
-    reps = some.join(classes, "digest").where("id = rep")
-    # rows that repeat an id stay apart as classes, and are joined by links of their own
-    band_rows = stored(reps.select("id", F.explode("bands").alias("bucket"), "sketch"), "near-bands")
-    shared = stored(band_rows.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last"), "near-buckets")
+    reps = stored(some.join(classes, "digest").where("id = rep").select("id", "bands", "sketch").dropDuplicates(["id"]), "near-reps")
+    band_rows = reps.select("id", F.explode("bands").alias("bucket"))
+    shared = stored(band_rows.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("size")).where("size > 1"), "near-buckets")
     members = stored(band_rows.join(shared, "bucket"), "near-members")
-    sketch_of = stored(members.groupBy("id").agg(F.first("sketch").alias("sketch")), "near-sketches")
-    led = members.selectExpr("leader AS a", "id AS b", "sketch AS sb").union(members.selectExpr("last AS a", "id AS b", "sketch AS sb")).where("a <> b").dropDuplicates(["a", "b"])
-    pairs = stored(led.join(sketch_of.selectExpr("id AS a", "sketch AS sa"), "a").where(_near(p)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
-    same = own.where("id <> rep").selectExpr("rep AS a", "id AS b")
-    links = stored(_confirm(pairs, docs, p, id_col, text_col), "near-links")
+    sets = stored(_sets(docs, members.select("id").distinct(), p, id_col, text_col), "near-sets")
+
+    # first round: each class with the smallest leader of its buckets, and with that of its largest bucket
+    led = members.groupBy("id").agg(F.array(F.min("leader"), F.max_by("leader", F.struct("size", "leader"))).alias("leaders"))
+    pairs = led.select(F.explode("leaders").alias("a"), F.col("id").alias("b"))
+    links = stored(_confirm(_sifted(pairs, reps, p), sets, p), "near-links")
     found = components(links)
-    # second round: classes that share a bucket and are still apart
-    labelled = stored(members.select("bucket", "id", "sketch").join(found.selectExpr("node AS id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id")), "near-labelled")
-    parts = labelled.groupBy("bucket", "component").count()
-    mixed = stored(
-        parts.groupBy("bucket").agg(F.count("*").alias("n_parts"), F.sum("count").alias("size"), F.max(F.struct("count", "component")).alias("most")).where("n_parts > 1").selectExpr("bucket", "size", "most.component AS main"),
-        "near-mixed",
-    )
-    apart = labelled.join(mixed, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    theirs = apart.selectExpr("bucket", "pmod(xxhash64(id), blocks) AS block", "id AS b", "component AS cb", "main AS m", "sketch AS sb")
-    minor = apart.where("component <> main").selectExpr("bucket", "explode(sequence(0L, blocks - 1L)) AS block", "id AS a", "component AS ca", "sketch AS sa")
-    # pairs of two minor parts come from both sides; keep the ordered one
-    late = minor.join(theirs, ["bucket", "block"]).where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("m")) | (F.col("a") < F.col("b")))).where(_near(p))
-    more = stored(late.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "near-pairs")
-    if not is_empty(more):
-        links = stored(links.union(_confirm(more, docs, p, id_col, text_col)), "near-links")
+
+    def apart(found: DataFrame, round_: int) -> tuple[DataFrame, DataFrame]:
+        """The buckets whose members are in several components, their largest one and their members."""
+        labelled = stored(members.select("bucket", "id").join(found.selectExpr("node AS id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id")), f"near-labelled{round_}")
+        parts = labelled.groupBy("bucket", "component").agg(F.count("*").alias("k"), F.min_by("id", F.xxhash64("id", F.lit(round_))).alias("one"))
+        whole = parts.groupBy("bucket").agg(F.count("*").alias("n_parts"), F.sum("k").alias("size"), F.max(F.struct("k", "component", "one")).alias("most")).where("n_parts > 1")
+        mixed = stored(whole.selectExpr("bucket", "size", "most.component AS main", "most.one AS one"), f"near-mixed{round_}")
+        return mixed, labelled.join(mixed, "bucket")
+
+    # then each class outside its bucket's main component with some member of that, another one each round
+    for round_ in (1, 2):
+        mixed, rows = apart(found, round_)
+        if is_empty(mixed):
+            break
+        one = rows.where("component <> main").groupBy("id").agg(F.min_by("one", F.xxhash64("bucket", F.lit(round_))).alias("a"))
+        links = stored(links.union(_confirm(_sifted(one.selectExpr("a", "id AS b"), reps, p), sets, p)), "near-links")
+        found = components(links)
+
+    # last round: all that share a bucket and are still apart, in blocks; a pair counts in its first common bucket
+    mixed, rows = apart(found, 3)
+    if not is_empty(mixed):
+        rows = stored(rows.join(reps, "id").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), "near-apart")
+        theirs = rows.selectExpr("bucket", "pmod(xxhash64(id), blocks) AS block", "id AS b", "component AS cb", "main AS m", "sketch AS sb", "bands AS bb")
+        minor = rows.where("component <> main").selectExpr("bucket", "explode(sequence(0L, blocks - 1L)) AS block", "id AS a", "component AS ca", "sketch AS sa", "bands AS ba")
+        # pairs of two minor parts come from both sides; keep the ordered one
+        differ = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("m")) | (F.col("a") < F.col("b")))
+        late = minor.join(theirs, ["bucket", "block"]).where(differ & _near(p) & F.expr("bucket = array_intersect(ba, bb)[0]"))
+        more = late.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        links = stored(links.union(_confirm(more, sets, p)), "near-links")
         found = components(links)
+
     # components of classes, and then of ids: an id that is in two classes joins them
     split = own.groupBy("id").agg(F.countDistinct("rep").alias("k")).where("k > 1")
-    if not is_empty(split):
-        found = components(links.union(same).distinct())
-        whole = found.selectExpr("node AS id", "component")
-        component = own.select("id").distinct().join(whole, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    else:
+    if is_empty(split):
         component = own.join(found.selectExpr("node AS rep", "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component")).distinct()
+    else:
+        found = components(links.union(own.where("id <> rep").selectExpr("rep AS a", "id AS b")).distinct())
+        component = own.select("id").distinct().join(found.selectExpr("node AS id", "component"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     component = stored(component, "near-component")
     out = marks.select("id", "n").join(component, "id", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"))

@@ -8,7 +8,27 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.session import read_table
 
-from . import bpe, langid, minhash, secrets, substrings
+from . import bpe, iblt, langid, minhash, secrets, substrings, warc
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.archive_folder(spark, "archive")
+    warc.write_archive(read_table(spark, sf_dir, "pages"), folder, "page_id", "url", "html")
+    return warc.read_archive(spark, folder).selectExpr("record_id AS page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+o AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS owner FROM p),
+r AS (SELECT *, strlen(html) >= 1000 AND owner IS NOT NULL AND (page_id IS NULL OR page_id < owner) AS again FROM o)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN owner END AS refers_to
+FROM r
+"""
+
+
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.edited_fingerprints(read_table(spark, sf_dir, "documents"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +70,8 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
+    "op3_fingerprints": op3_fingerprints,
     "op5_language_id": op5_language_id,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_byte_bpe": op7_byte_bpe,
@@ -57,4 +79,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash": op9_minhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL}

@@ -49,7 +49,7 @@ def _fold(entries: Column) -> Column:
         both = F.struct(x["c"].alias("c"), (last["n"] + x["n"]).alias("n"), last["k"].bitwiseXOR(x["k"]).alias("k"), last["h"].bitwiseXOR(x["h"]).alias("h"))
         return F.when((F.size(done) > 0) & (F.get(done, F.size(done) - 1)["c"] == x["c"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(both))).otherwise(F.concat(done, F.array(x)))
 
-    cells = F.aggregate(F.array_sort(entries), F.array().cast(_CELL), add)
+    cells = F.aggregate(F.sort_array(entries), F.array().cast(_CELL), add)
     return F.filter(cells, lambda x: (x["n"] != 0) | (x["k"] != 0) | (x["h"] != 0))
 
 
@@ -88,7 +88,7 @@ def difference(a: Column, b: Column, fa: Column, fb: Column) -> Column:
     """The digests that differ, from the first sketches; on failure from larger ones; at the last from the digests."""
 
     def larger(factor: int, seed: int) -> Column:
-        size = (F.ceil((F.size(a) + F.size(b)) * factor / 2) * 3 + 3 * CELLS).cast("int")
+        size = (F.ceil((F.size(a) + F.size(b)) * factor / 2) * 3 + 12).cast("int")
         return peel(subtract(sketch(a, size, seed), sketch(b, size, seed)), size, seed)
 
     exact = F.struct(F.array_except(a, b).alias("plus"), F.array_except(b, a).alias("minus"))

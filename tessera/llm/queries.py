@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.session import read_table
 
-from . import bpe, iblt, langid, minhash, secrets, substrings, warc
+from . import bpe, decontam, iblt, langid, minhash, pii, quality, secrets, substrings, warc
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,10 +27,18 @@ FROM r
 """
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.edited_fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_entities(read_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs.where(~langid.held_out()))
@@ -69,14 +77,21 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), minhash.Params(words=2))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_decontamination": op2_decontamination,
     "op3_fingerprints": op3_fingerprints,
+    "op4_pii": op4_pii,
     "op5_language_id": op5_language_id,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_secret_scan": op8_secret_scan,
     "op9_minhash": op9_minhash,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL}

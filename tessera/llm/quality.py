@@ -45,7 +45,7 @@ def estimate(patterns: dict[str, int], rounds: int = 100, floor: float = 1e-3) -
     """The posterior of good for each vote pattern, and each labeller's accuracy, by EM.
 
     Labellers are independent given the class; a vote's chances given the class are smoothed, and
-    no opinion says nothing. It starts from the majority of the votes. The input is the count of each pattern, at most
+    no opinion says nothing. It starts from the guess that any objection is right. The input is the count of each pattern, at most
     3 ** labellers of them, whatever the number of documents.
     """
     if not patterns:
@@ -53,8 +53,7 @@ def estimate(patterns: dict[str, int], rounds: int = 100, floor: float = 1e-3) -
     names = sorted(patterns)
     weight = np.array([patterns[p] for p in names], dtype=float)
     marks = np.array([["-0+".index(c) for c in p] for p in names])
-    score = (marks - 1).sum(axis=1)
-    good = np.where(score > 0, 0.9, np.where(score < 0, 0.1, 0.5))
+    good = np.where((marks == 0).any(axis=1), 0.1, np.where((marks == 2).any(axis=1), 0.9, 0.5))
     right = np.zeros((2, marks.shape[1]))  # the chance of + given bad, and given good
     voted = marks != 1
     for _ in range(rounds):

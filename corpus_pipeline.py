@@ -11,9 +11,7 @@ from tessera.session import read_table, stored
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language model rejects go."""
-    predicted = langid.predict(docs, langid.fit(docs))
-    away = predicted.where("rejected").select("doc_id").distinct()
-    return docs.join(away, "doc_id", "left_anti")
+    return langid.accepted(docs, langid.fit(docs))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,9 +21,10 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    away = decontam.contaminated(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id")
-    return docs.join(away, "doc_id", "left_anti")
+    """Documents that hold a benchmark item go, told by their text, so that documents without an id are judged too."""
+    texts = docs.select(F.sha2("text", 256).alias("doc_id"), "text")
+    away = decontam.contaminated(texts, read_table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("away"))
+    return docs.join(away, F.sha2(docs["text"], 256) == F.col("away"), "left_anti")
 
 
 def replace_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,6 +29,8 @@ def typed_words(text: Column) -> Column:
     t = F.regexp_replace(clean, r"(?<![\p{L}\p{N}])(\d+(?:[.,]\d+)*)", f"{NUMBER}$1")
     t = F.regexp_replace(t, rf"(?<=\d ?)({UNITS})(?![\p{{L}}\p{{N}}])", f" {UNIT}$1")
     t = F.regexp_replace(t, r"(?<=[\p{Ll},;] )(\p{Lu}\p{Ll}+)(?![\p{L}])", f"{NAME}$1")
+    t = F.regexp_replace(t, r"(?<=\d),(?=\d{3}(?!\d))", "")  # 1,000 is 1000, and a fraction stays in its number's word
+    t = F.regexp_replace(t, r"(?<=\d)[.,](?=\d)", "p")
     t = F.trim(F.regexp_replace(F.lower(t), "[^\\p{L}\\p{N}\u0001-\u0003]+", " "))
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
 
@@ -51,6 +53,12 @@ def _literal(words: Column) -> Column:
     return F.filter(F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0))), lambda i: F.size(F.filter(F.slice(words, i + 1, WINDOW), lambda w: w >= "\u0004")) >= 3)
 
 
+def _runs(words: Column, n: int) -> Column:
+    """struct(pos, hash) of each run of n words, of texts with more than n."""
+    one = lambda i: F.struct(i.cast("int").alias("pos"), F.xxhash64(F.array_join(F.slice(words, i + 1, n), " ")).alias("hash"))
+    return F.when(F.size(words) > n, F.transform(F.sequence(F.lit(0), F.size(words) - n), one)).otherwise(F.array().cast("array<struct<pos:int,hash:bigint>>"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document that holds a benchmark item: id_col, n_items, items (sorted), coverage (the largest).
 
@@ -68,11 +76,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     sizes = [r["n"] for r in item.where("short").select(F.size("raw").alias("n")).distinct().orderBy("n").collect()]  # fewer than WINDOW values
     words = docs.select(F.col(id_col).alias("id"), typed_words(F.col(text_col)).alias("raw"))
     tpl = words.select("id", F.xxhash64(F.array_join("raw", " ")).alias("key"), template(F.col("raw")).alias("tpl"))
-    placed = tpl.select("id", "key", F.posexplode(windows(F.col("tpl"))).alias("pos", "hash"))
-    for n in sizes:
-        run = lambda i, n=n: F.xxhash64(F.array_join(F.slice("tpl", i + 1, n), " "))
-        more = tpl.where(F.size("tpl") > n).select("id", "key", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("tpl") - n), run)).alias("pos", "hash"))
-        placed = placed.union(more)
+    found = [F.transform(windows(F.col("tpl")), lambda h, i: F.struct(i.alias("pos"), h.alias("hash")))] + [_runs(F.col("tpl"), n) for n in sizes]
+    placed = tpl.select("id", "key", F.inline(F.concat(*found)))
     hits = placed.join(F.broadcast(item_windows) if few else item_windows, "hash")
     runs = hits.groupBy("id", "key", "item", (F.col("pos") - F.col("at")).alias("shift")).agg(F.countDistinct("at").alias("n"), F.max("n_windows").alias("n_windows"), F.min("at").alias("first"), F.max("at").alias("last"))
     runs = stored(runs.where((F.col("n") >= SHARE * F.col("n_windows")) | (F.col("n") >= ENOUGH)), "decon-runs")

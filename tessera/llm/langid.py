@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 UNKNOWN = "und"
@@ -99,6 +100,23 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per
     return Model(names, all_centres, idf, float(slack * own.min()))
 
 
+def judge(texts: list[str | None], m: Model) -> tuple[list[str], list[float], list[bool]]:
+    """Language, score and rejection of each text."""
+    bits = m.centroids.shape[1].bit_length() - 1
+    langs, scores, rejected = [], [], []
+    for k in range(0, len(texts), 256):
+        made = [counts(t, bits) for t in texts[k : k + 256]]
+        known = [i for i, x in enumerate(made) if x is not None and len(m.langs)]
+        cosines = weigh(np.stack([made[i] for i in known]), m.idf) @ m.centroids.T if known else np.zeros((0, 1))
+        best = dict(zip(known, cosines.argmax(axis=1), strict=True))
+        top = dict(zip(known, cosines.max(axis=1), strict=True))
+        for i in range(len(made)):
+            langs.append(m.langs[best[i]] if i in best else UNKNOWN)
+            scores.append(float(min(1.0, max(0.0, top[i]))) if i in top else 0.0)
+            rejected.append(bool(i not in top or top[i] < m.floor))
+    return langs, scores, rejected
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, lang_pred, score, rejected) of every row, from its whole text alone.
 
@@ -110,20 +128,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        bits = m.centroids.shape[1].bit_length() - 1
         for batch in batches:
-            langs, scores, rejected = [], [], []
-            for k in range(0, len(batch), 256):
-                made = [counts(t, bits) for t in batch["text"].iloc[k : k + 256]]
-                known = [i for i, x in enumerate(made) if x is not None and len(m.langs)]
-                cosines = weigh(np.stack([made[i] for i in known]), m.idf) @ m.centroids.T if known else np.zeros((0, 1))
-                best = dict(zip(known, cosines.argmax(axis=1), strict=True))
-                top = dict(zip(known, cosines.max(axis=1), strict=True))
-                for i in range(len(made)):
-                    langs.append(m.langs[best[i]] if i in best else UNKNOWN)
-                    scores.append(float(min(1.0, max(0.0, top[i]))) if i in top else 0.0)
-                    rejected.append(i not in top or top[i] < m.floor)
+            langs, scores, rejected = judge(batch["text"].tolist(), shared.value)
             yield pd.DataFrame({"id": batch["id"], "lang_pred": langs, "score": scores, "rejected": rejected})
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -131,6 +137,17 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return out.withColumnRenamed("id", id_col)
 
 
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose text is not rejected; nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not x for x in judge(batch.column(text_col).to_pylist(), shared.value)[2]], type=pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """The fold that the query must not learn from: crc32 of the id as text, modulo 3, is 1."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))

@@ -26,9 +26,9 @@ NUMBER, UNIT, NAME = "\u0001", "\u0002", "\u0003"
 def typed_words(text: Column) -> Column:
     """The words of a text, lower-cased, without punctuation, each placeholder's value behind its mark."""
     clean = F.regexp_replace(F.coalesce(text, F.lit("")), "[\u0001-\u0003]", " ")
-    t = F.regexp_replace(clean, r"(?<![\p{L}\p{N}])(\d+(?:[.,]\d+)*)", f"{NUMBER}$1")
-    t = F.regexp_replace(t, rf"(?<=\d ?)({UNITS})(?![\p{{L}}\p{{N}}])", f" {UNIT}$1")
-    t = F.regexp_replace(t, r"(?<=[\p{Ll},;] )(\p{Lu}\p{Ll}+)(?![\p{L}])", f"{NAME}$1")
+    t = F.regexp_replace(clean, r"(?=\d)(?<![\p{L}\p{N}])(\d+(?:[.,]\d+)*)", f"{NUMBER}$1")
+    t = F.regexp_replace(t, rf"(\d) ?({UNITS})(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2")
+    t = F.regexp_replace(t, r"(?=\p{Lu})(?<=[\p{Ll},;] )(\p{Lu}\p{Ll}+)(?![\p{L}])", f"{NAME}$1")
     t = F.regexp_replace(t, r"(?<=\d),(?=\d{3}(?!\d))", "")  # 1,000 is 1000, and a fraction stays in its number's word
     t = F.regexp_replace(t, r"(?<=\d)[.,](?=\d)", "p")
     t = F.trim(F.regexp_replace(F.lower(t), "[^\\p{L}\\p{N}\u0001-\u0003]+", " "))
@@ -42,8 +42,7 @@ def template(words: Column) -> Column:
 def windows(words: Column) -> Column:
     """The hash of each window of template words; placeholders alone make no window (null)."""
     n = F.size(words)
-    joined = lambda i: F.array_join(F.slice(words, i + 1, WINDOW), " ")
-    one = lambda i: F.xxhash64(joined(i))
+    one = lambda i: F.xxhash64(F.slice(words, i + 1, WINDOW))
     return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0))), one))
 
 
@@ -55,7 +54,7 @@ def _literal(words: Column) -> Column:
 
 def _runs(words: Column, n: int) -> Column:
     """struct(pos, hash) of each run of n words, of texts with more than n."""
-    one = lambda i: F.struct(i.cast("int").alias("pos"), F.xxhash64(F.array_join(F.slice(words, i + 1, n), " ")).alias("hash"))
+    one = lambda i: F.struct(i.cast("int").alias("pos"), F.xxhash64(F.slice(words, i + 1, n)).alias("hash"))
     return F.when(F.size(words) > n, F.transform(F.sequence(F.lit(0), F.size(words) - n), one)).otherwise(F.array().cast("array<struct<pos:int,hash:bigint>>"))
 
 
@@ -74,16 +73,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     # short items have windows of their own length, looked up among the runs of as many words
     few = item_windows.count() <= BROADCAST_WINDOWS
     sizes = [r["n"] for r in item.where("short").select(F.size("raw").alias("n")).distinct().orderBy("n").collect()]  # fewer than WINDOW values
-    words = docs.select(F.col(id_col).alias("id"), typed_words(F.col(text_col)).alias("raw"))
-    tpl = words.select("id", F.xxhash64(F.array_join("raw", " ")).alias("key"), template(F.col("raw")).alias("tpl"))
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    tpl = texts.select("id", "key", template(typed_words(F.col("text"))).alias("tpl"))
     found = [F.transform(windows(F.col("tpl")), lambda h, i: F.struct(i.alias("pos"), h.alias("hash")))] + [_runs(F.col("tpl"), n) for n in sizes]
     placed = tpl.select("id", "key", F.inline(F.concat(*found)))
     hits = placed.join(F.broadcast(item_windows) if few else item_windows, "hash")
     runs = hits.groupBy("id", "key", "item", (F.col("pos") - F.col("at")).alias("shift")).agg(F.countDistinct("at").alias("n"), F.max("n_windows").alias("n_windows"), F.min("at").alias("first"), F.max("at").alias("last"))
     runs = stored(runs.where((F.col("n") >= SHARE * F.col("n_windows")) | (F.col("n") >= ENOUGH)), "decon-runs")
     # slots of the aligned words, for the documents with runs only
-    texts = words.select("id", F.xxhash64(F.array_join("raw", " ")).alias("key"), "raw").join(runs.select("key").distinct(), "key", "left_semi").select("key", "raw").dropDuplicates(["key"])
-    both = runs.join(texts, "key").join(item.select("item", F.col("raw").alias("own"), "tpl"), "item")
+    held = stored(texts.select("key", "text").join(runs.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "decon-held")
+    both = runs.join(held.select("key", typed_words(F.col("text")).alias("raw")), "key").join(item.select("item", F.col("raw").alias("own"), "tpl"), "item")
     span = F.sequence(F.col("first"), F.least(F.col("last") + WINDOW, F.size("own")) - 1)
     slots = F.array_distinct(F.transform(F.filter(span, lambda i: F.get("tpl", i) < "\u0004"), lambda i: F.struct(F.get("own", i).alias("a"), F.get("raw", i + F.col("shift")).alias("b"))))
     each = lambda f: F.size(F.array_distinct(F.transform("slots", lambda s: s[f]))) == F.size("slots")

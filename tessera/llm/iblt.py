@@ -42,15 +42,18 @@ def _entries(key: Column, n: Column, third: Column, seed: int) -> Column:
 
 
 def _fold(entries: Column) -> Column:
-    """Entries by cell, those of a cell added up; cells that come to nothing go."""
+    """Entries by cell, those of a cell added up; cells that come to nothing go. In time of a sort: each cell's entries are one slice."""
 
     def add(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        both = F.struct(x["c"].alias("c"), (last["n"] + x["n"]).alias("n"), last["k"].bitwiseXOR(x["k"]).alias("k"), last["h"].bitwiseXOR(x["h"]).alias("h"))
-        return F.when((F.size(done) > 0) & (F.get(done, F.size(done) - 1)["c"] == x["c"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(both))).otherwise(F.concat(done, F.array(x)))
+        return F.struct(x["c"].alias("c"), (done["n"] + x["n"]).alias("n"), done["k"].bitwiseXOR(x["k"]).alias("k"), done["h"].bitwiseXOR(x["h"]).alias("h"))
 
-    cells = F.aggregate(F.sort_array(entries), F.array().cast(_CELL), add)
-    return F.filter(cells, lambda x: (x["n"] != 0) | (x["k"] != 0) | (x["h"] != 0))
+    def by_cell(e: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(e) - 1, F.lit(0))), lambda i: (F.size(e) > 0) & ((i == 0) | (F.get(e, i)["c"] != F.get(e, i - 1)["c"])))
+        zero = F.struct(F.lit(-1).alias("c"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
+        one = lambda s: F.transform(s, lambda at, j: F.aggregate(F.slice(e, at + 1, F.coalesce(F.get(s, j + 1), F.size(e)) - at), zero, add))
+        return _let(starts, one)
+
+    return F.filter(_let(F.sort_array(entries), by_cell), lambda x: (x["n"] != 0) | (x["k"] != 0) | (x["h"] != 0))
 
 
 def sketch(digests: Column, cells: Column, seed: int = 0) -> Column:

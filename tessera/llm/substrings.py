@@ -1,11 +1,12 @@
 """Removal of repeated substrings, across all documents, by suffix arrays of shards.
 
 Every string of ``length`` bytes (a window) has an anchor: the leftmost of its 32-byte grams of
-smallest hash. Equal windows have equal anchors, at the same offset; so the windows of one
-anchor, a segment of the text, need comparing only with segments whose anchor has the same
-hash. Those are brought together, copies of a whole segment are counted and not moved, and the
-distinct segments become shards whose suffix arrays show which windows start elsewhere too.
-An anchor shared by very many distinct segments (a common passage in many surroundings) would be
+smallest hash. Equal windows have equal anchors, at the same offset. The windows of one anchor
+make two segments, those that begin in the further and in the nearer half of the offsets. All
+windows of a segment share a core of over half their length, so a segment needs comparing only
+with those of equal core. Those are brought together, copies of a whole segment are counted and
+not moved, and the distinct segments become shards whose suffix arrays show which windows start
+elsewhere too. A core shared by very many distinct segments (a common passage in many surroundings) would be
 one large shard; its segments are divided into ranges of windows that are counted by digests of
 what all windows of the range have in common, ever narrower, down to single windows.
 """
@@ -27,11 +28,11 @@ from .suffixes import repeated_starts
 GRAM = 32
 #: Text positions that are hashed together; a position must fit 24 bits.
 PIECE = 1 << 22
-#: Distinct segments of one anchor that go into a shard; more are counted by digests.
+#: Distinct segments of one core that go into a shard; more are counted by digests.
 MOST = 400
-#: Bytes of a suffix-array shard beyond which it takes no further anchor.
+#: Bytes of a suffix-array shard beyond which it takes no further core.
 SHARD = 1 << 18
-#: Widths of the ranges of windows of a very frequent anchor.
+#: Widths of the ranges of windows of a very frequent core.
 WIDTHS = (32, 4, 1)
 _MASK = np.uint64((1 << 24) - 1)
 
@@ -63,8 +64,9 @@ def _digest(*parts: bytes) -> int:
 
 
 def segments(data: bytes, length: int) -> Iterator[tuple[int, int, int, int]]:
-    """(hash of the anchor, its position, first and last start of its windows), in text order."""
+    """(hash of the core, the anchor's position, first and last start of the windows), in text order."""
     width = length - GRAM + 1
+    half = (width + 1) // 2
     for base in range(0, max(0, len(data) - length + 1), PIECE):
         piece = data[base : base + PIECE + length - 1]
         hashes = _gram_hashes(piece)
@@ -75,10 +77,13 @@ def segments(data: bytes, length: int) -> Iterator[tuple[int, int, int, int]]:
         ahead = np.minimum.accumulate(blocks, axis=1).ravel()
         behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
         anchors = np.minimum(behind[: m - width + 1], ahead[width - 1 : m]) & _MASK
-        firsts = np.r_[0, np.flatnonzero(np.diff(anchors)) + 1]
-        lasts = np.r_[firsts[1:] - 1, len(anchors) - 1]
-        at = anchors[firsts].astype(np.int64)
-        yield from zip(hashes[at].view(np.int64).tolist(), (at + base).tolist(), (firsts + base).tolist(), (lasts + base).tolist(), strict=True)
+        at = anchors.astype(np.int64)
+        far = at - np.arange(len(at)) >= half
+        firsts = np.r_[0, np.flatnonzero((np.diff(at) != 0) | (far[1:] != far[:-1])) + 1]
+        lasts = np.r_[firsts[1:] - 1, len(at) - 1]
+        for pos, is_far, lo, hi in zip((at[firsts] + base).tolist(), far[firsts].tolist(), (firsts + base).tolist(), (lasts + base).tolist(), strict=True):
+            core = data[pos - half : pos + GRAM] if is_far else data[pos : pos + length - half + 1]
+            yield _digest(b"f" if is_far else b"n", core), pos, lo, hi
 
 
 def _marked(docs: DataFrame, text_col: str, *others) -> DataFrame:
@@ -198,7 +203,7 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
             found.append(covered)
             if width > 1:
                 # ranges that occur once are undecided; those that occur more often stand by as their partners, one of each
-                left = several.select("t", "pos", "lo", "hi").join(hot.drop("lo", "hi"), ["t", "pos"])
+                left = several.select("t", "pos", "lo", "hi").join(hot.drop("lo", "hi"), ["t", "pos"]).where(f"lo >= base AND hi + {length} <= base + length(bytes)")
     out = found[0]
     for x in found[1:]:
         out = out.union(x)

@@ -8,6 +8,7 @@ Groups are never paired within themselves. Equal sets are one class, represented
 id. In a band bucket only a leader (its smallest class) is compared with the others; components of
 the confirmed links come next; and only classes of one bucket that are still in different
 components are compared with each other, for a link inside a component changes nothing.
+There many pairs may lie just below the similarity asked for, so that round compares finer sketches.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ BLOCK = 500
 
 @dataclass(frozen=True)
 class Params:
-    """shingle words, similarity at least percent/100, bands x rows MinHashes (the sketch has samples of them)."""
+    """shingle words, similarity at least percent/100, bands x rows MinHashes (the sketch has samples of them); the finer sketch of the last round."""
 
     words: int = 5
     percent: int = 80
@@ -39,6 +40,8 @@ class Params:
     rows: int = 4
     samples: int = 128
     sketch_bits: int = 512
+    fine_samples: int = 4096
+    fine_bits: int = 4096
 
     def most_bits(self) -> int:
         """Bits that two sketches of similarity percent may differ in: the expectation at a similarity lower by 4.5 standard deviations."""
@@ -47,6 +50,13 @@ class Params:
         m = self.sketch_bits
         return math.ceil(m / 2 * (1 - (1 - 2 / m) ** (2 * self.samples * (1 - low)))) + 8
 
+    def most_fine_bits(self) -> int:
+        """The same for fine sketches: 4.5 standard deviations above the expectation, those of the samples and of the bitmap together."""
+        s, m = self.percent / 100, self.fine_bits
+        even = (1 - 2 / m) ** (2 * self.fine_samples * (1 - s))
+        by_samples = even * 2 * math.sqrt(self.fine_samples * s * (1 - s))
+        return math.ceil(m / 2 * (1 - even) + 4.5 * math.sqrt(by_samples**2 + m / 4 * (1 - even**2))) + 8
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -84,8 +94,9 @@ def signature(shingles: np.ndarray, keys: tuple[np.ndarray, np.ndarray]) -> np.n
     """The MinHash of each key over the set, in blocks of bounded size."""
     flip, times = keys
     best = np.full(len(flip), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for k in range(0, len(shingles), 4096):
-        best = np.minimum(best, ((shingles[None, k : k + 4096] ^ flip) * times).min(axis=1))
+    step = max(1, (1 << 19) // len(flip))
+    for k in range(0, len(shingles), step):
+        best = np.minimum(best, ((shingles[None, k : k + step] ^ flip) * times).min(axis=1))
     return best
 
 
@@ -125,6 +136,17 @@ def _near(p: Params):
     return sum((F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k])) for k in range(1, words)), F.bit_count(F.col("sa")[0].bitwiseXOR(F.col("sb")[0]))) <= p.most_bits()
 
 
+def _fine_sketches(sets: DataFrame, p: Params) -> DataFrame:
+    """(id, fine: its fine sketch) of full sets."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys = _keys(p.fine_samples)
+        for batch in batches:
+            yield pd.DataFrame({"id": batch["id"], "fine": [odd_sketch(signature(np.frombuffer(s, dtype=np.uint64), keys), p.fine_bits) for s in batch["s"]]})
+
+    return sets.mapInPandas(run, "id long, fine array<long>")
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:
     """(id, s: the hashes of its full set) of the ids wanted."""
 
@@ -207,12 +229,14 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
     # last round: all that share a bucket and are still apart, in blocks; a pair counts in its first common bucket
     mixed, rows = apart(found, 3)
     if not is_empty(mixed):
-        rows = stored(rows.join(reps, "id").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), "near-apart")
-        theirs = rows.selectExpr("bucket", "pmod(xxhash64(id), blocks) AS block", "id AS b", "component AS cb", "main AS m", "sketch AS sb", "bands AS bb")
-        minor = rows.where("component <> main").selectExpr("bucket", "explode(sequence(0L, blocks - 1L)) AS block", "id AS a", "component AS ca", "sketch AS sa", "bands AS ba")
+        fine = stored(_fine_sketches(sets.join(rows.select("id").distinct(), "id"), p), "near-fine")
+        rows = stored(rows.join(reps, "id").join(fine, "id").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), "near-apart")
+        theirs = rows.selectExpr("bucket", "pmod(xxhash64(id), blocks) AS block", "id AS b", "component AS cb", "main AS m", "sketch AS sb", "fine AS fb", "bands AS bb")
+        minor = rows.where("component <> main").selectExpr("bucket", "explode(sequence(0L, blocks - 1L)) AS block", "id AS a", "component AS ca", "sketch AS sa", "fine AS fa", "bands AS ba")
         # pairs of two minor parts come from both sides; keep the ordered one
         differ = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("m")) | (F.col("a") < F.col("b")))
-        late = minor.join(theirs, ["bucket", "block"]).where(differ & _near(p) & F.expr("bucket = array_intersect(ba, bb)[0]"))
+        finely = F.expr(f"aggregate(zip_with(fa, fb, (x, y) -> bit_count(x ^ y)), 0, (n, k) -> n + k) <= {p.most_fine_bits()}")
+        late = minor.join(theirs, ["bucket", "block"]).where(differ & _near(p) & F.expr("bucket = array_intersect(ba, bb)[0]") & finely)
         more = late.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         links = stored(links.union(_confirm(more, sets, p)), "near-links")
         found = components(links)

@@ -1,7 +1,9 @@
 """Benchmark decontamination by templates, in SQL expressions.
 
 Numbers, units and names become typed placeholders, so that a question asked again with other
-values has the template of the original. Windows of template words are hashed and joined; aligned
+values has the template of the original. A capitalised word that may only begin a sentence is a
+literal in one template and a name in a second one; both are windowed, and a window counts as met by
+either. Windows of template words are hashed and joined; aligned
 windows of one item and one document are then checked for consistent slots: each value of the
 item stands for one value of the document, and the other way round.
 """
@@ -20,23 +22,30 @@ SHARE, ENOUGH = 0.3, 6
 BROADCAST_WINDOWS = 500_000
 # Units, and the marks of the typed placeholders.
 UNITS = "km|m|cm|mm|kg|g|mg|l|ml|mi|ft|lb|oz|h|hr|hrs|min|s|hours|hour|minutes|minute|days|day|weeks|years|miles|metres|meters|kilometres|kilometers|dollars|euros|eur|usd|percent"
-NUMBER, UNIT, NAME = "\u0001", "\u0002", "\u0003"
+NUMBER, UNIT, NAME, INITIAL = "\u0001", "\u0002", "\u0003", "\u0004"
 
 
 def typed_words(text: Column) -> Column:
-    """The words of a text, lower-cased, without punctuation, each placeholder's value behind its mark."""
-    clean = F.regexp_replace(F.coalesce(text, F.lit("")), "[\u0001-\u0003]", " ")
+    """The words of a text, lower-cased, without punctuation, each placeholder's value behind its mark; INITIAL marks the capitalised words that are no NAME."""
+    clean = F.regexp_replace(F.coalesce(text, F.lit("")), "[\u0001-\u0004]", " ")
     t = F.regexp_replace(clean, r"(?=\d)(?<![\p{L}\p{N}])(\d+(?:[.,]\d+)*)", f"{NUMBER}$1")
     t = F.regexp_replace(t, rf"(\d) ?({UNITS})(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2")
     t = F.regexp_replace(t, r"(?=\p{Lu})(?<=[\p{Ll},;] )(\p{Lu}\p{Ll}+)(?![\p{L}])", f"{NAME}$1")
+    t = F.regexp_replace(t, rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}{NAME}])(\p{{Lu}}\p{{Ll}}+)(?![\p{{L}}])", f"{INITIAL}$1")
     t = F.regexp_replace(t, r"(?<=\d),(?=\d{3}(?!\d))", "")  # 1,000 is 1000, and a fraction stays in its number's word
     t = F.regexp_replace(t, r"(?<=\d)[.,](?=\d)", "p")
-    t = F.trim(F.regexp_replace(F.lower(t), "[^\\p{L}\\p{N}\u0001-\u0003]+", " "))
+    t = F.trim(F.regexp_replace(F.lower(t), "[^\\p{L}\\p{N}\u0001-\u0004]+", " "))
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
 
 
-def template(words: Column) -> Column:
-    return F.transform(words, lambda w: F.when(w < "\u0004", F.substring(w, 1, 1)).otherwise(w))
+def plain(word: Column) -> Column:
+    """A typed word without its mark."""
+    return F.when(word < "\u0005", word.substr(F.lit(2), F.length(word))).otherwise(word)
+
+
+def template(words: Column, initials: bool = False) -> Column:
+    """The words with a mark for each placeholder; initials: the words marked INITIAL are names."""
+    return F.transform(words, lambda w: F.when(w < INITIAL, F.substring(w, 1, 1)).when(w < "\u0005", F.lit(NAME) if initials else plain(w)).otherwise(w))
 
 
 def windows(words: Column) -> Column:
@@ -66,25 +75,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     whose words are all placeholders is never found. Documents that repeat an id count as one;
     a null id is reported as null. Other columns are not read.
     """
-    item = benchmark.select(F.col(item_col).alias("item"), typed_words(F.col(item_text)).alias("raw"))
-    item = stored(item.withColumn("tpl", template(F.col("raw"))).where(F.size("raw") > 0).withColumn("wins", windows(F.col("tpl"))).withColumn("ok", _literal(F.col("tpl"))).withColumn("short", F.size("raw") < WINDOW), "decon-items")
-    item_windows = item.select("item", F.size("ok").alias("n_windows"), F.explode("ok").alias("at"), "wins", F.col("short")).select("item", "n_windows", "at", "short", F.get("wins", F.col("at")).alias("hash"))
+    item = benchmark.select(F.col(item_col).alias("item"), typed_words(F.col(item_text)).alias("raw")).where(F.size("raw") > 0)
+    item = item.withColumn("tpl", template(F.col("raw"))).withColumn("tpl2", template(F.col("raw"), True))
+    item = stored(item.withColumn("ok", _literal(F.col("tpl"))).withColumn("ok2", _literal(F.col("tpl2"))).withColumn("wins", windows(F.col("tpl"))).withColumn("wins2", windows(F.col("tpl2"))).withColumn("short", F.size("raw") < WINDOW), "decon-items")
+    hashed = lambda ok, wins: F.transform(ok, lambda i: F.struct(i.alias("at"), F.get(wins, i).alias("hash")))
+    item_windows = item.select("item", F.size("ok").alias("n_windows"), F.inline(F.array_distinct(F.concat(hashed("ok", "wins"), hashed("ok2", "wins2")))))
     item_windows = stored(item_windows, "decon-windows")
     # short items have windows of their own length, looked up among the runs of as many words
     few = item_windows.count() <= BROADCAST_WINDOWS
     sizes = [r["n"] for r in item.where("short").select(F.size("raw").alias("n")).distinct().orderBy("n").collect()]  # fewer than WINDOW values
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    tpl = texts.select("id", "key", template(typed_words(F.col("text"))).alias("tpl"))
-    found = [F.transform(windows(F.col("tpl")), lambda h, i: F.struct(i.alias("pos"), h.alias("hash")))] + [_runs(F.col("tpl"), n) for n in sizes]
+    typed = texts.select("id", "key", typed_words(F.col("text")).alias("raw"))
+    tpl = typed.select("id", "key", template(F.col("raw")).alias("tpl"), template(F.col("raw"), True).alias("tpl2"))
+    tpl = tpl.select("*", windows(F.col("tpl")).alias("wins"), windows(F.col("tpl2")).alias("wins2"))
+    at = lambda hashes: F.transform(hashes, lambda h, i: F.struct(i.alias("pos"), h.alias("hash")))
+    again = F.zip_with("wins", "wins2", lambda a, b: F.when(a != b, b))  # null, which joins nothing, where both templates agree
+    found = [at("wins"), at(again)] + [_runs(F.col(c), n) for n in sizes for c in ("tpl", "tpl2")]
     placed = tpl.select("id", "key", F.inline(F.concat(*found)))
     hits = placed.join(F.broadcast(item_windows) if few else item_windows, "hash")
     runs = hits.groupBy("id", "key", "item", (F.col("pos") - F.col("at")).alias("shift")).agg(F.countDistinct("at").alias("n"), F.max("n_windows").alias("n_windows"), F.min("at").alias("first"), F.max("at").alias("last"))
     runs = stored(runs.where((F.col("n") >= SHARE * F.col("n_windows")) | (F.col("n") >= ENOUGH)), "decon-runs")
     # slots of the aligned words, for the documents with runs only
     held = stored(texts.select("key", "text").join(runs.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "decon-held")
-    both = runs.join(held.select("key", typed_words(F.col("text")).alias("raw")), "key").join(item.select("item", F.col("raw").alias("own"), "tpl"), "item")
+    both = runs.join(held.select("key", typed_words(F.col("text")).alias("raw")), "key").join(item.select("item", F.col("raw").alias("own")), "item")
     span = F.sequence(F.col("first"), F.least(F.col("last") + WINDOW, F.size("own")) - 1)
-    slots = F.array_distinct(F.transform(F.filter(span, lambda i: F.get("tpl", i) < "\u0004"), lambda i: F.struct(F.get("own", i).alias("a"), F.get("raw", i + F.col("shift")).alias("b"))))
+    # a word marked INITIAL is a slot where it changed, or where it is a name elsewhere in the item
+    met = lambda i: plain(F.get("raw", i + F.col("shift")))
+    slot = lambda i, w: (w < INITIAL) | ((w < "\u0005") & ((plain(w) != met(i)) | F.array_contains("own", F.concat(F.lit(NAME), plain(w)))))
+    value = lambda w: F.when(w < INITIAL, w).otherwise(F.concat(F.lit(NAME), plain(w)))
+    slots = F.array_distinct(F.transform(F.filter(span, lambda i: slot(i, F.get("own", i))), lambda i: F.struct(value(F.get("own", i)).alias("a"), met(i).alias("b"))))
     each = lambda f: F.size(F.array_distinct(F.transform("slots", lambda s: s[f]))) == F.size("slots")
     sound = both.withColumn("slots", slots).where(each("a") & each("b"))
     per_item = sound.groupBy("id", "item").agg(F.max(F.col("n") / F.col("n_windows")).alias("coverage"))

@@ -71,6 +71,15 @@ def test_reparameterised_questions_are_found(spark):
     assert got == {0: [1], 1: [1], 6: [2]}
 
 
+def test_names_that_begin_sentences_are_values(spark):
+    item = "Anna has 12 apples. Anna gives 5 to Bernd. Anna buys 3 more. Anna eats 2 apples. How many are left?"
+    again = item.replace("Anna", "Carla").replace("12", "14").replace("Bernd", "David")
+    inside = "Suppose that " + again
+    torn = "Carla has 14 apples. David gives 5 to Bernd. Emil buys 3 more. Frieda eats 2 apples. How many are left?"
+    clean = "Carla had a good day. Nobody gave apples to David. Emil went home. How long is the way?"
+    assert found_items(spark, [item, again, inside, torn, clean], [(1, item)]) == {0: [1], 1: [1], 2: [1]}
+
+
 def test_whole_benchmark_passages_are_found_on_the_table(spark):
     docs, bench = (spark.read.parquet(f"{SF01}/{t}.parquet").toPandas() for t in ("documents", "benchmark"))
     want = {d for d, t in zip(docs["doc_id"], docs["text"], strict=True) if t and any(i and i in t for i in bench["text"])}

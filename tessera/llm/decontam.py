@@ -22,12 +22,15 @@ SHARE, ENOUGH = 0.3, 6
 BROADCAST_WINDOWS = 500_000
 # Units, and the marks of the typed placeholders.
 UNITS = "km|m|cm|mm|kg|g|mg|l|ml|mi|ft|lb|oz|h|hr|hrs|min|s|hours|hour|minutes|minute|days|day|weeks|years|miles|metres|meters|kilometres|kilometers|dollars|euros|eur|usd|percent"
+# Scripts without spaces between words: Thai, Lao, Burmese, Khmer, kana and Han.
+UNSPACED = r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\x{20000}-\x{3fffd}]"
 NUMBER, UNIT, NAME, INITIAL = "\u0001", "\u0002", "\u0003", "\u0004"
 
 
 def typed_words(text: Column) -> Column:
-    """The words of a text, lower-cased, without punctuation, each placeholder's value behind its mark; INITIAL marks the capitalised words that are no NAME."""
+    """The words of a text, lower-cased, without punctuation, each placeholder's value behind its mark; INITIAL marks the capitalised words that are no NAME. Characters of UNSPACED scripts are words."""
     clean = F.regexp_replace(F.coalesce(text, F.lit("")), "[\u0001-\u0004]", " ")
+    clean = F.regexp_replace(clean, f"({UNSPACED})", " $1 ")
     t = F.regexp_replace(clean, r"(?=\d)(?<![\p{L}\p{N}])(\d+(?:[.,]\d+)*)", f"{NUMBER}$1")
     t = F.regexp_replace(t, rf"(\d) ?({UNITS})(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2")
     t = F.regexp_replace(t, r"(?=\p{Lu})(?<=[\p{Ll},;] )(\p{Lu}\p{Ll}+)(?![\p{L}])", f"{NAME}$1")
@@ -67,37 +70,58 @@ def _runs(words: Column, n: int) -> Column:
     return F.when(F.size(words) > n, F.transform(F.sequence(F.lit(0), F.size(words) - n), one)).otherwise(F.array().cast("array<struct<pos:int,hash:bigint>>"))
 
 
+def _exact(words: Column, n: int) -> Column:
+    """struct(pos, hash) of each run of n words, values included, of texts with n words or more."""
+    one = lambda i: F.struct(i.cast("int").alias("pos"), _exact_hash(words, i + 1, F.lit(n)).alias("hash"))
+    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), one)).otherwise(F.array().cast("array<struct<pos:int,hash:bigint>>"))
+
+
+def _exact_hash(words: Column, start: Column, n: Column) -> Column:
+    return F.xxhash64(F.lit("exact"), F.slice(words, start, n))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document that holds a benchmark item: id_col, n_items, items (sorted), coverage (the largest).
 
     An item is found where at least SHARE of its windows, or ENOUGH of them, occur in a document at
-    one alignment with consistent slots. Null and empty texts hold and give nothing; an item
-    whose words are all placeholders is never found. Documents that repeat an id count as one;
-    a null id is reported as null. Other columns are not read.
+    one alignment with consistent slots. Windows with fewer than three literals don't count; an item
+    that has no others (short, or mostly values) is found where all its words occur in a row, values
+    included; so an item of one word is found wherever that word is. Not found are: such an item with other values
+    or words, and any item whose windows hold too few literals once its changed names are placeholders. Letter case,
+    punctuation and signs between words are not compared. Null texts, and texts without a letter or
+    digit, hold and give nothing. Documents that repeat an id count as one; a null id is reported
+    as null, a null item id never. Other columns are not read.
     """
     item = benchmark.select(F.col(item_col).alias("item"), typed_words(F.col(item_text)).alias("raw")).where(F.size("raw") > 0)
     item = item.withColumn("tpl", template(F.col("raw"))).withColumn("tpl2", template(F.col("raw"), True))
-    item = stored(item.withColumn("ok", _literal(F.col("tpl"))).withColumn("ok2", _literal(F.col("tpl2"))).withColumn("wins", windows(F.col("tpl"))).withColumn("wins2", windows(F.col("tpl2"))).withColumn("short", F.size("raw") < WINDOW), "decon-items")
+    item = stored(item.withColumn("ok", _literal(F.col("tpl"))).withColumn("ok2", _literal(F.col("tpl2"))).withColumn("wins", windows(F.col("tpl"))).withColumn("wins2", windows(F.col("tpl2"))).withColumn("short", F.size("raw") < WINDOW).withColumn("exact", F.size("ok") == 0), "decon-items")
     hashed = lambda ok, wins: F.transform(ok, lambda i: F.struct(i.alias("at"), F.get(wins, i).alias("hash")))
-    item_windows = item.select("item", F.size("ok").alias("n_windows"), F.inline(F.array_distinct(F.concat(hashed("ok", "wins"), hashed("ok2", "wins2")))))
+    item_windows = item.where("NOT exact").select("item", "exact", F.size("ok").alias("n_windows"), F.inline(F.array_distinct(F.concat(hashed("ok", "wins"), hashed("ok2", "wins2")))))
+    # items without windows: the first words, at most WINDOW; the others are compared below
+    n_first = F.least(F.size("raw"), F.lit(WINDOW))
+    firsts = item.where("exact").withColumn("words", F.transform("raw", plain))
+    item_windows = item_windows.unionByName(firsts.select("item", "exact", F.lit(1).alias("n_windows"), F.lit(0).alias("at"), _exact_hash(F.col("words"), F.lit(1), n_first).alias("hash")))
     item_windows = stored(item_windows, "decon-windows")
     # short items have windows of their own length, looked up among the runs of as many words
     few = item_windows.count() <= BROADCAST_WINDOWS
-    sizes = [r["n"] for r in item.where("short").select(F.size("raw").alias("n")).distinct().orderBy("n").collect()]  # fewer than WINDOW values
+    sizes = [r["n"] for r in item.where("short AND NOT exact").select(F.size("raw").alias("n")).distinct().orderBy("n").collect()]  # fewer than WINDOW values
+    exact_sizes = [r["n"] for r in item.where("exact").select(n_first.alias("n")).distinct().orderBy("n").collect()]  # at most WINDOW values
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     typed = texts.select("id", "key", typed_words(F.col("text")).alias("raw"))
-    tpl = typed.select("id", "key", template(F.col("raw")).alias("tpl"), template(F.col("raw"), True).alias("tpl2"))
+    tpl = typed.select("id", "key", template(F.col("raw")).alias("tpl"), template(F.col("raw"), True).alias("tpl2"), *[F.transform("raw", plain).alias("words")] * bool(exact_sizes))
     tpl = tpl.select("*", windows(F.col("tpl")).alias("wins"), windows(F.col("tpl2")).alias("wins2"))
     at = lambda hashes: F.transform(hashes, lambda h, i: F.struct(i.alias("pos"), h.alias("hash")))
     again = F.zip_with("wins", "wins2", lambda a, b: F.when(a != b, b))  # null, which joins nothing, where both templates agree
-    found = [at("wins"), at(again)] + [_runs(F.col(c), n) for n in sizes for c in ("tpl", "tpl2")]
+    found = [at("wins"), at(again)] + [_runs(F.col(c), n) for n in sizes for c in ("tpl", "tpl2")] + [_exact(F.col("words"), n) for n in exact_sizes]
     placed = tpl.select("id", "key", F.inline(F.concat(*found)))
     hits = placed.join(F.broadcast(item_windows) if few else item_windows, "hash")
-    runs = hits.groupBy("id", "key", "item", (F.col("pos") - F.col("at")).alias("shift")).agg(F.countDistinct("at").alias("n"), F.max("n_windows").alias("n_windows"), F.min("at").alias("first"), F.max("at").alias("last"))
+    runs = hits.groupBy("id", "key", "item", "exact", (F.col("pos") - F.col("at")).alias("shift")).agg(F.countDistinct("at").alias("n"), F.max("n_windows").alias("n_windows"), F.min("at").alias("first"), F.max("at").alias("last"))
     runs = stored(runs.where((F.col("n") >= SHARE * F.col("n_windows")) | (F.col("n") >= ENOUGH)), "decon-runs")
     # slots of the aligned words, for the documents with runs only
     held = stored(texts.select("key", "text").join(runs.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "decon-held")
-    both = runs.join(held.select("key", typed_words(F.col("text")).alias("raw")), "key").join(item.select("item", F.col("raw").alias("own")), "item")
+    both = runs.join(held.select("key", typed_words(F.col("text")).alias("raw")), "key").join(item.select("item", "exact", F.col("raw").alias("own")), ["item", "exact"])
+    same = F.transform(F.slice("raw", F.col("shift") + 1, F.size("own")), plain) == F.transform("own", plain)
+    both = both.where(~F.col("exact") | same)
     span = F.sequence(F.col("first"), F.least(F.col("last") + WINDOW, F.size("own")) - 1)
     # a word marked INITIAL is a slot where it changed, or where it is a name elsewhere in the item
     met = lambda i: plain(F.get("raw", i + F.col("shift")))

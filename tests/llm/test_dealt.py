@@ -80,6 +80,26 @@ def test_names_that_begin_sentences_are_values(spark):
     assert found_items(spark, [item, again, inside, torn, clean], [(1, item)]) == {0: [1], 1: [1], 2: [1]}
 
 
+def test_items_without_windows_are_found_as_exact_copies(spark):
+    thai, chinese = "แอนนามีแอปเปิ้ล 12 ลูก เหลือกี่ลูก", "小明有12个苹果，又买了3个苹果，请问他现在一共有几个苹果？"
+    items = [(1, "What is 12 + 7?"), (2, "Solve 3 x 4"), (3, thai), (4, chinese), (5, "12 13 14 15 16 17 18 19 20 21"), (6, "几个")]
+    texts = [
+        "We ask: what is 12 + 7? Answer at once.",
+        "What is 12 + 8?",
+        "Please solve 3 x 4",
+        "Solve 3 x 5 4",
+        f"ก่อน {thai} หลัง",
+        f"题目：{chinese}",
+        "老师说：小明有15个苹果，又买了4个苹果，请问他现在一共有几个苹果？谢谢",
+        "今天天气很好，我们去公园散步，然后回家吃饭。",
+        "11 12 13 14 15 16 17 18 19 20 21 22",
+        "12 13 14 15 16 17 18 19 20 22",
+        "",
+        None,
+    ]
+    assert found_items(spark, texts, items) == {0: [1], 2: [2], 4: [3], 5: [4, 6], 6: [4, 6], 8: [5]}
+
+
 def test_whole_benchmark_passages_are_found_on_the_table(spark):
     docs, bench = (spark.read.parquet(f"{SF01}/{t}.parquet").toPandas() for t in ("documents", "benchmark"))
     want = {d for d, t in zip(docs["doc_id"], docs["text"], strict=True) if t and any(i and i in t for i in bench["text"])}

@@ -5,7 +5,7 @@ values has the template of the original. A capitalised word that may only begin
 literal in one template and a name in a second one; both are windowed, and a window counts as met by
 either. Windows of template words are hashed and joined; aligned
 windows of one item and one document are then checked for consistent slots: each value of the
-item stands for one value of the document, and the other way round.
+item stands for one value of the document, save where a few slots were edited.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from tessera.session import stored
 WINDOW = 8
 #: An item counts as found from this share of its windows on, or from so many windows.
 SHARE, ENOUGH = 0.3, 6
+#: Where an item's value stands for several of the document: the distinct pairs of values beyond the values of either side, one or this share of the pairs at most.
+EDITED = 0.25
 #: Windows of the benchmark up to which they are broadcast (24 bytes each); more are joined by a shuffle.
 BROADCAST_WINDOWS = 500_000
 # Units, and the marks of the typed placeholders.
@@ -84,7 +86,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row per document that holds a benchmark item: id_col, n_items, items (sorted), coverage (the largest).
 
     An item is found where at least SHARE of its windows, or ENOUGH of them, occur in a document at
-    one alignment with consistent slots. Windows with fewer than three literals don't count; an item
+    one alignment with consistent slots: in the windows met, each value of the item stands for one value
+    of the document (several may have become equal); or else few values were edited, see EDITED. Windows with fewer than three literals don't count; an item
     that has no others (short, or mostly values) is found where all its words occur in a row, values
     included; so an item of one word is found wherever that word is. Not found are: such an item with other values
     or words, and any item whose windows hold too few literals once its changed names are placeholders. Letter case,
@@ -115,20 +118,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = [at("wins"), at(again)] + [_runs(F.col(c), n) for n in sizes for c in ("tpl", "tpl2")] + [_exact(F.col("words"), n) for n in exact_sizes]
     placed = tpl.select("id", "key", F.inline(F.concat(*found)))
     hits = placed.join(F.broadcast(item_windows) if few else item_windows, "hash")
-    runs = hits.groupBy("id", "key", "item", "exact", (F.col("pos") - F.col("at")).alias("shift")).agg(F.countDistinct("at").alias("n"), F.max("n_windows").alias("n_windows"), F.min("at").alias("first"), F.max("at").alias("last"))
+    runs = hits.groupBy("id", "key", "item", "exact", (F.col("pos") - F.col("at")).alias("shift")).agg(F.collect_set("at").alias("met"), F.max("n_windows").alias("n_windows")).withColumn("n", F.size("met"))
     runs = stored(runs.where((F.col("n") >= SHARE * F.col("n_windows")) | (F.col("n") >= ENOUGH)), "decon-runs")
     # slots of the aligned words, for the documents with runs only
     held = stored(texts.select("key", "text").join(runs.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "decon-held")
     both = runs.join(held.select("key", typed_words(F.col("text")).alias("raw")), "key").join(item.select("item", "exact", F.col("raw").alias("own")), ["item", "exact"])
     same = F.transform(F.slice("raw", F.col("shift") + 1, F.size("own")), plain) == F.transform("own", plain)
     both = both.where(~F.col("exact") | same)
-    span = F.sequence(F.col("first"), F.least(F.col("last") + WINDOW, F.size("own")) - 1)
+    # slots count inside the windows met; the words between them may have been edited
+    span = F.array_distinct(F.flatten(F.transform("met", lambda i: F.sequence(i, F.least(i + WINDOW, F.size("own")) - 1))))
     # a word marked INITIAL is a slot where it changed, or where it is a name elsewhere in the item
-    met = lambda i: plain(F.get("raw", i + F.col("shift")))
-    slot = lambda i, w: (w < INITIAL) | ((w < "\u0005") & ((plain(w) != met(i)) | F.array_contains("own", F.concat(F.lit(NAME), plain(w)))))
+    there = lambda i: plain(F.get("raw", i + F.col("shift")))
+    slot = lambda i, w: (w < INITIAL) | ((w < "\u0005") & ((plain(w) != there(i)) | F.array_contains("own", F.concat(F.lit(NAME), plain(w)))))
     value = lambda w: F.when(w < INITIAL, w).otherwise(F.concat(F.lit(NAME), plain(w)))
-    slots = F.array_distinct(F.transform(F.filter(span, lambda i: slot(i, F.get("own", i))), lambda i: F.struct(value(F.get("own", i)).alias("a"), met(i).alias("b"))))
-    each = lambda f: F.size(F.array_distinct(F.transform("slots", lambda s: s[f]))) == F.size("slots")
-    sound = both.withColumn("slots", slots).where(each("a") & each("b"))
+    slots = F.array_distinct(F.transform(F.filter(span, lambda i: slot(i, F.get("own", i))), lambda i: F.struct(value(F.get("own", i)).alias("a"), there(i).alias("b"))))
+    values = lambda f: F.size(F.array_distinct(F.transform("slots", lambda s: s[f])))
+    sound = both.withColumn("slots", slots).where((values("a") == F.size("slots")) | (F.size("slots") - F.least(values("a"), values("b")) <= F.greatest(F.lit(1), EDITED * F.size("slots"))))
     per_item = sound.groupBy("id", "item").agg(F.max(F.col("n") / F.col("n_windows")).alias("coverage"))
     return per_item.groupBy("id").agg(F.count("*").alias("n_items"), F.sort_array(F.collect_set("item")).alias("items"), F.max("coverage").alias("coverage")).withColumnRenamed("id", id_col)

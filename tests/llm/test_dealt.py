@@ -100,6 +100,15 @@ def test_items_without_windows_are_found_as_exact_copies(spark):
     assert found_items(spark, texts, items) == {0: [1], 2: [2], 4: [3], 5: [4, 6], 6: [4, 6], 8: [5]}
 
 
+def test_values_that_became_equal_and_single_edits_are_found(spark):
+    equal = ITEMS[0][1].replace("12", "4").replace("3.50", "4").replace("Anna", "Carla")
+    item = "A farmer sells 12 eggs to Ms Weber, then packs the other 30 eggs into boxes of 6 and notes that 12 eggs are gone before he drives 7 km to the market where 12 people wait."
+    place = item.replace("12", "14").replace("30", "40").replace("Weber", "Stein").replace("7 km", "9 km").replace("14 people", "15 people")
+    gap = item.replace("12 eggs are gone before he drives", "15 geese were lost until she goes").replace("sells 12", "sells 14").replace("12 people", "14 people")
+    torn = item.replace("sells 12", "sells 5").replace("12 eggs are", "6 eggs are").replace("12 people", "8 people").replace("30", "5").replace("of 6", "of 5").replace("7 km", "5 km")
+    assert found_items(spark, [equal, place, gap, torn], [ITEMS[0], (2, item)]) == {0: [1], 1: [2], 2: [2]}
+
+
 def test_whole_benchmark_passages_are_found_on_the_table(spark):
     docs, bench = (spark.read.parquet(f"{SF01}/{t}.parquet").toPandas() for t in ("documents", "benchmark"))
     want = {d for d, t in zip(docs["doc_id"], docs["text"], strict=True) if t and any(i and i in t for i in bench["text"])}

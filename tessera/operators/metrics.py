@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tessera.session import stored
+
 
 def kappa(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Cohen's kappa of two raters, from the table of their pairs."""
@@ -39,14 +41,22 @@ def ece(forecasts: DataFrame, bins: int = 10) -> DataFrame:
     return per.agg(F.round(F.sum(F.col("n") * F.col("gap")) / F.sum("n"), 6).alias("ece"))
 
 
+def score_ranges(forecasts: DataFrame) -> DataFrame:
+    """Counts per distinct score p (pos, neg), with the number of the range of scores that each is in."""
+    per = forecasts.groupBy("p").agg(F.sum(F.col("y").cast("double")).alias("pos"), F.sum(1.0 - F.col("y")).alias("neg"))
+    return stored(per.repartitionByRange("p").withColumn("range", F.spark_partition_id()), "auc-ranges")
+
+
 def auc(forecasts: DataFrame) -> DataFrame:
     """Area under the curve with ties at half, from counts per distinct score.
 
-    The running count is over distinct forecasts, pre-aggregated; their number is that of the scores' resolution.
+    The running count is taken inside ranges of scores; only the ranges' totals, one row each, come into one task.
     """
-    per = forecasts.groupBy("p").agg(F.sum(F.col("y").cast("double")).alias("pos"), F.sum(1.0 - F.col("y")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    run = per.select("pos", "neg", below.alias("below"))
+    per = score_ranges(forecasts)
+    totals = per.groupBy("range").agg(F.sum("neg").alias("all"))
+    before = totals.select("range", F.coalesce(F.sum("all").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))
+    inside = F.coalesce(F.sum("neg").over(Window.partitionBy("range").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    run = per.select("range", "pos", "neg", inside.alias("inside")).join(F.broadcast(before), "range").select("pos", "neg", (F.col("before") + F.col("inside")).alias("below"))
     return run.agg(F.round(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg")), 6).alias("auc"))
 
 

@@ -16,10 +16,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .memory import bound_batches, tidy
+
 #: Pre-tokens kept with their ids by a Python worker; beyond this the cache starts anew.
-CACHE_TOKENS = 400_000
+CACHE_TOKENS = 100_000
 #: Characters encoded together: bounds a task's memory whatever the batch size.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_000_000
+#: Byte positions merged together, in as many rows as that makes.
+CELLS = 500_000
 NONE = np.iinfo(np.int64).max
 
 
@@ -61,7 +65,7 @@ class Encoder:
             elif t:
                 classes.setdefault(1 << (len(t) - 1).bit_length(), []).append(i)
         for size, members in classes.items():
-            step = max(1, 2_000_000 // size)
+            step = max(1, CELLS // size)
             for k in range(0, len(members), step):
                 part = members[k : k + step]
                 for i, ids in zip(part, self._merge_class([tokens[i] for i in part], size), strict=True):
@@ -138,6 +142,14 @@ class Encoder:
 _encoders: dict[tuple[int, str], Encoder] = {}
 
 
+def _forget() -> None:
+    """At the end of a task only the last vocabulary's tables stay in its worker, without pre-tokens."""
+    for key in list(_encoders)[:-1]:
+        del _encoders[key]
+    for encoder in _encoders.values():
+        encoder.cache = {}
+
+
 def _encoder(shared, pattern: str) -> Encoder:
     """One encoder for each vocabulary in a Python worker, kept between its tasks."""
     key = (shared.id if hasattr(shared, "id") else id(shared), pattern)
@@ -155,6 +167,7 @@ def encode_decode(docs: DataFrame, vocab_path: str, pattern: str, id_col: str =
     and their names don't matter; repeated rows give repeated results; null ids are kept.
     The vocabulary (one file, about 1 MB) is broadcast; nothing is shuffled.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(load_ranks(vocab_path))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,7 +177,7 @@ def encode_decode(docs: DataFrame, vocab_path: str, pattern: str, id_col: str =
             yield pd.DataFrame({"id": batch["id"], "n_tokens": [len(x) // 4 for x in ids], "ids": ids, "decoded": [encoder.decode(x) for x in ids]})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInPandas(run, f"id {kind}, n_tokens long, ids binary, decoded binary")
+    out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInPandas(tidy(run, _forget), f"id {kind}, n_tokens long, ids binary, decoded binary")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -25,9 +25,12 @@ from pyspark.sql import DataFrame, functions as F
 from tessera.session import is_empty, stored
 
 from .components import components
+from .memory import bound_batches, tidy
 
 #: Members of one bucket that a block of the second round holds.
 BLOCK = 500
+#: Words whose hashes a task keeps; beyond this the cache starts anew.
+CACHE_WORDS = 100_000
 
 
 @dataclass(frozen=True)
@@ -73,7 +76,7 @@ def shingle_set(text: str | None, words: int, cache: dict[bytes, int]) -> np.nda
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
         return np.empty(0, dtype=np.uint64)
-    if len(cache) > 500_000:
+    if len(cache) > CACHE_WORDS:
         cache.clear()
     for w in set(parts).difference(cache):
         cache[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
@@ -127,7 +130,7 @@ def sketches(docs: DataFrame, p: Params, id_col: str, text_col: str) -> DataFram
                 out.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), bands.view(np.int64), odd_sketch(sig[: p.samples], p.sketch_bits)))
             yield pd.DataFrame({"id": batch["id"], **{c: [o[k] for o in out] for k, c in enumerate(("n", "digest", "bands", "sketch"))}})
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, n long, digest binary, bands array<long>, sketch array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(tidy(run), "id long, n long, digest binary, bands array<long>, sketch array<long>")
 
 
 def _near(p: Params):
@@ -144,7 +147,7 @@ def _fine_sketches(sets: DataFrame, p: Params) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "fine": [odd_sketch(signature(np.frombuffer(s, dtype=np.uint64), keys), p.fine_bits) for s in batch["s"]]})
 
-    return sets.mapInPandas(run, "id long, fine array<long>")
+    return sets.mapInPandas(tidy(run), "id long, fine array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:
@@ -156,7 +159,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, p: Params, id_col: str, text_col:
             yield pd.DataFrame({"id": batch["id"], "s": [shingle_set(t, p.words, cache).tobytes() for t in batch["text"]]})
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return texts.join(wanted.hint("merge"), "id").mapInPandas(run, "id long, s binary").dropDuplicates(["id"])
+    return texts.join(wanted.hint("merge"), "id").mapInPandas(tidy(run), "id long, s binary").dropDuplicates(["id"])
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
@@ -172,7 +175,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
             yield batch.loc[keep, ["a", "b"]]
 
     with_x = pairs.join(sets.selectExpr("id AS a", "s AS x"), "a")
-    return with_x.join(sets.selectExpr("id AS b", "s AS y"), "b").select("a", "b", "x", "y").mapInPandas(verify, "a long, b long")
+    return with_x.join(sets.selectExpr("id AS b", "s AS y"), "b").select("a", "b", "x", "y").mapInPandas(tidy(verify), "a long, b long")
 
 
 def _sifted(pairs: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
@@ -193,6 +196,7 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
     with probability (1 - s^rows)^bands (3e-6 by default); the sketches, set 4.5 standard deviations wide, lose it about as seldom.
     """
     p = params
+    bound_batches(docs.sparkSession)
     marks = stored(sketches(docs, p, id_col, text_col), "near-marks")
     some = marks.where("n > 0 AND id IS NOT NULL")
     classes = stored(some.groupBy("digest").agg(F.min("id").alias("rep")), "near-classes")

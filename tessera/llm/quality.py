@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessera.session import stored
 
+from .memory import bound_batches, tidy
+
 BITS = 12
 
 
@@ -103,6 +105,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     empty table gives no rows; repeated rows repeat.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -110,7 +113,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
         for b in batches:
             yield pd.DataFrame({"h": b["h"], "votes": [votes(t) for t in b["text"]]})
 
-    marked = stored(rows.select(F.xxhash64("text").alias("h"), "text").mapInPandas(vote, "h long, votes string"), "quality-votes")
+    marked = stored(rows.select(F.xxhash64("text").alias("h"), "text").mapInPandas(tidy(vote), "h long, votes string"), "quality-votes")
     posterior, accuracy = estimate({r["votes"]: r["count"] for r in marked.groupBy("votes").count().collect()})  # at most 3 ** 6 rows
     taken = spark.createDataFrame([(r["h"],) for r in marked.select("h").distinct().orderBy("h").limit(sample).collect()], "h long")
 
@@ -118,7 +121,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
         for b in batches:
             yield pd.DataFrame({"h": b["h"], "y": [posterior[votes(t)] for t in b["text"]], "x": [features(t).tobytes() for t in b["text"]]})
 
-    got = rows.select(F.xxhash64("text").alias("h"), "text").join(F.broadcast(taken), "h").mapInPandas(vectors, "h long, y double, x binary").dropDuplicates(["h"]).orderBy("h").toPandas()
+    got = rows.select(F.xxhash64("text").alias("h"), "text").join(F.broadcast(taken), "h").mapInPandas(tidy(vectors), "h long, y double, x binary").dropDuplicates(["h"]).orderBy("h").toPandas()
     w = train(np.stack([np.frombuffer(x, dtype=np.float32) for x in got["x"]]), got["y"].to_numpy()) if len(got) else np.zeros((1 << BITS) + 1)
     shared = spark.sparkContext.broadcast(Scorer(w, posterior, accuracy))
 
@@ -129,4 +132,4 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
             s = [float(1 / (1 + np.exp(-np.clip(features(t) @ m.weights, -30, 30)))) for t in b["text"]]
             yield pd.DataFrame({"id": b["id"], "votes": v, "posterior": [m.posterior[p] for p in v], "score": s, "kept": [x >= least for x in s]})
 
-    return rows.mapInPandas(judge, f"id {kind}, votes string, posterior double, score double, kept boolean").withColumnRenamed("id", id_col)
+    return rows.mapInPandas(tidy(judge), f"id {kind}, votes string, posterior double, score double, kept boolean").withColumnRenamed("id", id_col)

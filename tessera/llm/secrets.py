@@ -18,6 +18,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .memory import bound_batches, tidy
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -174,6 +176,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + EXTRA_RULES, id
     rows give repeated results. Nothing is shuffled; a shard is one batch of a partition.
     """
 
+    bound_batches(docs.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = ["" if t is None else t for t in batch["text"]]
@@ -181,7 +185,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + EXTRA_RULES, id
             yield pd.DataFrame({"id": batch["id"], "spans": [[{"kind": rules[k].kind, "start": a, "end": b} for a, k, b in x] for x in found]})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInPandas(run, f"id {kind}, spans array<struct<kind:string,start:int,end:int>>")
+    out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInPandas(tidy(run), f"id {kind}, spans array<struct<kind:string,start:int,end:int>>")
     return out.withColumnRenamed("id", id_col)
 
 

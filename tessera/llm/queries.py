@@ -47,7 +47,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.remove_repeats(read_table(spark, sf_dir, "documents"), 400).drop("kept")
+    out = substrings.remove_repeats(read_table(spark, sf_dir, "documents"), 400)
+    return out.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

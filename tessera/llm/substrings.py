@@ -6,9 +6,11 @@ make two segments, those that begin in the further and in the nearer half of the
 windows of a segment share a core of over half their length, so a segment needs comparing only
 with those of equal core. Those are brought together, copies of a whole segment are counted and
 not moved, and the distinct segments become shards whose suffix arrays show which windows start
-elsewhere too. A core shared by very many distinct segments (a common passage in many surroundings) would be
-one large shard; its segments are divided into ranges of windows that are counted by digests of
-what all windows of the range have in common, ever narrower, down to single windows.
+elsewhere too. In a shard a few symbols that number the core stand for its bytes, which shortens the
+text by half without changing what is equal. A shard is bounded: where more distinct segments share
+a core than fit one, they are divided into narrower ranges of windows, whose cores are longer, and
+those become shards in turn. At the end a range is one window and its core the window itself, so
+that the segments of one core are equal.
 """
 
 from __future__ import annotations
@@ -23,16 +25,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessera.session import is_empty, stored
 
+from .memory import bound_batches, tidy
 from .suffixes import repeated_starts
 
 GRAM = 32
 #: Text positions that are hashed together; a position must fit 24 bits.
 PIECE = 1 << 22
-#: Distinct segments of one core that go into a shard; more are counted by digests.
-MOST = 400
-#: Bytes of a suffix-array shard beyond which it takes no further core.
-SHARD = 1 << 18
-#: Widths of the ranges of windows of a very frequent core.
+#: Distinct segments of one core that one shard can hold; more are divided first.
+MOST = 2000
+#: Symbols of a suffix-array shard beyond which it takes no further core, and of a task.
+SHARD, TASK = 1 << 19, 1 << 21
+#: Windows of a range, for cores that are divided: ever fewer, down to one.
 WIDTHS = (32, 4, 1)
 _MASK = np.uint64((1 << 24) - 1)
 
@@ -110,7 +113,7 @@ def _anchors(texts: DataFrame, length: int) -> DataFrame:
                     rows.append((*row[:6], len(row[6]), _merged(row[6]) if len(row[6]) > 1 else []))
             yield pd.DataFrame(rows, columns=["hash", "dig", "t", "pos", "lo", "hi", "k", "again"])
 
-    return texts.select("t", "data").mapInPandas(run, "hash long, dig long, t binary, pos long, lo long, hi long, k long, again array<array<long>>")
+    return texts.select("t", "data").mapInPandas(tidy(run), "hash long, dig long, t binary, pos long, lo long, hi long, k long, again array<array<long>>")
 
 
 def _merged(spans) -> list[list[int]]:
@@ -140,35 +143,42 @@ def _bytes_of(parts: DataFrame, texts: DataFrame, length: int) -> DataFrame:
             rows = [(p["hash"], p["dig"], p["n"], t, p["pos"], p["lo"], p["hi"], data[p["lo"] : p["hi"] + length]) for t, data, parts in zip(batch["t"], batch["data"], batch["parts"], strict=True) for p in parts]
             yield pd.DataFrame(rows, columns=["hash", "dig", "n", "t", "pos", "lo", "hi", "bytes"])
 
-    cut = texts.join(wanted.hint("merge"), "t").select("t", "data", "parts").mapInPandas(run, "hash long, dig long, n long, t binary, pos long, lo long, hi long, bytes binary")
+    cut = texts.join(wanted.hint("merge"), "t").select("t", "data", "parts").mapInPandas(tidy(run), "hash long, dig long, n long, t binary, pos long, lo long, hi long, bytes binary")
     return cut.groupBy("hash", "dig").agg(F.first(F.struct("n", "t", "pos", "lo", "hi", "bytes")).alias("x")).select("hash", "dig", "x.*")
 
 
 def _by_suffix_arrays(parts: DataFrame, length: int) -> DataFrame:
-    """(t, a, b) that the suffix arrays of shards show; an anchor's parts are in one shard."""
+    """(t, a, b) that the suffix arrays of shards show; the parts of a core, at [core, core_end) of their bytes, are in one shard."""
 
     def solve(shard: list[tuple]) -> list[tuple]:
-        found = repeated_starts([x[3] for x in shard], length)
+        cores: dict[tuple, int] = {}
+        numbers = [cores.setdefault((h, data[c:d]), len(cores)) for h, _, _, data, c, d in shard]
+        found = repeated_starts([(data, c, d, k) for (_, _, _, data, c, d), k in zip(shard, numbers, strict=True)], len(cores), length)
         return [(x[1], x[2] + a, x[2] + b) for x, starts in zip(shard, found, strict=True) for a, b in _merged([(s, s + length) for s in starts])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = ((h, t, lo, data) for b in batches for h, t, lo, data in zip(b["hash"], b["t"], b["lo"], b["bytes"], strict=True))
+        columns = ("hash", "t", "lo", "bytes", "core", "core_end")
+        rows = (x for b in batches for x in zip(*(b[c] for c in columns), strict=True))
         shard, size = [], 0
-        for _, anchor in groupby(rows, key=lambda x: x[0]):
+        for _, same in groupby(rows, key=lambda x: x[0]):
             if size > SHARD:
                 yield pd.DataFrame(solve(shard), columns=["t", "a", "b"])
                 shard, size = [], 0
-            more = list(anchor)
+            more = list(same)
             shard += more
-            size += sum(len(x[3]) for x in more)
+            size += sum(len(x[3]) - x[5] + x[4] for x in more)
         if shard:
             yield pd.DataFrame(solve(shard), columns=["t", "a", "b"])
 
-    return parts.select("hash", "t", "lo", "bytes").repartition("hash").sortWithinPartitions("hash").mapInPandas(run, "t binary, a long, b long")
+    # tasks are sized by their work: the default partitions follow the few bytes moved
+    work = parts.agg(F.sum(F.expr("length(bytes) - core_end + core"))).first()[0] or 0
+    tasks = max(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-work // TASK))
+    dealt = parts.select("hash", "t", "lo", "bytes", "core", "core_end").repartition(tasks, "hash").sortWithinPartitions("hash")
+    return dealt.mapInPandas(tidy(run), "t binary, a long, b long")
 
 
 def _ranges(parts: DataFrame, width: int, length: int) -> DataFrame:
-    """The parts' windows in ranges of so many offsets from the anchor; hash names what all windows of a range share."""
+    """The parts' windows in ranges of so many offsets from the anchor; hash names what all windows of a range share, at [core, core_end) from their first byte."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -181,7 +191,13 @@ def _ranges(parts: DataFrame, width: int, length: int) -> DataFrame:
                     rows.append((_digest(b"%d,%d,%d," % (h, width, r), core), _digest(b"%d,%d," % (pos - first, pos - last), whole), t, pos, first, last, 1))
             yield pd.DataFrame(rows, columns=["hash", "dig", "t", "pos", "lo", "hi", "k"])
 
-    return parts.mapInPandas(run, "hash long, dig long, t binary, pos long, lo long, hi long, k long")
+    return parts.mapInPandas(tidy(run), "hash long, dig long, t binary, pos long, lo long, hi long, k long")
+
+
+def _range_core(width: int, length: int) -> tuple[str, str]:
+    """Where the core of a range is, from the range's first byte."""
+    first = f"pos - cast(floor((pos - lo) / {width}) AS bigint) * {width} - lo"
+    return f"cast({first} AS int)", f"cast({first} - {width} + 1 + {length} AS int)"
 
 
 def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
@@ -191,19 +207,27 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
     live = stored(rows.join(twice.hint("merge"), "hash"), "sub-live")
     own = live.where("k > 1").select("t", F.explode("again").alias("x")).select("t", F.col("x")[0].alias("a"), F.col("x")[1].alias("b"))
     covered, several = _counted(live.drop("again"), length, "all")
-    parts = stored(_bytes_of(several, texts, length), "sub-parts")
+    half = (length - GRAM + 2) // 2
+    far = f"pos - lo >= {half}"
+    core, core_end = f"cast(IF({far}, pos - lo - {half}, pos - lo) AS int)", f"cast(IF({far}, pos - lo + {GRAM}, pos - lo + {length - half + 1}) AS int)"
+    parts = stored(_bytes_of(several, texts, length).selectExpr("*", f"{core} AS core", f"{core_end} AS core_end"), "sub-parts")
     found = [own, covered, _by_suffix_arrays(parts.where(F.col("n") <= MOST), length)]
-    hot = parts.where(F.col("n") > MOST)
-    if not is_empty(hot):
-        hot = stored(hot.select("hash", "t", "pos", F.col("lo").alias("base"), "lo", "hi", "bytes"), "sub-hot")
+    left = parts.where(F.col("n") > MOST)
+    if not is_empty(left):
+        hot = stored(left.select("hash", "t", "pos", F.col("lo").alias("base"), "lo", "hi", "bytes"), "sub-hot")
         left = hot
         for width in WIDTHS:
             divided = stored(_ranges(left, width, length), f"sub-ranges{width}")
             covered, several = _counted(divided, length, f"ranges{width}")
             found.append(covered)
             if width > 1:
-                # ranges that occur once are undecided; those that occur more often stand by as their partners, one of each
-                left = several.select("t", "pos", "lo", "hi").join(hot.drop("lo", "hi"), ["t", "pos"]).where(f"lo >= base AND hi + {length} <= base + length(bytes)")
+                core, core_end = _range_core(width, length)
+                with_bytes = several.join(hot.select("t", "pos", "base", F.col("bytes").alias("all")), ["t", "pos"]).where(f"lo >= base AND hi + {length} <= base + length(all)")
+                parts = stored(with_bytes.selectExpr("hash", "dig", "n", "t", "pos", "base", "lo", "hi", "all", f"substring(all, cast(lo - base AS int) + 1, cast(hi - lo AS int) + {length}) AS bytes", f"{core} AS core", f"{core_end} AS core_end"), f"sub-parts{width}")
+                found.append(_by_suffix_arrays(parts.where(F.col("n") <= MOST), length))
+                left = parts.where(F.col("n") > MOST).select("hash", "t", "pos", "base", "lo", "hi", F.col("all").alias("bytes"))
+                if is_empty(left):
+                    break
     out = found[0]
     for x in found[1:]:
         out = out.union(x)
@@ -211,33 +235,33 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id_col, n_bytes, n_removed, n_spans, kept binary.
+    """One row per row of docs: id_col, n_bytes, n_removed, n_spans, kept binary, kept_sha256.
 
     Texts count as UTF-8 bytes, null as empty. A byte goes if a string of ``length`` bytes that
     covers it also starts anywhere else, in this or another text; strings are judged on the
-    input. Texts under that length keep all. All but one of equal texts would be no exception:
-    every copy goes whole. kept is null where all bytes stay or none do (n_removed tells which).
-    Repeated rows are copies. Other columns are not read.
+    input. Texts under that length keep all; of equal texts of that length or more every copy goes
+    whole. kept has the remaining bytes, which may begin or end inside a character. Repeated rows are
+    copies, and an empty table gives no rows. Very long texts are read in pieces that overlap, and
+    other columns, whatever their names, are not read.
     """
-    marks = stored(_marked(docs, text_col, F.col(id_col).alias("id")).select("id", "t", F.length("data").cast("long").alias("n_bytes"), F.sha2("data", 256).alias("whole")), "sub-marks")
-    copied = stored(marks.where(F.col("n_bytes") >= length).groupBy("t").agg(F.count("*").alias("copies")).where("copies > 1").select("t"), "sub-copied")
+    bound_batches(docs.sparkSession)
     texts = _marked(docs, text_col, F.col(id_col).alias("id"))
-    spans = stored(repeated_spans(texts.select("t", "data"), length).join(copied, "t", "left_anti"), "sub-spans")
+    marks = stored(texts.select("t", F.length("data").cast("long").alias("n_bytes")).where(F.col("n_bytes") >= length), "sub-marks")
+    copied = stored(marks.groupBy("t").agg(F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes")).where("copies > 1"), "sub-copied")
+    spans = stored(repeated_spans(texts.select("t", "data"), length), "sub-spans").join(copied, "t", "left_anti")
     per_text = spans.groupBy("t").agg(F.collect_set(F.array("a", "b")).alias("spans"))
+    gone_of = stored(per_text.union(copied.select("t", F.array(F.array(F.lit(0).cast("long"), "n_bytes")))), "sub-gone")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for i, data, spans in zip(batch["id"], batch["data"], batch["spans"], strict=True):
-                gone = _merged(spans)
+                gone = [] if spans is None else _merged(spans)
                 edges = [0] + [x for s in gone for x in s] + [len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                rows.append((i, len(data), len(data) - len(kept), len(gone), kept))
-            yield pd.DataFrame(rows, columns=["id", "n_bytes", "n_removed", "n_spans", "kept"])
+                rows.append((i, len(data), len(data) - len(kept), len(gone), kept, hashlib.sha256(kept).hexdigest()))
+            yield pd.DataFrame(rows, columns=["id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    part = texts.join(per_text.hint("merge"), "t").select("id", "data", "spans").mapInPandas(cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
-    part = part.select("id", "n_bytes", "n_removed", "n_spans", "kept", F.sha2("kept", 256).alias("kept_sha256"))
-    all_gone = marks.join(copied, "t").selectExpr("id", "n_bytes", "n_bytes AS n_removed", "1L AS n_spans", "cast(NULL AS binary) AS kept", "sha2('', 256) AS kept_sha256")
-    all_stays = marks.join(copied, "t", "left_anti").join(spans.select("t").distinct(), "t", "left_anti").selectExpr("id", "n_bytes", "0L AS n_removed", "0L AS n_spans", "cast(NULL AS binary) AS kept", "whole AS kept_sha256")
-    return part.union(all_gone).union(all_stays).withColumnRenamed("id", id_col)
+    judged = texts.join(gone_of.hint("merge"), "t", "left").select("id", "data", "spans")
+    return judged.mapInPandas(tidy(cut), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string").withColumnRenamed("id", id_col)

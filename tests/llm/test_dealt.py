@@ -10,7 +10,7 @@ import pytest
 import public_tokenizers
 import tiktoken
 
-from tessera.llm import bpe, decontam, iblt, langid, minhash, pii, quality, queries, secrets, substrings, warc
+from tessera.llm import bpe, decontam, iblt, langid, minhash, pii, quality, queries, secrets, substrings, suffixes, warc
 
 SF, SF01 = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
@@ -247,6 +247,41 @@ def test_repeats_of_a_very_frequent_anchor(spark, monkeypatch):
     assert set(plain(substrings.remove_repeats(df, 400), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) == want
 
 
+@pytest.mark.parametrize("bucketwise", [0, 200, 10**9])
+def test_suffix_arrays(monkeypatch, bucketwise):
+    monkeypatch.setattr(suffixes, "BUCKETWISE", bucketwise)
+    rng = np.random.default_rng(3)
+    for k in range(60):
+        text = [*rng.integers(1, rng.integers(2, 6), rng.integers(1, 50)).tolist(), *[1] * (k % 9), 0]
+        order = suffixes.suffix_array(np.array(text), 6)
+        assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+        common = suffixes.permuted_prefixes(np.array(text), order, -1)
+        for a, b in zip(order, order[1:], strict=False):
+            pair = text[a:], text[b:]
+            assert common[b] == next(i for i, (x, y) in enumerate(zip(*pair, strict=False)) if x != y)
+
+
+def test_planted_passages_go_and_others_stay(spark):
+    """Passages of over 50 words in several documents: those of 400 bytes and more go, whole; no other byte does."""
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(3, 11))) for _ in range(3000)]
+    prose = lambda n: " ".join(rng.choice(words, n))
+    passages = [prose(n) for n in (51, 60, 75, 90, 140)]
+    texts = [prose(int(rng.integers(60, 200))) for _ in range(40)]
+    for k in range(15):
+        texts.append(f"{prose(30)} | {passages[k % 5]} | {prose(40)}")
+    got = substrings.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 400).collect()
+    want = brute_repeats(texts, 400)
+    for r in got:
+        k = r["doc_id"]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[k]
+        if k < 40:
+            assert r["n_removed"] == 0 and bytes(r["kept"]).decode() == texts[k]
+        elif len(passages[(k - 40) % 5]) >= 400:
+            assert passages[(k - 40) % 5] not in bytes(r["kept"]).decode() and r["n_removed"] >= len(passages[(k - 40) % 5])
+    assert sum(len(p) >= 400 for p in passages) >= 3
+
+
 def test_repeats_of_empty_and_clashing_tables(nothing, awkward, clashing):
     assert substrings.remove_repeats(nothing, 400).count() == 0
     a, b = (sorted(map(str, substrings.remove_repeats(x, 400).collect())) for x in (awkward, clashing))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.session import is_empty, stored
+from tessera.session import discard, is_empty, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,6 +21,8 @@ def components(edges: DataFrame) -> DataFrame:
         spread = stored(labels.join(offered, "node").select("node", F.least("component", "theirs").alias("component"), F.col("component").alias("was")), "cc-spread")
         jumped = spread.join(spread.selectExpr("node AS component", "component AS beyond"), "component").select("node", F.least("component", "beyond").alias("component"), "was")
         new = stored(jumped, "cc-labels")
+        discard(spread, labels)
         if is_empty(new.where("component < was")):
+            discard(both)
             return new.select("node", "component")
         labels = new.select("node", "component")

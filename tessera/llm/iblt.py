@@ -70,7 +70,9 @@ def peel(cells: Column, size: Column, seed: int = 0, rounds: int = 40) -> Column
     third = (size / 3).cast("int")
 
     def step(state: Column, _: Column) -> Column:
-        pure = F.array_distinct(F.transform(F.filter(state["cells"], lambda x: (F.abs(x["n"]) == 1) & (x["h"] == _check(x["k"]))), lambda x: F.struct(x["n"].alias("n"), x["k"].alias("k"))))
+        # a digest may be alone in several cells: sorted, its equals are neighbours
+        alone = F.sort_array(F.transform(F.filter(state["cells"], lambda x: (F.abs(x["n"]) == 1) & (x["h"] == _check(x["k"]))), lambda x: F.struct(x["n"].alias("n"), x["k"].alias("k"))))
+        pure = _let(alone, lambda e: F.filter(e, lambda x, i: (i == 0) | (x != F.get(e, i - 1))))
 
         def off(found: Column) -> Column:
             rest = _fold(F.concat(state["cells"], F.flatten(F.transform(found, lambda x: _entries(x["k"], -x["n"], third, seed)))))
@@ -109,35 +111,50 @@ def as_text(cells: Column) -> Column:
     return F.array_join(F.transform(cells, lambda x: F.concat_ws(".", x["c"].cast("string"), x["n"].cast("string"), F.lower(F.hex(x["k"])), F.lower(F.hex(x["h"])))), " ")
 
 
+#: Characters of a range of texts that follow each other.
+RANGE_CHARS = 32 << 20
+
+
+def _at_most(cuts: Column, n: int, key: Column) -> Column:
+    """How many of the n cuts, in ascending order, are at most the key: a binary search."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, n.bit_length())))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & (F.get(cuts, at + step - 1) <= key), at + step).otherwise(at))
+
+
 def with_next(rows: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     """Each row with columns of the row that follows by id as next_<column> (after the last: the first).
 
-    Ids are cut into ranges at quantiles; a range is a partition of a window, and gets a copy of
-    the first row of the next range, so that no row needs more than its own range. Null ids
-    come first; equal ids are ordered by the digest of the columns.
+    Null ids come first; equal ids, and null ones, are ordered by a hash of the columns. The rows are
+    cut into ranges of about RANGE_CHARS by id and hash, as many as that makes; a range is a partition of a window, and gets a copy of
+    the first row of the next range, so that no row needs more than its own range.
     """
     spark = rows.sparkSession
-    n = max(2, min(2000, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    cuts = rows.agg(F.percentile_approx(id_col, [k / n for k in range(1, n)], 10000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    bounds = F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>")
-    ranged = rows.withColumn("range", F.coalesce(F.size(F.filter(bounds, lambda b: b <= F.col(id_col))), F.lit(0))).withColumn("guest", F.lit(False))
-    firsts = ranged.where(F.col(id_col).isNotNull()).groupBy("range").agg(F.min(id_col).alias("first")).orderBy("range").collect()  # one row a range
-    if firsts:
-        to = [firsts[-1]["range"]] + [r["range"] for r in firsts[:-1]]
-        moves = spark.createDataFrame([(r["first"], t) for r, t in zip(firsts, to, strict=True)], "first long, to int")
-        guests = ranged.join(F.broadcast(moves), F.col(id_col) == F.col("first")).withColumn("range", F.col("to")).withColumn("guest", F.lit(True)).select(ranged.columns)
-        ranged = ranged.union(guests)
-    w = Window.partitionBy("range").orderBy("guest", F.col(id_col).asc_nulls_first(), F.xxhash64(*columns))
-    return ranged.withColumns({f"next_{c}": F.lead(c).over(w) for c in columns}).where("NOT guest").drop("range", "guest")
+    # a range's place is the order of ids, nulls in front, then that of hashes
+    keyed = rows.withColumn("key", F.struct(F.col(id_col).isNotNull().alias("some"), F.coalesce(id_col, F.lit(0)).alias("id"), F.xxhash64(*columns).alias("h")))
+    keys = stored(keyed.select("key", F.length("text").alias("n")), "iblt-keys")
+    n = max(2, int((keys.agg(F.sum("n")).first()[0] or 0) // RANGE_CHARS) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    per_range = keys.select("key").repartitionByRange(n, "key").groupBy(F.spark_partition_id().alias("p")).agg(F.min("key").alias("cut"))
+    found = [r["cut"] for r in per_range.orderBy("p").collect()][1:]  # one row a range
+    cuts = F.array(*[F.struct(F.lit(c["some"]).alias("some"), F.lit(c["id"]).cast("long").alias("id"), F.lit(c["h"]).cast("long").alias("h")) for c in found])
+    ranged = keyed.withColumn("range", _at_most(cuts, len(found), F.col("key")) if found else F.lit(0)).withColumn("guest", F.lit(False))
+    # the first row of each range, as a guest after the last of the range in front; n rows at most
+    firsts = stored(ranged.groupBy("range").agg(F.min_by(F.struct(id_col, *columns), "key").alias("x")), "iblt-firsts")
+    numbers = sorted(r["range"] for r in firsts.select("range").collect())
+    if numbers:
+        moves = spark.createDataFrame(list(zip(numbers, [numbers[-1], *numbers[:-1]], strict=True)), "range int, to int")
+        guests = firsts.join(F.broadcast(moves), "range").select("x.*", F.col("to").alias("range"), F.lit(True).alias("guest"))
+        ranged = ranged.select(id_col, *columns, "key", "range", "guest").unionByName(guests, allowMissingColumns=True)
+    w = Window.partitionBy("range").orderBy("guest", "key")
+    return ranged.withColumns({f"next_{c}": F.lead(c).over(w) for c in columns}).where("NOT guest").drop("key", "range", "guest")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edit, whose last quarter is the start of the next text's.
 
     Returns id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next. A null text is empty (an empty fingerprint; two of them are alike: 1). Rows that repeat an id
-    follow each other. An empty table gives no rows.
+    near_next. A null text is empty (an empty fingerprint; two of them are alike: 1). Rows without an id come
+    first, in the order of their texts' hashes, and rows that repeat an id follow each other so; after the last row comes the first.
+    An empty table gives no rows. Very long texts make longer lists of digests only, and other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("units", paragraphs(F.col("text")))

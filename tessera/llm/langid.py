@@ -8,17 +8,25 @@ every centroid are rejected.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 
+from tessera.session import stored
+
+from .memory import bound_batches, tidy
+
 UNKNOWN = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Lengths that rejection tells apart.
+CLASSES = 7
+#: Share of a sample that may be junk under its language's label.
+FEW = 0.02
+_LETTERS = regex.compile(r"\p{L}+")
 
 
 @dataclass(frozen=True)
@@ -26,7 +34,7 @@ class Model:
     langs: list[str]  #: of each centroid
     centroids: np.ndarray  #: a row each, normalised
     idf: np.ndarray
-    floor: float  #: cosine under which a text is rejected
+    floors: np.ndarray  #: of each centroid and length, the cosine under which a text is rejected
 
 
 def counts(text: str | None, bits: int) -> np.ndarray | None:
@@ -59,45 +67,70 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = 300, most_langs: int = 64, clusters: int = 4, bits: int = 12, slack: float = 0.35) -> Model:
+def _length_class(text: str | None) -> int:
+    """The number of binary digits of the number of words, CLASSES - 1 at most: rejection asks more of longer texts."""
+    return min(CLASSES - 1, len((text or "").split()).bit_length())
+
+
+def _smallest(rows: DataFrame, per_lang: int, buckets: int = 64) -> DataFrame:
+    """(lang, h) of the per_lang distinct smallest hashes of each language; first within buckets of the hash, so that no task gets a language's rows."""
+    first = rows.select("lang", "h").distinct().selectExpr("lang", "h", f"row_number() OVER (PARTITION BY lang, pmod(h, {buckets}) ORDER BY h) AS k").where(F.col("k") <= per_lang)
+    return first.selectExpr("lang", "h", "row_number() OVER (PARTITION BY lang ORDER BY h) AS k").where(F.col("k") <= per_lang).select("lang", "h")
+
+
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = 300, clusters: int = 4, bits: int = 12, slack: float = 0.6) -> Model:
     """Fit on a bounded sample: of each language the per_lang distinct texts of smallest hash.
 
-    Rows with a null text or language are left out; of more than most_langs languages the most
-    frequent are learned. The driver gets at most per_lang * most_langs vectors of 2**bits
-    numbers, whatever the input. floor, the cosine of rejection, is slack times the smallest
-    cosine that a twelve-word piece of the sample has to its own language's centroids.
+    Rows with a null text or language, or without a letter, are left out; every other language is learned,
+    each in a task of its own. The driver gets, for each language, clusters vectors of 2**bits numbers.
+    A language's floors, the cosines of rejection by length, are slack times the cosine to its own centroids
+    that all but FEW of the beginnings of its sample texts of that length reach.
     """
     spark = labelled.sparkSession
+    bound_batches(spark)
     rows = labelled.select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()]
-    if not langs:
-        return Model([], np.zeros((0, 1 << bits), np.float32), np.ones(1 << bits, np.float32), 0.0)
-    # hashes first, so that only the texts taken move
-    hashes = rows.select("lang", "h").where(F.col("lang").isin(langs)).groupBy("lang", "h").count().selectExpr("lang", "h", "row_number() OVER (PARTITION BY lang ORDER BY h) AS k").where(F.col("k") <= per_lang)
-    taken = spark.createDataFrame([(r["lang"], r["h"]) for r in hashes.collect()], "lang string, h long")  # at most per_lang * most_langs rows
+    taken = stored(_smallest(rows, per_lang), "lang-taken")
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [(lang, h, x) for lang, h, t in zip(batch["lang"], batch["h"], batch["text"], strict=True) if (x := counts(t, bits)) is not None]
-            pieces = [counts(" ".join(t.split()[:12]), bits) for lang, h, t in zip(batch["lang"], batch["h"], batch["text"], strict=True) if counts(t, bits) is not None]
-            yield pd.DataFrame({"lang": [m[0] for m in made], "h": [m[1] for m in made], "x": [m[2].tobytes() for m in made], "piece": [None if p is None else p.tobytes() for p in pieces]})
-
-    sample = rows.join(F.broadcast(taken), ["lang", "h"]).select("lang", "h", "text").mapInPandas(vectors, "lang string, h long, x binary, piece binary").dropDuplicates(["lang", "h"]).orderBy("lang", "h").toPandas()
-    if sample.empty:
-        return Model([], np.zeros((0, 1 << bits), np.float32), np.ones(1 << bits, np.float32), 0.0)
-    raw = np.stack([np.frombuffer(x, dtype=np.float32) for x in sample["x"]])
-    idf = (np.log((1 + len(raw)) / (1 + (raw > 0).sum(axis=0))) + 1).astype(np.float32)
-    x, of = weigh(raw, idf), sample["lang"].to_numpy()
-    names, centres = [], []
-    for lang in sorted(set(of)):
-        c = _cluster(x[of == lang], clusters)
-        names += [lang] * len(c)
-        centres.append(c)
-    all_centres = np.concatenate(centres).astype(np.float32)
-    has = sample["piece"].notna().to_numpy()
-    pieces = weigh(np.stack([np.frombuffer(p, dtype=np.float32) for p in sample["piece"][has]]), idf) @ all_centres.T
-    own = np.where(np.array(names)[None, :] == of[has][:, None], pieces, -1).max(axis=1)
-    return Model(names, all_centres, idf, float(slack * own.min()))
+            made = [(lang, h, x.tobytes(), " ".join(t.split()[: 1 << CLASSES])) for lang, h, t in zip(batch["lang"], batch["h"], batch["text"], strict=True) if (x := counts(t, bits)) is not None]
+            yield pd.DataFrame(made, columns=["lang", "h", "x", "head"])
+
+    # at most per_lang rows a language, and few languages
+    sample = stored(rows.join(F.broadcast(taken), ["lang", "h"]).mapInPandas(tidy(vectors), "lang string, h long, x binary, head string").dropDuplicates(["lang", "h"]), "lang-sample")
+
+    def seen_in(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, seen = 0, np.zeros(1 << bits, dtype=np.int64)
+        for batch in batches:
+            for x in batch["x"]:
+                n, seen = n + 1, seen + (np.frombuffer(x, dtype=np.float32) > 0)
+        yield pd.DataFrame({"n": [n], "seen": [seen.tobytes()]})
+
+    parts = sample.select("x").mapInPandas(tidy(seen_in), "n long, seen binary").collect()  # one row a partition
+    seen = sum((np.frombuffer(r["seen"], dtype=np.int64) for r in parts), np.zeros(1 << bits))
+    idf = (np.log((1 + sum(r["n"] for r in parts)) / (1 + seen)) + 1).astype(np.float32)
+
+    def centroids(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("h")
+        centres = _cluster(weigh(np.stack([np.frombuffer(x, dtype=np.float32) for x in group["x"]]), idf), clusters).astype(np.float32)
+        near: list[list[float]] = [[] for _ in range(CLASSES)]
+        for head in group["head"]:
+            words = head.split()
+            for n in {min(len(words), 1 << k) for k in range(CLASSES)}:
+                x = counts(" ".join(words[:n]), bits)
+                if x is not None:
+                    near[_length_class(" ".join(words[:n]))].append(float((centres @ weigh(x, idf)).max()))
+        floors = np.array([np.quantile(x, FEW) if x else 1.0 for x in near])
+        # a longer text must not be asked for less than a shorter one, and a length unseen asks as the next
+        floors = slack * np.minimum.accumulate(floors[::-1])[::-1]
+        return pd.DataFrame({"lang": [group["lang"].iloc[0]], "centres": [centres.tobytes()], "floors": [floors.tolist()]})
+
+    found = sorted(sample.groupBy("lang").applyInPandas(centroids, "lang string, centres binary, floors array<double>").collect(), key=lambda r: r["lang"])
+    if not found:
+        return Model([], np.zeros((0, 1 << bits), np.float32), idf, np.zeros((0, CLASSES)))
+    centres = [np.frombuffer(r["centres"], dtype=np.float32).reshape(-1, 1 << bits) for r in found]
+    repeat = [len(c) for c in centres]
+    return Model([r["lang"] for r, k in zip(found, repeat, strict=True) for _ in range(k)], np.concatenate(centres), idf, np.repeat(np.array([r["floors"] for r in found]), repeat, axis=0))
 
 
 def judge(texts: list[str | None], m: Model) -> tuple[list[str], list[float], list[bool]]:
@@ -113,7 +146,7 @@ def judge(texts: list[str | None], m: Model) -> tuple[list[str], list[float], li
         for i in range(len(made)):
             langs.append(m.langs[best[i]] if i in best else UNKNOWN)
             scores.append(float(min(1.0, max(0.0, top[i]))) if i in top else 0.0)
-            rejected.append(bool(i not in top or top[i] < m.floor))
+            rejected.append(bool(i not in top or top[i] < m.floors[best[i], _length_class(texts[k + i])]))
     return langs, scores, rejected
 
 
@@ -122,9 +155,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     score is the cosine to the nearest centroid (0 to 1; equal cosines: the language first in
     order). A text that is null or without a letter is `und`, score 0, rejected; so is every
-    text if the model has no language. A text under the model's floor keeps its nearest
-    language and is rejected. The model (a bounded number of centroids) is broadcast.
+    text if the model has no language. A text under the floor of its nearest centroid for its length keeps that
+    language and is rejected; a long text in a language that was not learned is, one of a word or two may not be. The model (a bounded number of centroids) is broadcast.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,19 +167,20 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             yield pd.DataFrame({"id": batch["id"], "lang_pred": langs, "score": scores, "rejected": rejected})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInPandas(run, f"id {kind}, lang_pred string, score double, rejected boolean")
+    out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInPandas(tidy(run), f"id {kind}, lang_pred string, score double, rejected boolean")
     return out.withColumnRenamed("id", id_col)
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns as they are, whose text is not rejected; nothing is shuffled."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array([not x for x in judge(batch.column(text_col).to_pylist(), shared.value)[2]], type=pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def held_out(id_col: str = "doc_id"):

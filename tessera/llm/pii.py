@@ -1,8 +1,8 @@
 """Surrogates for personal data, in SQL expressions.
 
 Entities are found by one regex; each becomes a keyed surrogate of its own kind and format. A
-surrogate follows from the key and the entity's identity (an e-mail without letter case, a
-phone number's digits), so that mentions of one identity stay together; distinct identities of
+surrogate follows from the key and the identity (an e-mail without letter case, a phone number's
+digits, a surname apart from its title), so that mentions of one identity stay together; distinct identities of
 the whole table are checked for equal surrogates, and for surrogates that are some other
 identity, and those get another attempt until none collide.
 """
@@ -11,12 +11,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.session import is_empty, stored
+from tessera.session import stored
 
 # The regex of each kind, in order of precedence, and the names by gender.
 KINDS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)",
+    "intl": r"(?<![\w.+])\+(?=(?:[ ./()-]{0,2}\d){8,15}(?![ ./()-]?\d))\d{1,3}(?:[ ./()-]{0,2}\d{1,4}){2,7}(?!\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w.])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\w)",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w])",
@@ -41,11 +42,20 @@ def kind_of(entity: Column) -> Column:
     return out
 
 
-def identity_of(entity: Column, kind: Column) -> Column:
-    """What makes two mentions one: kind and the entity without its format."""
-    digits = F.regexp_replace(entity, r"\D", "")
-    plain = F.when(kind == "email", F.lower(entity)).when(kind == "phone", F.substring(digits, -10, 10)).when(kind.isin("ssn", "card"), digits)
-    return F.concat_ws(":", kind, F.coalesce(plain, entity))
+def parts_of(entity: Column, kind: Column) -> Column:
+    """struct(role, part) of what is replaced of an entity: the whole of it, or of a name the surname and the given name."""
+    words = F.split(entity, " ")
+    given = F.concat(F.lit("given_"), F.when(entity.rlike(FEMALE_TITLE), "f").otherwise("m"))
+    surname = F.struct(F.lit("surname").alias("role"), F.element_at(words, -1).alias("part"))
+    names = F.when(F.size(words) > 2, F.array(surname, F.struct(given.alias("role"), words[1].alias("part")))).otherwise(F.array(surname))
+    return F.when(kind == "name", names).otherwise(F.array(F.struct(kind.alias("role"), entity.alias("part"))))
+
+
+def identity_of(part: Column, role: Column) -> Column:
+    """What makes two mentions one: the role and the part without its format and letter case."""
+    digits = F.regexp_replace(part, r"\D", "")
+    plain = F.when(role == "phone", F.substring(digits, -10, 10)).when(role.isin("ssn", "card", "intl"), digits).when(role == "ip", part).otherwise(F.lower(part))
+    return F.concat_ws(":", role, plain)
 
 
 def _digits(seed: Column, n: int) -> Column:
@@ -72,67 +82,88 @@ def _pick(values: list[str], seed: Column, salt: str) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), F.pmod(F.xxhash64(F.sha2(F.concat(seed, F.lit(salt)), 256)), F.lit(len(values))).cast("int") + 1)
 
 
-def surrogate(entity: Column, kind: Column, seed: Column) -> Column:
-    """The replacement of an entity by a seed: of its kind, gender, script and format."""
-    all_digits = F.regexp_replace(entity, r"\D", "")
+def surrogate(part: Column, role: Column, seed: Column, attempt: Column) -> Column:
+    """The replacement of a part by a seed: of its kind, gender, script and format."""
+    all_digits = F.regexp_replace(part, r"\D", "")
     n = F.length(all_digits)
     # e-mail: letters and digits of the user replaced one by one, at least eight of them; a reserved domain
-    user = F.substring_index(entity, "@", 1)
+    user = F.substring_index(part, "@", 1)
     letters = F.translate(F.substring(F.sha2(F.concat(seed, F.lit("u")), 256), 1, 64), "0123456789", "ghijkmnpqr")
     email = F.concat(F.substring(letters, 1, 10), F.regexp_extract(user, r"[._+-]", 0), F.when(user.rlike(r"\d"), _digits(seed, 3)).otherwise(""), F.lit("@"), F.lit("mail.example.org"))
-    phone = _in_format(entity, F.concat(F.lit("2"), _digits(seed, 9)))
-    ssn = _in_format(entity, F.concat(F.lit("9"), _digits(seed, 8)))
+    phone = _in_format(part, F.concat(F.lit("2"), _digits(seed, 9)))
+    # other countries: the digits of the country code stay
+    code = F.length(F.regexp_extract(part, r"^\+(\d{1,3})(?!\d)", 1))
+    intl = _in_format(part, F.substring(_digits(seed, 30), F.lit(1), n - F.when(code > 0, code).otherwise(2)))
+    ssn = _in_format(part, F.concat(F.lit("9"), _digits(seed, 8)))
     body = F.concat(F.substring(all_digits, 1, 1), F.substring(_digits(seed, 30), F.lit(1), n - 2))
     valid = _luhn(F.substring(all_digits, F.lit(1), n - 1)) == F.substring(all_digits, -1, 1)
-    card = _in_format(entity, F.concat(body, F.when(valid, _luhn(body)).otherwise(_digits(F.concat(seed, F.lit("c")), 1))))
-    octet = lambda k: (F.pmod(F.xxhash64(F.concat(seed, F.lit(f"ip{k}"))), F.lit(254)) + 1).cast("string")
-    ip = F.concat_ws(".", F.lit("10"), octet(1), octet(2), octet(3))
-    title = F.regexp_extract(entity, r"^\S+", 0)
-    cyrillic, female = entity.rlike(r"\p{IsCyrillic}"), entity.rlike(FEMALE_TITLE)
-    first = F.when(cyrillic & female, _pick(WOMEN_CYRILLIC, seed, "f")).when(cyrillic, _pick(MEN_CYRILLIC, seed, "f")).when(female, _pick(WOMEN, seed, "f")).otherwise(_pick(MEN, seed, "f"))
-    last = F.initcap(F.when(cyrillic, F.concat(*[_pick(SYLLABLES_CYRILLIC, seed, f"l{k}") for k in range(6)])).otherwise(F.concat(*[_pick(SYLLABLES, seed, f"l{k}") for k in range(6)])))
-    name = F.when(entity.rlike(r" \p{Lu}\p{Ll}+ \p{Lu}"), F.concat_ws(" ", title, first, last)).otherwise(F.concat_ws(" ", title, last))
-    return F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "ssn", ssn).when(kind == "card", card).when(kind == "ip", ip).when(kind == "name", name).otherwise(F.lit("[PRIVATE]"))
-
-
-def replace_entities(docs: DataFrame, key: str = "tessera", text_col: str = "text", most_attempts: int = 50) -> DataFrame:
-    """docs with the entities of text_col replaced, and n_entities.
-
-    All rows and columns stay, in any number of copies; a null text stays null with 0 entities.
-    Surrogates differ for different identities of the table and are no identity that occurs in
-    it: colliding identities (all but the one of smallest hash) try again, at most
-    most_attempts times, then the job fails. Names are found after titles, which give the gender.
-    Only texts with entities are shuffled; the others pass through.
+    card = _in_format(part, F.concat(body, F.when(valid, _luhn(body)).otherwise(_digits(F.concat(seed, F.lit("c")), 1))))
+    # addresses of private networks stay there, others go to the range that is in nobody's use (240 to 254)
+    octet = lambda k, most: F.pmod(F.xxhash64(F.concat(seed, F.lit(f"ip{k}"))), F.lit(most))
+    first = F.when(part.rlike(r"^(10\.|192\.168\.|172\.(1[6-9]|2\d|3[01])\.)"), F.lit(10)).otherwise(octet(0, 15) + 240)
+    ip = F.concat_ws(".", first.cast("string"), *[octet(k, 256).cast("string") for k in (1, 2, 3)])
+    cyrillic = part.rlike(r"\p{IsCyrillic}")
+    syllables = lambda k: F.when(cyrillic, F.concat(*[_pick(SYLLABLES_CYRILLIC, seed, f"l{j}") for j in range(k)])).otherwise(F.concat(*[_pick(SYLLABLES, seed, f"l{j}") for j in range(k)]))
+    # given names are common ones as far as those go, then longer ones that begin so
+    women = F.when(cyrillic, _pick(WOMEN_CYRILLIC, seed, "f")).otherwise(_pick(WOMEN, seed, "f"))
+    men = F.when(cyrillic, _pick(MEN_CYRILLIC, seed, "f")).otherwise(_pick(MEN, seed, "f"))
+    given = F.concat(F.when(role == "given_f", women).otherwise(men), F.when(attempt > 0, syllables(4)).otherwise(""))
+    return F.when(role == "email", email).when(role == "phone", phone).when(role == "intl", intl).when(role == "ssn", ssn).when(role == "card", card).when(role == "ip", ip).when(role == "surname", F.initcap(syllables(6))).otherwise(given)
+
+
+def replace_entities(docs: DataFrame, key: str = "tessera", text_col: str = "text", count_col: str = "n_entities") -> DataFrame:
+    """docs with the entities of text_col replaced, and count_col, the number of them.
+
+    Found are e-mails; phone numbers in the 3-3-4 grouping, and in any grouping after + and a country code (8 to
+    15 digits); social security numbers (3-2-4); card numbers; IPv4 addresses; and names of one or two words after
+    a title, which gives the gender. A surname has one surrogate whatever title or given name is in front
+    of it, and a given name has one for each gender. Other forms stay as they are.
+
+    All rows and columns stay, in any number of copies, whatever the columns' names (a column named count_col
+    is replaced); a null text stays null with 0 entities, and an empty table stays empty. Surrogates differ
+    for different identities of the table and are no identity that occurs in it: colliding identities (all
+    but the one of smallest hash) try again until none are left; the job fails if 30 rounds in a
+    row leave as many, for then a kind has more identities than surrogates.
+    Only texts with entities are shuffled; the others pass through. Time is linear in a text's length.
     """
     text = F.col(text_col)
     found = F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)))
     lists = stored(docs.select(F.sha2(text, 256).alias("t"), F.array_distinct(found).alias("entities")).where(F.size("entities") > 0).dropDuplicates(["t"]), "pii-lists")
     mentions = lists.select("t", F.explode("entities").alias("entity"))
     entities = stored(mentions.select("entity").distinct().withColumn("kind", kind_of(F.col("entity"))), "pii-kinds")
-    entities = stored(entities.withColumn("identity", identity_of(F.col("entity"), F.col("kind"))), "pii-entities")
-    known = stored(entities.groupBy("identity", "kind").agg(F.min("entity").alias("entity"), F.lit(0).alias("attempt")), "pii-known")
+    parts = entities.select("entity", "kind", F.inline(parts_of(F.col("entity"), F.col("kind"))))
+    parts = stored(parts.withColumn("identity", identity_of(F.col("part"), F.col("role"))), "pii-parts")
+    known = stored(parts.groupBy("identity", "role").agg(F.min("part").alias("part"), F.lit(0).alias("attempt")), "pii-known")
 
     def seeded(rows: DataFrame) -> DataFrame:
         seed = F.sha2(F.concat_ws("|", F.lit(key), "identity", F.col("attempt").cast("string")), 256)
-        return stored(rows.withColumn("seed", seed), "pii-seeds").withColumn("new", surrogate(F.col("entity"), F.col("kind"), F.col("seed")))
+        return stored(rows.withColumn("seed", seed), "pii-seeds").withColumn("new", surrogate(F.col("part"), F.col("role"), F.col("seed"), F.col("attempt")))
 
-    for _ in range(most_attempts):
-        tried = stored(seeded(known), "pii-tried").withColumn("new", identity_of(F.col("new"), F.col("kind")))
+    before, same = None, 0
+    while True:
+        tried = stored(seeded(known), "pii-tried").withColumn("new", identity_of(F.col("new"), F.col("role")))
         firsts = tried.groupBy("new").agg(F.min_by("identity", F.struct("attempt", F.xxhash64("identity"))).alias("first"))
         taken = known.select(F.col("identity").alias("new"), F.lit(True).alias("real"))
         judged = tried.join(firsts, "new").join(taken, "new", "left").where((F.col("identity") != F.col("first")) | F.col("real"))
         lost = stored(judged.select("identity", F.lit(1).alias("again")), "pii-lost")
-        if is_empty(lost):
+        left = lost.count()
+        if not left:
             break
-        known = stored(known.join(lost, "identity", "left").select("identity", "kind", "entity", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt")), "pii-known")
-    else:
-        raise ValueError("surrogates still collide: allow more attempts")
-    news = stored(seeded(entities.join(known.select("identity", "attempt"), "identity")).select("entity", "new"), "pii-new")
+        same = same + 1 if left == before else 0
+        if same == 30:
+            raise ValueError(f"{left} surrogates still collide: their kind has no more")
+        before = left
+        known = stored(known.join(lost, "identity", "left").select("identity", "role", "part", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt")), "pii-known")
+    new_parts = stored(seeded(parts.join(known.select("identity", "attempt"), "identity")), "pii-new-parts")
+    title = F.regexp_extract("entity", r"^\S+", 0)
+    one = lambda *roles: F.max(F.when(F.col("role").isin(*roles), F.col("new")))
+    whole = new_parts.groupBy("entity", "kind").agg(one("given_f", "given_m").alias("given"), one("surname").alias("surname"), F.max("new").alias("new"))
+    news = stored(whole.select("entity", F.when(F.col("kind") == "name", F.concat_ws(" ", title, "given", "surname")).otherwise(F.col("new")).alias("new")), "pii-new")
     maps = stored(mentions.join(news, "entity").groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct("entity", "new"))).alias("__new")), "pii-maps")
     rows = docs.withColumn("__found", F.coalesce(found, F.array().cast("array<string>")))
-    plain = rows.where(F.size("__found") == 0).withColumn("n_entities", F.lit(0)).drop("__found")
+    plain = rows.where(F.size("__found") == 0).withColumn(count_col, F.lit(0)).drop("__found")
     some = rows.where(F.size("__found") > 0).withColumn("__t", F.sha2(text, 256)).join(maps.withColumnRenamed("t", "__t"), "__t")
     news_of = F.transform("__found", lambda e: F.element_at("__new", e))
-    parts = F.zip_with(F.split(text, _ANY, -1), news_of, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    some = some.withColumn("n_entities", F.size("__found")).withColumn(text_col, F.array_join(parts, ""))
+    pieces = F.zip_with(F.split(text, _ANY, -1), news_of, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    some = some.withColumn(count_col, F.size("__found")).withColumn(text_col, F.array_join(pieces, ""))
     return plain.unionByName(some.drop("__found", "__t", "__new"))

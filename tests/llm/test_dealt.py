@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontam, iblt, langid, minhash, pii, quality, queries, secrets, substrings, suffixes, warc
 
@@ -153,6 +154,14 @@ def test_fingerprints(spark, small):
 def test_fingerprints_of_awkward_tables(awkward, clashing, nothing):
     a, b = (sorted(map(str, iblt.edited_fingerprints(x).collect())) for x in (awkward, clashing))
     assert a == b and len(a) == awkward.count()
+    # repeated and null ids too have a text that follows: every text but one per place is some row's next
+    rows = [(r["doc_id"], r["text"] or "") for r in awkward.select("doc_id", "text").collect()]
+    nexts = iblt.with_next(awkward.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", ["text"]).collect()
+    assert Counter(r["next_text"] for r in nexts) == Counter(t for _, t in rows) == Counter(r["text"] for r in nexts)
+    once = {i: t for i, t in rows if sum(j == i for j, _ in rows) == 1 and i is not None}
+    ids = sorted(once)
+    after = {r["doc_id"]: r["next_text"] for r in nexts}
+    assert all(after[i] == once[j] for i, j in zip(ids, ids[1:], strict=False) if j == i + 1)
     assert iblt.edited_fingerprints(nothing).count() == 0
     assert iblt.edited_fingerprints(awkward.where("doc_id = 12").limit(1)).select("near_next").first()[0] == 1.0
 
@@ -192,6 +201,57 @@ def test_surrogates_keep_identities_apart_on_the_table(spark):
     assert seen and len(set(seen.values())) == len(seen) and not set(seen) & set(seen.values())
 
 
+def test_surrogates_keep_people_together_and_apart(spark):
+    texts = [
+        "Mrs. Stein, Mrs Stein, Mrs. Marta Stein, Frau Stein and Frau Marta Stein; Mr. Stein is her son.",
+        "Mrs. Olga Stein is someone else, and so is Mrs. Marta Weber.",
+        "Ring +49 30 1234567 or +49-30-1234567, else +33 1 23 45 67 89 or (415) 555-0199. Order 12345678 is open.",
+        "From 8.8.8.8 to 10.1.2.3 and 192.168.0.9.",
+        "x" * 200_000 + " mail a@b.org",
+        *[f"Herr {a}{b} Berg met Ms {a}{b}" for a in ("Ka", "Lo", "Mi", "Nu") for b in ("ro", "si", "ta", "vu", "we", "xo")],
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = [r["text"] for r in pii.replace_entities(df).orderBy("doc_id").collect()]
+    stein = re.findall(r"(?:Mrs\.?|Frau|Mr\.) (?:([A-Z]\w+) )?([A-Z]\w+)", out[0])
+    assert len({x[1] for x in stein}) == 1 and len({x[0] for x in stein} - {""}) == 1 and "Stein" not in out[0]
+    (olga, stein2), (marta, weber) = re.findall(r"Mrs\. (\w+) (\w+)", out[1])
+    assert stein2 == stein[0][1] != weber and olga != marta == stein[2][0]
+    numbers = [re.sub(r"\D", "", x) for x in re.findall(r"\+\d\d[ \d-]+\d", out[2])]
+    assert len(numbers) == 3 and numbers[0] == numbers[1] != numbers[2] and out[2].endswith("Order 12345678 is open.") and "1234567 " not in out[2]
+    assert re.fullmatch(r"From 2[45]\d\.\d+\.\d+\.\d+ to 10\.\d+\.\d+\.\d+ and 10\.\d+\.\d+\.\d+\.", out[3])
+    assert out[4].startswith("x" * 200_000 + " mail ") and "a@b.org" not in out[4]
+    given = [re.search(r"Herr (\w+) \w+", x)[1] for x in out[5:]]
+    assert len(set(given)) == len(given)  # distinct people keep distinct names
+
+
+def test_surrogates_replace_entities_only(spark):
+    """Against a plain version of the detection: what is between the entities stays, byte for byte."""
+    import regex
+
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    before, after = ({r["doc_id"]: r["text"] for r in x.collect()} for x in (docs, pii.replace_entities(docs)))
+    anything = regex.compile("|".join(f"(?:{p})" for p in pii.KINDS.values()))
+    of: dict[str, str] = {}
+    changed = 0
+    for i, t in before.items():
+        found = [m.group() for m in anything.finditer(t or "")]
+        between = regex.split("|".join(f"(?:{p})" for p in pii.KINDS.values()), t or "")
+        if not found:
+            assert after[i] == t
+            continue
+        changed += 1
+        at = 0
+        for k, piece in enumerate(between):
+            assert after[i].startswith(piece, at), i
+            at += len(piece)
+            if k < len(found):
+                new = anything.match(after[i], at).group()
+                assert of.setdefault(found[k], new) == new != found[k]
+                at += len(new)
+        assert at == len(after[i])
+    assert changed > 10
+
+
 def test_surrogates_of_awkward_tables(awkward, nothing, clashing):
     assert pii.replace_entities(nothing).count() == 0
     out = pii.replace_entities(clashing)
@@ -207,6 +267,42 @@ def test_language_by_held_out_accuracy(spark):
     assert sum(r["rejected"] for r in some) <= 0.02 * len(some)
 
 
+# Texts in languages that the tables don't have.
+FOREIGN = (
+    "Wszystkie osoby są równe i wolne pod względem swej godności i swoich praw, powinny postępować wobec innych w duchu braterstwa oraz szacunku dla drugiego człowieka",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства",
+)
+
+
+def test_foreign_texts_are_rejected_and_known_ones_are_not(spark):
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    model = langid.fit(docs.where(~langid.held_out()))
+    assert all(langid.judge([f"{t} {t}" for t in FOREIGN], model)[2])
+    rows = langid.predict(docs.where(langid.held_out()), model).join(docs.select("doc_id", "text"), "doc_id").collect()
+    assert not any(r["rejected"] for r in rows if len((r["text"] or "").split()) >= 40)
+    kept = langid.accepted(docs, model)
+    assert kept.columns == docs.columns and kept.count() > 0.98 * docs.count()
+
+
+def test_language_equals_a_plain_nearest_centroid(spark, small):
+    model = langid.fit(small)
+    for r in langid.predict(small, model).join(small.select("doc_id", "text"), "doc_id").collect():
+        x = langid.counts(r["text"], 12)
+        if x is None:
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True)
+            continue
+        x = np.log1p(x) * model.idf
+        cosines = [float(x @ c / np.linalg.norm(x) / np.linalg.norm(c)) for c in model.centroids]
+        assert r["lang_pred"] == model.langs[int(np.argmax(cosines))] and r["score"] == pytest.approx(max(cosines), abs=1e-5)
+
+
+def test_letters_are_those_of_category_l():
+    assert all(langid.counts(x, 12) is None for x in ("½ ² Ⅷ", "१२ 12", "", None, "_ -"))
+    assert all(langid.counts(x, 12) is not None for x in ("ª", "x", "日", "ǅ"))
+
+
 def test_language_of_awkward_tables(awkward, clashing, nothing):
     for model in (langid.fit(awkward), langid.fit(nothing)):
         a, b = (sorted(map(str, langid.predict(x, model).collect())) for x in (awkward, clashing))

@@ -21,7 +21,10 @@ def test_pipeline_equals_plain_stages(spark):
 
     def known(text):
         x = langid.counts(text, bits)
-        return x is not None and (langid.weigh(x, model.idf) @ model.centroids.T).max() >= model.floor
+        if x is None:
+            return False
+        cosines = model.centroids @ langid.weigh(x, model.idf)
+        return cosines.max() >= model.floors[cosines.argmax(), langid._length_class(text)]
 
     rows = {i: t for i, t in rows.items() if known(t)}
     component, _ = brute_components(list(rows.items()), 5)
@@ -48,3 +51,25 @@ def test_pipeline_stages_keep_the_columns(spark, awkward):
         docs = stage(spark, docs, SF)
         assert docs.columns == awkward.columns
     assert docs.where("doc_id = 0 OR text IS NULL").count() == 0
+
+
+def test_pipeline_stages_of_empty_and_clashing_tables(spark, awkward, nothing):
+    from pyspark.sql import functions as F
+
+    names = ["away", "n_entities", "row", "component_id", "place", "first", "n", "t"]
+    clashing = awkward.withColumns({c: F.lit(f"clash {c}") for c in names})
+    for start in (nothing, clashing):
+        docs = start
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, SF)
+            assert docs.columns == start.columns
+        assert all(r["away"] == "clash away" and r["n_entities"] == "clash n_entities" for r in docs.collect()) if start is clashing else docs.count() == 0
+        assert (corpus_pipeline.encode(spark, docs, SF).count() > 0) == (start is clashing)
+
+
+def test_near_copies_without_an_id_or_with_a_shared_one(spark):
+    text, other = "one two three four five six seven eight nine ten eleven", "quite another text of nine words or even more"
+    rows = [(None, text), (None, text), (7, other), (7, text), (7, text), (9, "short"), (None, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = [(r["doc_id"], r["text"]) for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, SF).collect()]
+    assert sorted(out, key=str) == sorted([(7, other), (7, text), (9, "short"), (None, ""), (None, None)], key=str)

@@ -14,23 +14,41 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return langid.accepted(docs, langid.fit(docs))
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate component (five-word shingles, 0.8) the document of smallest id stays."""
-    away = minhash.near_duplicates(docs, minhash.Params()).where("NOT kept").select("doc_id").distinct()
-    return docs.join(away, "doc_id", "left_anti")
+    """Of each near-duplicate component (five-word shingles, 0.8) one row stays, that of the smallest id.
+
+    Rows are numbered, so that those without an id, and those that share one, are judged by themselves.
+    Rows without a word are in no component and stay.
+    """
+    row = _free(docs, "row")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows")
+    found = minhash.near_duplicates(rows, minhash.Params(), id_col=row).withColumnRenamed(row, "row")
+    ids = rows.select(F.col(row).alias("row"), F.struct(F.col("doc_id").isNull(), "doc_id", F.col(row)).alias("place"))
+    away = found.join(ids, "row").groupBy("component_id").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    away = found.join(ids, "row").join(away.where("n > 1"), "component_id").where("place <> first").select(F.col("row").alias(row))
+    return rows.join(away, row, "left_anti").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go, told by their text, so that documents without an id are judged too."""
     texts = docs.select(F.sha2("text", 256).alias("doc_id"), "text")
-    away = decontam.contaminated(texts, read_table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("away"))
-    return docs.join(away, F.sha2(docs["text"], 256) == F.col("away"), "left_anti")
+    key = _free(docs, "away")
+    away = decontam.contaminated(texts, read_table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(key))
+    return docs.withColumn(key, F.sha2("text", 256)).join(away, key, "left_anti").select(docs.columns)
 
 
 def replace_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data become surrogates; n_chars follows the new text."""
     columns = docs.columns
-    return pii.replace_entities(docs).withColumn("n_chars", F.length("text").cast("long")).select(columns)
+    count = _free(docs, "n_entities")
+    return pii.replace_entities(docs, count_col=count).withColumn("n_chars", F.length("text").cast("long")).select(columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,153 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from tessera.functions import text
-from tessera.functions.geo import haversine_sql
-from tessera.operators import fusion, metrics, spacetime
-from tessera.plans import bindings as b
-from tessera.plans.bindings import with_ctes
-from tessera.session import read_table
+from tessera.queries import fusion, lists, matching, metrics, text
 
-NOW = "2024-02-01 00:00:00"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-
-
-def _add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str) -> None:
-    QUERIES[name], ORACLE_SQL[name] = query, sql
-
-
-_UNTIL = f"coalesce(ended_at, least(TIMESTAMP '{NOW}', started_at + INTERVAL 7 DAY))"
-_KM = haversine_sql("r.lat", "r.lon", "i.lat", "i.lon")
-_add(
-    "candidate_events",
-    lambda s, d: spacetime.candidate_events(b.reports(s, d), b.incidents(s, d), F.expr(f"TIMESTAMP_NTZ '{NOW}'")),
-    with_ctes(["incidents", "reports"], f" SELECT report_id, event_id, round({_KM}, 6) AS km FROM reports r JOIN incidents i ON started_at <= observed_at + INTERVAL 48 HOUR AND {_UNTIL} >= observed_at - INTERVAL 48 HOUR AND {_KM} <= 5"),
-)
-_add(
-    "effective_end",
-    lambda s, d: b.incidents(s, d).selectExpr("event_id", f"coalesce(ended_at, least(TIMESTAMP_NTZ '{NOW}', started_at + INTERVAL 7 DAYS)) AS until"),
-    with_ctes(["incidents"], f" SELECT event_id, {_UNTIL} AS until FROM incidents"),
-)
-_add(
-    "burst_window",
-    lambda s, d: spacetime.burst_counts(b.reports(s, d)),
-    with_ctes(["reports"], " SELECT report_id, reporter, count(*) OVER (PARTITION BY reporter ORDER BY observed_at RANGE BETWEEN INTERVAL 10 MINUTE PRECEDING AND CURRENT ROW) - 1 AS n_before FROM reports"),
-)
-_add(
-    "impossible_travel",
-    lambda s, d: spacetime.travel_speed(b.reports(s, d)),
-    with_ctes(["reports"], f", l AS (SELECT report_id, reporter, observed_at, lat, lon, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon, lag(observed_at) OVER w AS pat FROM reports WINDOW w AS (PARTITION BY reporter ORDER BY observed_at, report_id)), m AS (SELECT report_id, reporter, {haversine_sql('plat', 'plon', 'lat', 'lon')} AS km, (epoch_us(observed_at) - epoch_us(pat)) / 3.6e9 AS hours FROM l) SELECT report_id, reporter, round(km, 4) AS km FROM m WHERE km >= 20 AND km > 300 * hours"),
-)
-_add(
-    "rare_hours",
-    lambda s, d: spacetime.rare_hours(b.reports(s, d)),
-    with_ctes(["reports"], ", h AS (SELECT reporter, CAST(hour(observed_at) AS INT) AS hour, count(*) AS n FROM reports GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY reporter) AS total FROM h) SELECT reporter, hour, n FROM t WHERE n < 0.02 * total"),
-)
-_add(
-    "asof_label",
-    lambda s, d: spacetime.asof_last(read_table(s, d, "events").where("event_type = 'click'").withColumnRenamed("event_id", "id"), read_table(s, d, "events").where("event_type = 'purchase'"), "user_id", "ts", "value"),
-    "SELECT c.event_id AS id, c.user_id, p.value FROM (SELECT * FROM events WHERE event_type = 'click') c ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON c.user_id = p.user_id AND c.ts >= p.ts",
-)
-_add(
-    "dashboard_counts",
-    lambda s, d: read_table(s, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("n_errors"), F.count_if(F.col("value") > 50).alias("n_large"), F.countDistinct("event_type").alias("n_types")),
-    "SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS n_errors, count(*) FILTER (value > 50) AS n_large, count(DISTINCT event_type) AS n_types FROM events GROUP BY user_id",
-)
-_add(
-    "list_paged",
-    lambda s, d: read_table(s, d, "events").where(F.col("event_type").isin("error", "signup") & (F.col("value") > 10)).orderBy(F.desc("ts"), "event_id").offset(20).limit(25).select("event_id", "event_type"),
-    "SELECT event_id, event_type FROM events WHERE event_type IN ('error', 'signup') AND value > 10 ORDER BY ts DESC, event_id LIMIT 25 OFFSET 20",
-)
-_add(
-    "list_search",
-    lambda s, d: read_table(s, d, "documents").where(F.col("text").ilike("%idiot%") | F.col("text").ilike("%apache license%")).select("doc_id", "source"),
-    "SELECT doc_id, source FROM documents WHERE text ILIKE '%idiot%' OR text ILIKE '%apache license%'",
-)
-_add(
-    "history_left_join",
-    lambda s, d: read_table(s, d, "customer").join(read_table(s, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n_orders"), F.max("o_orderdate").alias("last_order")), F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("n_orders", F.lit(0)).alias("n_orders"), "last_order"),
-    "SELECT c_custkey, count(o_orderkey) AS n_orders, max(o_orderdate) AS last_order FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey",
-)
-_add(
-    "not_linked",
-    lambda s, d: read_table(s, d, "customer").join(read_table(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey"),
-    "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
-)
-_LATEST = ", l AS (SELECT item, source, arg_max(vote, (seen_at, vote_id)) AS vote, arg_max(vote_id, (seen_at, vote_id)) AS vote_id FROM votes WHERE vote IS NOT NULL GROUP BY item, source)"
-_add("latest_vote_per_source", lambda s, d: fusion.latest_votes(b.votes(s, d)), with_ctes(["votes"], _LATEST + " SELECT item, source, vote_id, vote FROM l"))
-_add("evidence_tally_pivot", lambda s, d: fusion.evidence_tally(b.votes(s, d)), with_ctes(["votes"], " SELECT item, count(*) FILTER (vote = 1) AS n_for, count(*) FILTER (vote = -1) AS n_against, count(*) FILTER (vote IS NULL) AS n_other FROM votes GROUP BY item"))
-_EQUAL = ", e AS (SELECT item, CAST(sum(vote) AS BIGINT) AS score, round((count(*) FILTER (vote = 1) + 1) / (count(*) + 2), 6) AS p, count(*) FILTER (vote = 1) AS f, count(*) FILTER (vote = -1) AS a FROM l GROUP BY item)"
-_add("equal_vote", lambda s, d: fusion.equal_vote(b.votes(s, d)), with_ctes(["votes"], _LATEST + _EQUAL + " SELECT item, score, p FROM e"))
-_RATES = ', sd AS (SELECT item, sign(sum(vote)) AS side FROM l GROUP BY item HAVING sum(vote) <> 0), rr AS (SELECT source, count(*) FILTER (vote = side) AS "right", count(*) AS n, round(greatest(0.05, least(0.98, (count(*) FILTER (vote = side) + 1.8) / (count(*) + 3.0))), 6) AS rate FROM l JOIN sd USING (item) GROUP BY source)'
-_add("reliability_rates", lambda s, d: fusion.reliability_rates(b.votes(s, d)), with_ctes(["votes"], _LATEST + _RATES + ' SELECT source, "right", n, CAST(rate AS DOUBLE) AS rate FROM rr'))
-_add(
-    "reliability_score",
-    lambda s, d: fusion.reliability_score(b.votes(s, d)),
-    with_ctes(["votes"], _LATEST + _RATES + ", z AS (SELECT item, sum(vote * ln(CAST(rate AS DOUBLE) / (1 - CAST(rate AS DOUBLE)))) AS z FROM l JOIN rr USING (source) GROUP BY item) SELECT item, round(z, 4) AS log_odds, round(1 / (1 + exp(-z)), 4) AS p FROM z"),
-)
-_add(
-    "label_rule",
-    lambda s, d: fusion.label_rule(b.votes(s, d)),
-    with_ctes(["votes"], _LATEST + _EQUAL + " SELECT item, p, CASE WHEN f + a = 0 THEN 'insufficient' WHEN p >= 0.7 AND f >= 2 THEN 'verified' WHEN p <= 0.3 AND a >= 2 THEN 'refuted' WHEN f > 0 AND a > 0 THEN 'conflicting' ELSE 'unverified' END AS label FROM e"),
-)
-_add(
-    "weighted_median",
-    lambda s, d: fusion.weighted_median(read_table(s, d, "lineitem"), "l_suppkey", "l_quantity", "l_linenumber").withColumn("median", F.col("median").cast("double")),
-    "WITH v AS (SELECT l_suppkey, l_quantity, sum(l_linenumber) AS w FROM lineitem GROUP BY ALL), r AS (SELECT l_suppkey, l_quantity, sum(w) OVER (PARTITION BY l_suppkey ORDER BY l_quantity) AS up, sum(w) OVER (PARTITION BY l_suppkey) AS al FROM v) SELECT l_suppkey, CAST(min(l_quantity) AS DOUBLE) AS median FROM r WHERE 2 * up >= al GROUP BY l_suppkey",
-)
-_add(
-    "kappa",
-    lambda s, d: metrics.kappa(read_table(s, d, "labels"), "quality", "toxic"),
-    "WITH n AS (SELECT count(*)::DOUBLE AS t, count(*) FILTER (quality = toxic) AS same FROM labels), a AS (SELECT quality AS k, count(*)::DOUBLE AS na FROM labels GROUP BY 1), c AS (SELECT toxic AS k, count(*)::DOUBLE AS nb FROM labels GROUP BY 1), e AS (SELECT sum(na * nb) AS x FROM a JOIN c USING (k)), p AS (SELECT same / t AS po, x / (t * t) AS pe FROM n, e) SELECT round(po, 6) AS observed, round(pe, 6) AS expected, round((po - pe) / (1 - pe), 6) AS kappa FROM p",
-)
-_add("confusion", lambda s, d: metrics.confusion(read_table(s, d, "labels"), "quality", "toxic"), "SELECT quality AS gold, toxic AS predicted, count(*) AS n FROM labels GROUP BY 1, 2")
-_add(
-    "brier_logloss",
-    lambda s, d: metrics.brier_and_log_loss(b.forecasts(s, d)),
-    with_ctes(["forecasts"], ", c AS (SELECT *, greatest(1e-6, least(1 - 1e-6, p)) AS q FROM forecasts) SELECT count(*) AS n, round(avg((p - y) * (p - y)), 6) AS brier, round(avg(-(y * ln(q) + (1 - y) * ln(1 - q))), 6) AS log_loss FROM c"),
-)
-_BIN = ", g AS (SELECT *, CAST(least(floor(p * 10), 9) AS INT) AS bin FROM forecasts)"
-_add("calibration_bins", lambda s, d: metrics.calibration_bins(b.forecasts(s, d)), with_ctes(["forecasts"], _BIN + " SELECT bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS share FROM g GROUP BY bin"))
-_add("ece_equal_width", lambda s, d: metrics.ece(b.forecasts(s, d)), with_ctes(["forecasts"], _BIN + ", h AS (SELECT bin, count(*) AS n, abs(avg(p) - avg(y)) AS gap FROM g GROUP BY bin) SELECT round(sum(n * gap) / sum(n), 6) AS ece FROM h"))
-_add(
-    "auc_midrank",
-    lambda s, d: metrics.auc(b.forecasts(s, d)),
-    with_ctes(["forecasts"], ", r AS (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0::DOUBLE AS k FROM forecasts), t AS (SELECT sum(k) FILTER (y = 1) AS s, count(*) FILTER (y = 1)::DOUBLE AS np, count(*) FILTER (y = 0)::DOUBLE AS nn FROM r) SELECT round((s - np * (np + 1) / 2) / (np * nn), 6) AS auc FROM t"),
-)
-_CELLS = "WITH c AS (SELECT lang AS g, source AS c, count(*)::DOUBLE AS n FROM documents GROUP BY 1, 2)"
-_add(
-    "bcubed",
-    lambda s, d: metrics.bcubed(read_table(s, d, "documents"), "lang", "source"),
-    _CELLS + ", x AS (SELECT n, sum(n) OVER (PARTITION BY g) AS ng, sum(n) OVER (PARTITION BY c) AS nc FROM c), y AS (SELECT sum(n * n / nc) / sum(n) AS p, sum(n * n / ng) / sum(n) AS r FROM x) SELECT round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r), 6) AS f1 FROM y",
-)
-_add(
-    "pairwise_f1",
-    lambda s, d: metrics.pairwise_f1(read_table(s, d, "documents"), "lang", "source"),
-    _CELLS + ", b AS (SELECT sum(n * (n - 1) / 2) AS x FROM c), g AS (SELECT sum(n * (n - 1) / 2) AS x FROM (SELECT sum(n) AS n FROM c GROUP BY g)), k AS (SELECT sum(n * (n - 1) / 2) AS x FROM (SELECT sum(n) AS n FROM c GROUP BY c)) SELECT round(b.x / k.x, 6) AS precision, round(b.x / g.x, 6) AS recall FROM b, g, k",
-)
-_add(
-    "url_normalise",
-    lambda s, d: read_table(s, d, "pages").select("page_id", text.normal_url(F.col("url")).alias("url")),
-    r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '^[a-z]+://', ''), '^(www|m)\.', '') AS u FROM pages), h AS (SELECT page_id, regexp_extract(u, '^[^/?]*', 0) AS host, u FROM a), r AS (SELECT page_id, lower(host) AS host, regexp_replace(substr(u, length(host) + 1), '([?&])(utm_[a-z]+|ref|fbclid)=[^&]*', '\1', 'g') AS rest FROM h) SELECT page_id, host || regexp_replace(regexp_replace(regexp_replace(rest, '&+', '&', 'g'), '\?&', '?', 'g'), '[?&/]+$', '') AS url FROM r""",
-)
-_add(
-    "redact",
-    lambda s, d: read_table(s, d, "documents").select("doc_id", F.sha2(text.redacted(F.col("text")), 256).alias("text_sha256")),
-    r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g'), '\+?[0-9][0-9 ()-]{7,}[0-9]', '[PHONE]', 'g')) AS text_sha256 FROM documents""",
-)
-_add(
-    "excerpt",
-    lambda s, d: read_table(s, d, "documents").select("doc_id", text.excerpt(F.col("text")).alias("excerpt")),
-    r"""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')) AS t FROM documents) SELECT doc_id, CASE WHEN length(t) <= 300 THEN t ELSE regexp_replace(substr(t, 1, 299), ' [^ ]*$', '') || '…' END AS excerpt FROM t""",
-)
-_add("content_hash", lambda s, d: read_table(s, d, "documents").groupBy(F.sha2("text", 256).alias("content")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1"), "SELECT sha256(text) AS content, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")
-_add("vocab_counts", lambda s, d: read_table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n")), "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
-_add("dangling_refs", lambda s, d: read_table(s, d, "labels").join(read_table(s, d, "documents"), "doc_id", "left_anti").select("doc_id"), "SELECT doc_id FROM labels ANTI JOIN documents USING (doc_id)")
-_add(
-    "top_k_per_group",
-    lambda s, d: read_table(s, d, "orders").selectExpr("o_custkey", "o_orderkey", "row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k").where("k <= 3"),
-    "SELECT * FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k <= 3",
-)
+for _part in (matching, lists, fusion, metrics, text):
+    QUERIES |= _part.QUERIES
+    ORACLE_SQL |= {k: v for k, v in _part.ORACLE_SQL.items() if v}

@@ -1,46 +1,9 @@
-"""Joins and windows over place and time."""
+"""As-of joins and hour profiles."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tessera.functions.geo import cell, haversine_km
-
-#: Degrees of a grid cell: covers the reach of 5 km in both directions up to 33 degrees of latitude.
-CELL = 0.06
-
-
-def candidate_events(reports: DataFrame, incidents: DataFrame, now, km: float = 5.0, hours: int = 48, open_days: int = 7) -> DataFrame:
-    """Pairs of a report and an incident within reach and time: report_id, event_id, km.
-
-    An open incident reaches open_days past its start. The join is on grid cells (an incident goes to
-    its cell and the eight around it) and on the day, so it shuffles on both and never compares all pairs.
-    """
-    end = F.coalesce("ended_at", F.least(F.lit(now), F.expr(f"started_at + INTERVAL {open_days} DAYS")))
-    days = F.sequence(F.to_date(F.expr(f"started_at - INTERVAL {hours} HOURS")), F.to_date(F.expr(f"until + INTERVAL {hours} HOURS")))
-    near = incidents.withColumn("until", end).select("event_id", "started_at", "until", F.col("lat").alias("elat"), F.col("lon").alias("elon"), F.explode(days).alias("day"))
-    near = near.withColumn("cx", F.explode(F.array(*[cell(F.col("elat"), CELL) + d for d in (-1, 0, 1)]))).withColumn("cy", F.explode(F.array(*[cell(F.col("elon"), CELL) + d for d in (-1, 0, 1)])))
-    at = reports.select("report_id", "observed_at", "lat", "lon", F.to_date("observed_at").alias("day"), cell(F.col("lat"), CELL).alias("cx"), cell(F.col("lon"), CELL).alias("cy"))
-    both = at.join(near, ["day", "cx", "cy"]).where(F.expr(f"started_at <= observed_at + INTERVAL {hours} HOURS AND until >= observed_at - INTERVAL {hours} HOURS"))
-    far = haversine_km(F.col("lat"), F.col("lon"), F.col("elat"), F.col("elon"))
-    return both.withColumn("km", far).where(F.col("km") <= km).select("report_id", "event_id", F.round("km", 6).alias("km"))
-
-
-def burst_counts(reports: DataFrame, minutes: int = 10) -> DataFrame:
-    """How many reports the same account sent in the minutes before each (its own start excluded)."""
-    w = Window.partitionBy("reporter").orderBy(F.col("observed_at").cast("timestamp").cast("double")).rangeBetween(-minutes * 60, 0)
-    return reports.select("report_id", "reporter", (F.count("*").over(w) - 1).alias("n_before"))
-
-
-def travel_speed(reports: DataFrame, most_kmh: float = 300.0, least_km: float = 20.0) -> DataFrame:
-    """Reports whose account would have had to travel faster than most_kmh from its last one."""
-    w = Window.partitionBy("reporter").orderBy("observed_at", "report_id")
-    rows = reports.select("*", *[F.lag(c).over(w).alias(f"last_{c}") for c in ("lat", "lon", "observed_at")])
-    km = haversine_km(F.col("last_lat"), F.col("last_lon"), F.col("lat"), F.col("lon"))
-    hours = (F.col("observed_at").cast("timestamp").cast("double") - F.col("last_observed_at").cast("timestamp").cast("double")) / 3600
-    moved = rows.select("report_id", "reporter", km.alias("km"), hours.alias("hours"))
-    return moved.where((F.col("km") >= least_km) & (F.col("km") > most_kmh * F.col("hours"))).select("report_id", "reporter", F.round("km", 4).alias("km"))
-
 
 def asof_last(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> DataFrame:
     """Each left row with the value of the latest right row of its key at or before its time (one shuffle, no range join)."""
@@ -49,8 +12,10 @@ def asof_last(left: DataFrame, right: DataFrame, key: str, at: str, value: str)
     return both.withColumn("v", F.last("v", ignorenulls=True).over(w)).where("side = 1").select("id", key, F.col("v").alias(value))
 
 
-def rare_hours(reports: DataFrame, share: float = 0.02) -> DataFrame:
-    """Hours of the day that hold under a share of an account's reports (but some)."""
-    by_hour = reports.groupBy("reporter", F.hour("observed_at").alias("hour")).agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy("reporter"))
-    return by_hour.withColumn("total", total).where(F.col("n") < share * F.col("total")).select("reporter", "hour", "n")
+def rare_hours(reports: DataFrame, share: float = 0.02, offset_hours: int = 6) -> DataFrame:
+    """The hours of the day, of all 24 in local time, that hold under a share of an account's reports: reporter, hour, n (0 for silent hours)."""
+    local = F.pmod(F.floor(F.col("t") / 3600) + offset_hours, F.lit(24)).cast("int")
+    counts = reports.groupBy("reporter", local.alias("hour")).agg(F.count("*").alias("n"))
+    totals = counts.groupBy("reporter").agg(F.sum("n").alias("total")).withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    rows = totals.join(counts, ["reporter", "hour"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    return rows.where(F.col("n") < share * F.col("total")).select("reporter", "hour", "n")

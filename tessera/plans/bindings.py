@@ -1,43 +1,47 @@
-"""The engine's entities, bound to the supplied tables (they hold no geography, so it follows from keys)."""
+"""The engine's entities, bound to the supplied tables (they hold no geography, so it follows from keys).
+
+Each binding is one list of expressions that Spark and DuckDB both read; {us} is a time's microseconds.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tessera.session import read_table
 
-LAT = "20.5D + ((user_id * 7) % 31) / 10.0D + (event_id * 37 % 50) / 1000.0D"
-LON = "88.0D + ((user_id * 11) % 23) / 10.0D + (event_id * 53 % 50) / 1000.0D"
-_LAT_SQL, _LON_SQL = LAT.replace("D", "::DOUBLE").replace("10.0::", "10.0::"), LON.replace("D", "::DOUBLE")
-
-#: The same bindings as common table expressions of the comparison SQL.
-SQL = {
-    "incidents": f"SELECT event_id, ts AS started_at, CASE WHEN event_id % 3 <> 0 THEN ts + to_hours((event_id % 72)::INT) END AS ended_at, {_LAT_SQL} AS lat, {_LON_SQL} AS lon FROM events WHERE event_type = 'error'",
-    "reports": f"SELECT event_id AS report_id, user_id AS reporter, ts AS observed_at, {_LAT_SQL} AS lat, {_LON_SQL} AS lon, value AS accuracy FROM events WHERE event_type IN ('view', 'click')",
-    "votes": "SELECT event_id AS vote_id, event_id % 97 AS item, user_id AS source, ts AS seen_at, CASE WHEN event_id % 5 < 2 THEN 1 WHEN event_id % 5 = 2 THEN -1 END AS vote FROM events",
-    "forecasts": "SELECT event_id AS id, (event_id * 7919 % 1000) / 1000.0::DOUBLE AS p, CASE WHEN (event_id * 31 % 100) < (event_id * 7919 % 1000) // 10 THEN 1 ELSE 0 END AS y FROM events",
+#: The present of all queries, in seconds: 2024-02-01 00:00:00 UTC.
+NOW = 1706745600.0
+_LAT = "20.5e0 + ((user_id * 7) % 31) / 10e0 + (event_id * 37 % 50) / 1000e0"
+_LON = "88e0 + ((user_id * 11) % 23) / 10e0 + (event_id * 53 % 50) / 1000e0"
+_T = "{us} / 1e6"
+_END = f"CASE WHEN event_id % 3 <> 0 THEN {_T} + (event_id % 72) * 3600e0 END"
+
+#: name: (table, condition, columns)
+BINDINGS = {
+    "incidents": ("events", "event_type = 'error'", ["event_id", f"{_T} AS started", f"{_END} AS ended", f"CASE WHEN event_id % 5 = 0 THEN {_T} + (event_id % 200) * 3600e0 END AS latest", f"{_LAT} AS elat", f"{_LON} AS elon", "event_id % 3 AS etype", "CASE WHEN event_id % 13 = 0 THEN 'dismissed' WHEN event_id % 4 = 0 THEN 'resolved' WHEN event_id % 4 = 1 THEN 'monitoring' ELSE 'active' END AS status"]),
+    "reports": ("events", "event_type IN ('view', 'click')", ["event_id AS report_id", "user_id AS reporter", f"{_T} AS t", "{us} + (event_id % 240) * 60000000 AS received_us", f"{_LAT} AS lat", f"{_LON} AS lon", "value AS accuracy", "event_id % 3 AS type", "CASE WHEN event_id % 17 = 0 THEN 'dismissed' ELSE 'new' END AS item_status"]),
+    "signals": ("events", "event_type = 'signup'", ["event_id AS signal_id", "user_id % 20 AS source", f"{_T} AS t", f"CASE WHEN event_id % 4 = 0 THEN {_T} + (event_id % 48) * 3600e0 END AS valid_until", f"{_LAT} AS lat", f"{_LON} AS lon", "value * 100 AS precision_m", "event_id % 3 AS type", "CASE WHEN event_id % 17 = 0 THEN 'dismissed' ELSE 'new' END AS item_status"]),
+    "answers": ("events", "event_type IN ('view', 'click') AND event_id % 5 = 0", ["event_id AS report_id", "event_id + 1 AS event_id"]),
+    "linked_reports": ("events", "event_type IN ('view', 'click')", ["event_id AS report_id", "event_id - 1 - event_id % 5 AS event_id"]),
+    "linked_signals": ("events", "event_type = 'signup'", ["event_id AS signal_id", "event_id - 1 - event_id % 5 AS event_id"]),
+    "votes": ("events", "true", ["event_id AS vote_id", "event_id % 97 AS item", "user_id AS source", f"{_T} AS seen", "CASE WHEN event_id % 5 < 2 THEN 1 WHEN event_id % 5 = 2 THEN -1 END AS vote", "CASE user_id % 4 WHEN 0 THEN 'field' WHEN 1 THEN 'news' WHEN 2 THEN 'social' ELSE 'public_record' END AS source_type", "event_id % 5 AS relation", "CASE WHEN event_id % 7 = 0 AND event_id > 97 THEN event_id - 97 END AS copy_of", "CAST(value AS DOUBLE) AS stated"]),
+    "outcomes": ("events", "event_id < 97 AND event_id % 3 <> 0", ["event_id AS item", "event_id % 2 AS happened"]),
+    "forecasts": ("events", "true", ["event_id AS id", "(event_id * 7919 % 1000) / 1000e0 AS p", "CASE WHEN (event_id * 31 % 100) * 10 < (event_id * 7919 % 1000) THEN 1 ELSE 0 END AS y"]),
+    "ratings": ("events", "true", ["event_id % 499 AS unit", "user_id AS rater", "(event_id % 499 + CASE WHEN event_id % 7 < 2 THEN event_id ELSE 0 END) % 3 AS label"]),
+    "photos": ("events", "event_type = 'purchase'", ["event_id AS photo_id", "(event_id * 2654435761) % 16 AS hi", "(event_id * event_id * 40503) % 65536 AS hash16"]),
 }
 
 
-def with_ctes(names: list[str], body: str) -> str:
-    return "WITH " + ", ".join(f"{n} AS ({SQL[n]})" for n in names) + body
-
-
-def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ended = "CASE WHEN event_id % 3 <> 0 THEN timestampadd(HOUR, cast(event_id % 72 AS int), ts) END AS ended_at"
-    return read_table(spark, sf_dir, "events").where("event_type = 'error'").selectExpr("event_id", "ts AS started_at", ended, f"{LAT} AS lat", f"{LON} AS lon")
-
+def sql_of(name: str) -> str:
+    table, where, columns = BINDINGS[name]
+    return f"SELECT {', '.join(columns)} FROM {table} WHERE {where}".replace("{us}", "epoch_us(ts)")
 
-def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_table(spark, sf_dir, "events").where(F.col("event_type").isin("view", "click"))
-    return rows.selectExpr("event_id AS report_id", "user_id AS reporter", "ts AS observed_at", f"{LAT} AS lat", f"{LON} AS lon", "value AS accuracy")
 
-
-def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vote = "CASE WHEN event_id % 5 < 2 THEN 1 WHEN event_id % 5 = 2 THEN -1 END AS vote"
-    return read_table(spark, sf_dir, "events").selectExpr("event_id AS vote_id", "event_id % 97 AS item", "user_id AS source", "ts AS seen_at", vote)
+def with_ctes(names: list[str], body: str) -> str:
+    """A query over bindings, for DuckDB; body begins with a space, or with a comma for further tables."""
+    return "WITH " + ", ".join(f"{n} AS ({sql_of(n)})" for n in names) + body
 
 
-def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outcome = "CASE WHEN (event_id * 31 % 100) < (event_id * 7919 % 1000) div 10 THEN 1 ELSE 0 END AS y"
-    return read_table(spark, sf_dir, "events").selectExpr("event_id AS id", "(event_id * 7919 % 1000) / 1000.0D AS p", outcome)
+def bound(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    table, where, columns = BINDINGS[name]
+    return read_table(spark, sf_dir, table).where(where).selectExpr(*[c.replace("{us}", "unix_micros(CAST(ts AS TIMESTAMP))") for c in columns])

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 def db():
     con = duckdb.connect()
     con.sql("SET TimeZone = 'UTC'")
-    for t in ("events", "customer", "orders", "lineitem", "documents", "pages", "labels"):
+    for t in ("nation", "events", "customer", "orders", "lineitem", "documents", "pages", "labels", "benchmark", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS FROM '{SF}/{t}.parquet'")
     return con
 

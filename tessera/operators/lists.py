@@ -48,8 +48,9 @@ def latest_evidence(reports: DataFrame, signals: DataFrame) -> DataFrame:
     return reports.select("event_id", "at").unionByName(signals.select("event_id", "at")).groupBy("event_id").agg(F.max("at").alias("latest"))
 
 
-def upserted(old: DataFrame, batch: DataFrame, keys: list[str], order: str, content: list[str]) -> DataFrame:
+def upserted(old: DataFrame, batch: DataFrame, keys: list[str], order: str, content: list[str], keep_order: bool = False) -> DataFrame:
     """The table after a batch: of rows of one key the last counts; new ones are inserted, those of other content updated, the rest stay. action tells which."""
+    columns = [*content, *[order] * keep_order]
     w = Window.partitionBy(*keys).orderBy(F.desc(order))
     last = batch.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
     both = old.alias("o").join(last.alias("b"), keys, "full")
@@ -57,7 +58,7 @@ def upserted(old: DataFrame, batch: DataFrame, keys: list[str], order: str, cont
     there, comes = F.col(f"o.{order}").isNotNull(), F.col(f"b.{order}").isNotNull()
     action = F.when(~there, "created").when(~comes, "kept").when(same, "skipped").otherwise("updated")
     new = action.isin("created", "updated")
-    return both.select(*keys, action.alias("action"), *[F.when(new, F.col(f"b.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in content])
+    return both.select(*keys, action.alias("action"), *[F.when(new, F.col(f"b.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in columns])
 
 
 def submissions(rows: DataFrame, keys: list[str], at: list[str], content: str) -> DataFrame:

@@ -53,8 +53,13 @@ def template(words: Column, initials: bool = False) -> Column:
     return F.transform(words, lambda w: F.when(w < INITIAL, F.substring(w, 1, 1)).when(w < "\u0005", F.lit(NAME) if initials else plain(w)).otherwise(w))
 
 
+def hashed_words(words: Column) -> Column:
+    """The words' hashes: windows overlap, so that each word is hashed once and not once a window."""
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
 def windows(words: Column) -> Column:
-    """The hash of each window of template words; placeholders alone make no window (null)."""
+    """The hash of each window of hashed template words; placeholders alone make no window (null)."""
     n = F.size(words)
     one = lambda i: F.xxhash64(F.slice(words, i + 1, WINDOW))
     return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0))), one))
@@ -67,7 +72,7 @@ def _literal(words: Column) -> Column:
 
 
 def _runs(words: Column, n: int) -> Column:
-    """struct(pos, hash) of each run of n words, of texts with more than n."""
+    """struct(pos, hash) of each run of n hashed words, of texts with more than n."""
     one = lambda i: F.struct(i.cast("int").alias("pos"), F.xxhash64(F.slice(words, i + 1, n)).alias("hash"))
     return F.when(F.size(words) > n, F.transform(F.sequence(F.lit(0), F.size(words) - n), one)).otherwise(F.array().cast("array<struct<pos:int,hash:bigint>>"))
 
@@ -97,7 +102,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     item = benchmark.select(F.col(item_col).alias("item"), typed_words(F.col(item_text)).alias("raw")).where(F.size("raw") > 0)
     item = item.withColumn("tpl", template(F.col("raw"))).withColumn("tpl2", template(F.col("raw"), True))
-    item = stored(item.withColumn("ok", _literal(F.col("tpl"))).withColumn("ok2", _literal(F.col("tpl2"))).withColumn("wins", windows(F.col("tpl"))).withColumn("wins2", windows(F.col("tpl2"))).withColumn("short", F.size("raw") < WINDOW).withColumn("exact", F.size("ok") == 0), "decon-items")
+    item = stored(item.withColumn("ok", _literal(F.col("tpl"))).withColumn("ok2", _literal(F.col("tpl2"))).withColumn("wins", windows(hashed_words(F.col("tpl")))).withColumn("wins2", windows(hashed_words(F.col("tpl2")))).withColumn("short", F.size("raw") < WINDOW).withColumn("exact", F.size("ok") == 0), "decon-items")
     hashed = lambda ok, wins: F.transform(ok, lambda i: F.struct(i.alias("at"), F.get(wins, i).alias("hash")))
     item_windows = item.where("NOT exact").select("item", "exact", F.size("ok").alias("n_windows"), F.inline(F.array_distinct(F.concat(hashed("ok", "wins"), hashed("ok2", "wins2")))))
     # items without windows: the first words, at most WINDOW; the others are compared below
@@ -111,7 +116,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     exact_sizes = [r["n"] for r in item.where("exact").select(n_first.alias("n")).distinct().orderBy("n").collect()]  # at most WINDOW values
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     typed = texts.select("id", "key", typed_words(F.col("text")).alias("raw"))
-    tpl = typed.select("id", "key", template(F.col("raw")).alias("tpl"), template(F.col("raw"), True).alias("tpl2"), *[F.transform("raw", plain).alias("words")] * bool(exact_sizes))
+    tpl = typed.select("id", "key", hashed_words(template(F.col("raw"))).alias("tpl"), hashed_words(template(F.col("raw"), True)).alias("tpl2"), *[F.transform("raw", plain).alias("words")] * bool(exact_sizes))
     tpl = tpl.select("*", windows(F.col("tpl")).alias("wins"), windows(F.col("tpl2")).alias("wins2"))
     at = lambda hashes: F.transform(hashes, lambda h, i: F.struct(i.alias("pos"), h.alias("hash")))
     again = F.zip_with("wins", "wins2", lambda a, b: F.when(a != b, b))  # null, which joins nothing, where both templates agree

@@ -29,8 +29,8 @@ UNSPACED = r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\
 NUMBER, UNIT, NAME, INITIAL = "\u0001", "\u0002", "\u0003", "\u0004"
 
 
-def typed_words(text: Column) -> Column:
-    """The words of a text, lower-cased, without punctuation, each placeholder's value behind its mark; INITIAL marks the capitalised words that are no NAME. Characters of UNSPACED scripts are words."""
+def typed_text(text: Column) -> Column:
+    """A text lower-cased, without punctuation, one space between words, each placeholder's value behind its mark; INITIAL marks the capitalised words that are no NAME. Characters of UNSPACED scripts are words."""
     clean = F.regexp_replace(F.coalesce(text, F.lit("")), "[\u0001-\u0004]", " ")
     clean = F.regexp_replace(clean, f"({UNSPACED})", " $1 ")
     t = F.regexp_replace(clean, r"(?=\d)(?<![\p{L}\p{N}])(\d+(?:[.,]\d+)*)", f"{NUMBER}$1")
@@ -39,8 +39,16 @@ def typed_words(text: Column) -> Column:
     t = F.regexp_replace(t, rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}{NAME}])(\p{{Lu}}\p{{Ll}}+)(?![\p{{L}}])", f"{INITIAL}$1")
     t = F.regexp_replace(t, r"(?<=\d),(?=\d{3}(?!\d))", "")  # 1,000 is 1000, and a fraction stays in its number's word
     t = F.regexp_replace(t, r"(?<=\d)[.,](?=\d)", "p")
-    t = F.trim(F.regexp_replace(F.lower(t), "[^\\p{L}\\p{N}\u0001-\u0004]+", " "))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
+    return F.trim(F.regexp_replace(F.lower(t), "[^\\p{L}\\p{N}\u0001-\u0004]+", " "))
+
+
+def split_words(typed: Column) -> Column:
+    """The words of a typed text, none of an empty one; the text is computed once, as a condition on it would not be."""
+    return F.array_remove(F.split(typed, " "), "")
+
+
+def typed_words(text: Column) -> Column:
+    return split_words(typed_text(text))
 
 
 def plain(word: Column) -> Column:
@@ -48,21 +56,16 @@ def plain(word: Column) -> Column:
     return F.when(word < "\u0005", word.substr(F.lit(2), F.length(word))).otherwise(word)
 
 
-def template(words: Column, initials: bool = False) -> Column:
-    """The words with a mark for each placeholder; initials: the words marked INITIAL are names."""
-    return F.transform(words, lambda w: F.when(w < INITIAL, F.substring(w, 1, 1)).when(w < "\u0005", F.lit(NAME) if initials else plain(w)).otherwise(w))
-
-
-def hashed_words(words: Column) -> Column:
-    """The words' hashes: windows overlap, so that each word is hashed once and not once a window."""
-    return F.transform(words, lambda w: F.xxhash64(w))
+def templates(typed: Column) -> tuple[Column, Column]:
+    """The words of a typed text with a mark for each placeholder; in the second the words marked INITIAL are names."""
+    marks = F.regexp_replace(typed, f"([{NUMBER}-{NAME}])[^ ]*", "$1")
+    return split_words(F.replace(marks, F.lit(INITIAL), F.lit(""))), split_words(F.regexp_replace(marks, f"{INITIAL}[^ ]*", NAME))
 
 
 def windows(words: Column) -> Column:
-    """The hash of each window of hashed template words; placeholders alone make no window (null)."""
-    n = F.size(words)
+    """The hash of each window of an item's template words."""
     one = lambda i: F.xxhash64(F.slice(words, i + 1, WINDOW))
-    return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0))), one))
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - WINDOW, F.lit(0))), one)
 
 
 def _literal(words: Column) -> Column:
@@ -71,16 +74,36 @@ def _literal(words: Column) -> Column:
     return F.filter(F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0))), lambda i: F.size(F.filter(F.slice(words, i + 1, WINDOW), lambda w: w >= "\u0004")) >= 3)
 
 
-def _runs(words: Column, n: int) -> Column:
-    """struct(pos, hash) of each run of n hashed words, of texts with more than n."""
-    one = lambda i: F.struct(i.cast("int").alias("pos"), F.xxhash64(F.slice(words, i + 1, n)).alias("hash"))
-    return F.when(F.size(words) > n, F.transform(F.sequence(F.lit(0), F.size(words) - n), one)).otherwise(F.array().cast("array<struct<pos:int,hash:bigint>>"))
+def placed_windows(typed: DataFrame, sizes: list[int], exact_sizes: list[int]) -> DataFrame:
+    """id, key, pos, hash of the windows of texts (id, key, typed), by either template.
 
-
-def _exact(words: Column, n: int) -> Column:
-    """struct(pos, hash) of each run of n words, values included, of texts with n words or more."""
-    one = lambda i: F.struct(i.cast("int").alias("pos"), _exact_hash(words, i + 1, F.lit(n)).alias("hash"))
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), one)).otherwise(F.array().cast("array<struct<pos:int,hash:bigint>>"))
+    Also of the runs of as many template words as sizes says, and of words, values included, as exact_sizes says.
+    Each position becomes a row with its next WINDOW words and is hashed there: built-in functions
+    without lambdas, so that all of it and the join after it are generated code.
+    """
+    first, second = templates(F.col("typed"))
+    plain_text = split_words(F.regexp_replace("typed", "[\u0001-\u0004]", ""))
+    words = typed.select("id", "key", first.alias("tpl"), second.alias("tpl2"), *[plain_text.alias("words")] * bool(exact_sizes))
+    kinds = [c for c in ("tpl", "tpl2", "words") if c in words.columns]
+    ahead = [F.slice(c, k + 1, F.size(c)) for c in kinds for k in range(WINDOW)]
+    rows = words.select("id", "key", F.posexplode(F.arrays_zip(*ahead)).alias("pos", "next"))
+    word = lambda kind, k: F.col("next")[str(kinds.index(kind) * WINDOW + k)]
+
+    def run(kind: str, n: int, *before: Column) -> Column:
+        """The hash of the next n words, null where the text ends before."""
+        return F.when(word(kind, n - 1).isNotNull(), F.xxhash64(*before, *[word(kind, k) for k in range(n)]))
+
+    def window(kind: str) -> Column:
+        whole = word(kind, WINDOW - 1).isNotNull() | (F.col("pos") == 0)  # a shorter text is one window
+        return F.when(whole, F.xxhash64(*[word(kind, k) for k in range(WINDOW)]))
+
+    pairs = [(window("tpl"), window("tpl2"))] + [(run("tpl", n), run("tpl2", n)) for n in sizes]
+    named = {f"h{i}_{j}": h for i, pair in enumerate(pairs) for j, h in enumerate(pair)}
+    named |= {f"e{n}": run("words", n, F.lit("exact")) for n in exact_sizes}
+    rows = rows.select("id", "key", "pos", *[h.alias(name) for name, h in named.items()])
+    # null, which joins nothing, where both templates agree
+    found = [F.col(c) if not c.endswith("_1") else F.when(F.col(c) != F.col(c[:-1] + "0"), F.col(c)) for c in named]
+    return rows.select("id", "key", "pos", F.explode(F.array(*found)).alias("hash")).where("hash IS NOT NULL")
 
 
 def _exact_hash(words: Column, start: Column, n: Column) -> Column:
@@ -100,9 +123,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     digit, hold and give nothing. Documents that repeat an id count as one; a null id is reported
     as null, a null item id never. Other columns are not read.
     """
-    item = benchmark.select(F.col(item_col).alias("item"), typed_words(F.col(item_text)).alias("raw")).where(F.size("raw") > 0)
-    item = item.withColumn("tpl", template(F.col("raw"))).withColumn("tpl2", template(F.col("raw"), True))
-    item = stored(item.withColumn("ok", _literal(F.col("tpl"))).withColumn("ok2", _literal(F.col("tpl2"))).withColumn("wins", windows(hashed_words(F.col("tpl")))).withColumn("wins2", windows(hashed_words(F.col("tpl2")))).withColumn("short", F.size("raw") < WINDOW).withColumn("exact", F.size("ok") == 0), "decon-items")
+    item = benchmark.select(F.col(item_col).alias("item"), typed_text(F.col(item_text)).alias("typed")).where("typed <> ''")
+    first, second = templates(F.col("typed"))
+    item = item.select("item", split_words(F.col("typed")).alias("raw"), first.alias("tpl"), second.alias("tpl2"))
+    item = stored(item.withColumn("ok", _literal(F.col("tpl"))).withColumn("ok2", _literal(F.col("tpl2"))).withColumn("wins", windows(F.col("tpl"))).withColumn("wins2", windows(F.col("tpl2"))).withColumn("short", F.size("raw") < WINDOW).withColumn("exact", F.size("ok") == 0), "decon-items")
     hashed = lambda ok, wins: F.transform(ok, lambda i: F.struct(i.alias("at"), F.get(wins, i).alias("hash")))
     item_windows = item.where("NOT exact").select("item", "exact", F.size("ok").alias("n_windows"), F.inline(F.array_distinct(F.concat(hashed("ok", "wins"), hashed("ok2", "wins2")))))
     # items without windows: the first words, at most WINDOW; the others are compared below
@@ -115,13 +139,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     sizes = [r["n"] for r in item.where("short AND NOT exact").select(F.size("raw").alias("n")).distinct().orderBy("n").collect()]  # fewer than WINDOW values
     exact_sizes = [r["n"] for r in item.where("exact").select(n_first.alias("n")).distinct().orderBy("n").collect()]  # at most WINDOW values
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    typed = texts.select("id", "key", typed_words(F.col("text")).alias("raw"))
-    tpl = typed.select("id", "key", hashed_words(template(F.col("raw"))).alias("tpl"), hashed_words(template(F.col("raw"), True)).alias("tpl2"), *[F.transform("raw", plain).alias("words")] * bool(exact_sizes))
-    tpl = tpl.select("*", windows(F.col("tpl")).alias("wins"), windows(F.col("tpl2")).alias("wins2"))
-    at = lambda hashes: F.transform(hashes, lambda h, i: F.struct(i.alias("pos"), h.alias("hash")))
-    again = F.zip_with("wins", "wins2", lambda a, b: F.when(a != b, b))  # null, which joins nothing, where both templates agree
-    found = [at("wins"), at(again)] + [_runs(F.col(c), n) for n in sizes for c in ("tpl", "tpl2")] + [_exact(F.col("words"), n) for n in exact_sizes]
-    placed = tpl.select("id", "key", F.inline(F.concat(*found)))
+    placed = placed_windows(texts.select("id", "key", typed_text(F.col("text")).alias("typed")), sizes, exact_sizes)
     hits = placed.join(F.broadcast(item_windows) if few else item_windows, "hash")
     runs = hits.groupBy("id", "key", "item", "exact", (F.col("pos") - F.col("at")).alias("shift")).agg(F.collect_set("at").alias("met"), F.max("n_windows").alias("n_windows")).withColumn("n", F.size("met"))
     runs = stored(runs.where((F.col("n") >= SHARE * F.col("n_windows")) | (F.col("n") >= ENOUGH)), "decon-runs")

@@ -32,7 +32,7 @@ NUMBER, UNIT, NAME, INITIAL = "\u0001", "\u0002", "\u0003", "\u0004"
 def typed_text(text: Column) -> Column:
     """A text lower-cased, without punctuation, one space between words, each placeholder's value behind its mark; INITIAL marks the capitalised words that are no NAME. Characters of UNSPACED scripts are words."""
     clean = F.regexp_replace(F.coalesce(text, F.lit("")), "[\u0001-\u0004]", " ")
-    clean = F.regexp_replace(clean, f"({UNSPACED})", " $1 ")
+    clean = F.regexp_replace(clean, f"(?=[\\u0e00-\\x{{10ffff}}])({UNSPACED})", " $1 ")
     t = F.regexp_replace(clean, r"(?=\d)(?<![\p{L}\p{N}])(\d+(?:[.,]\d+)*)", f"{NUMBER}$1")
     t = F.regexp_replace(t, rf"(\d) ?({UNITS})(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2")
     t = F.regexp_replace(t, r"(?=\p{Lu})(?<=[\p{Ll},;] )(\p{Lu}\p{Ll}+)(?![\p{L}])", f"{NAME}$1")
@@ -56,10 +56,10 @@ def plain(word: Column) -> Column:
     return F.when(word < "\u0005", word.substr(F.lit(2), F.length(word))).otherwise(word)
 
 
-def templates(typed: Column) -> tuple[Column, Column]:
-    """The words of a typed text with a mark for each placeholder; in the second the words marked INITIAL are names."""
-    marks = F.regexp_replace(typed, f"([{NUMBER}-{NAME}])[^ ]*", "$1")
-    return split_words(F.replace(marks, F.lit(INITIAL), F.lit(""))), split_words(F.regexp_replace(marks, f"{INITIAL}[^ ]*", NAME))
+def with_templates(df: DataFrame) -> DataFrame:
+    """Adds to df with typed the texts tpl and tpl2: a mark for each placeholder; in the second the words marked INITIAL are names."""
+    df = df.withColumn("marks", F.regexp_replace("typed", f"([{NUMBER}-{NAME}])[^ ]*", "$1"))
+    return df.withColumn("tpl", F.replace("marks", F.lit(INITIAL), F.lit(""))).withColumn("tpl2", F.regexp_replace("marks", f"{INITIAL}[^ ]*", NAME)).drop("marks")
 
 
 def windows(words: Column) -> Column:
@@ -81,12 +81,13 @@ def placed_windows(typed: DataFrame, sizes: list[int], exact_sizes: list[int]) -
     Each position becomes a row with its next WINDOW words and is hashed there: built-in functions
     without lambdas, so that all of it and the join after it are generated code.
     """
-    first, second = templates(F.col("typed"))
-    plain_text = split_words(F.regexp_replace("typed", "[\u0001-\u0004]", ""))
-    words = typed.select("id", "key", first.alias("tpl"), second.alias("tpl2"), *[plain_text.alias("words")] * bool(exact_sizes))
+    plain_text = F.regexp_replace("typed", "[\u0001-\u0004]", "").alias("words")
+    words = with_templates(typed).select("id", "key", "tpl", "tpl2", *[plain_text] * bool(exact_sizes))
     kinds = [c for c in ("tpl", "tpl2", "words") if c in words.columns]
+    # an empty text is one empty word here, which no item has
+    rows = words.select("id", "key", *[F.split(c, " ").alias(c) for c in kinds])
     ahead = [F.slice(c, k + 1, F.size(c)) for c in kinds for k in range(WINDOW)]
-    rows = words.select("id", "key", F.posexplode(F.arrays_zip(*ahead)).alias("pos", "next"))
+    rows = rows.select("id", "key", F.posexplode(F.arrays_zip(*ahead)).alias("pos", "next"))
     word = lambda kind, k: F.col("next")[str(kinds.index(kind) * WINDOW + k)]
 
     def run(kind: str, n: int, *before: Column) -> Column:
@@ -124,8 +125,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     as null, a null item id never. Other columns are not read.
     """
     item = benchmark.select(F.col(item_col).alias("item"), typed_text(F.col(item_text)).alias("typed")).where("typed <> ''")
-    first, second = templates(F.col("typed"))
-    item = item.select("item", split_words(F.col("typed")).alias("raw"), first.alias("tpl"), second.alias("tpl2"))
+    item = with_templates(item).select("item", *[split_words(F.col(c)).alias(to) for c, to in [("typed", "raw"), ("tpl", "tpl"), ("tpl2", "tpl2")]])
     item = stored(item.withColumn("ok", _literal(F.col("tpl"))).withColumn("ok2", _literal(F.col("tpl2"))).withColumn("wins", windows(F.col("tpl"))).withColumn("wins2", windows(F.col("tpl2"))).withColumn("short", F.size("raw") < WINDOW).withColumn("exact", F.size("ok") == 0), "decon-items")
     hashed = lambda ok, wins: F.transform(ok, lambda i: F.struct(i.alias("at"), F.get(wins, i).alias("hash")))
     item_windows = item.where("NOT exact").select("item", "exact", F.size("ok").alias("n_windows"), F.inline(F.array_distinct(F.concat(hashed("ok", "wins"), hashed("ok2", "wins2")))))

@@ -171,21 +171,88 @@ def truthfinder(votes: DataFrame, rounds: int = 30) -> DataFrame:
         trust = new
 
 
-def dawid_skene(votes: DataFrame, rounds: int = 20, prior: float = 0.5, strong: float = 2.0, weak: float = 1.0) -> DataFrame:
-    """Items' probabilities and sources' two rates (support if true, denial if false) by EM from the share of support; the prior is learned."""
+def dawid_skene(votes: DataFrame, rounds: int = 50, prior: float = 0.5, strong: float = 2.0, weak: float = 1.0, known: DataFrame | None = None, shrink: float | None = None, close: float = 1e-6) -> DataFrame:
+    """Items' probabilities and sources' two rates (support if true, denial if false) by EM from the smoothed share of support, until no
+    probability moves by close.
+
+    Without known outcomes the prior is learned; known (item, happened) items keep their outcome, and the prior is theirs. With shrink the rates
+    are drawn to the pooled rates of all sources by so many votes (empirical Bayes) instead of to the prior strong / (strong + weak).
+    Every round is two groupings of the votes; the items' table is written, so that the plan stays short.
+    """
     cells = stored(votes.where("vote IS NOT NULL").groupBy("item", "source").agg(F.count_if(F.col("vote") > 0).cast("double").alias("f"), F.count_if(F.col("vote") < 0).cast("double").alias("a")), "ds-cells")
-    p = cells.groupBy("item").agg((F.sum("f") / F.sum(F.col("f") + F.col("a"))).alias("p"))
+    p = cells.groupBy("item").agg(((F.sum("f") + 1) / (F.sum(F.col("f") + F.col("a")) + 2)).alias("p"))
+    p = p.withColumn("fixed", F.lit(None).cast("double"))
+    if known is not None:
+        prior = min(max(known.agg(F.avg("happened")).first()[0] or 0.5, 0.05), 0.95)
+        p = p.drop("fixed").join(known.select("item", F.col("happened").cast("double").alias("fixed")), "item", "left").withColumn("p", F.coalesce("fixed", "p"))
+    p = stored(p, "ds-p")
     for _ in range(rounds):
         both = cells.join(p, "item")
         q, n = 1 - F.col("p"), F.col("f") + F.col("a")
         rates = both.groupBy("source").agg(F.sum(F.col("p") * F.col("f")).alias("sn"), F.sum(F.col("p") * n).alias("sd"), F.sum(q * F.col("a")).alias("cn"), F.sum(q * n).alias("cd"))
-        rates = rates.select("source", ((F.col("sn") + strong) / (F.col("sd") + strong + weak)).alias("sens"), ((F.col("cn") + strong) / (F.col("cd") + strong + weak)).alias("spec"))
+        if shrink:
+            pool = rates.agg(F.sum("sn"), F.sum("sd"), F.sum("cn"), F.sum("cd")).first()
+            ms, mc = (min(max(x / max(y, 1e-9), 0.05), 0.95) for x, y in (pool[:2], pool[2:]))
+            rate = lambda num, den, mean: (F.col(num) + shrink * mean) / (F.col(den) + shrink)
+        else:
+            ms = mc = strong / (strong + weak)
+            rate = lambda num, den, mean: (F.col(num) + strong) / (F.col(den) + strong + weak)
+        rates = rates.select("source", rate("sn", "sd", ms).alias("sens"), rate("cn", "cd", mc).alias("spec"))
         step = F.col("f") * F.log(F.col("sens") / (1 - F.col("spec"))) + F.col("a") * F.log((1 - F.col("sens")) / F.col("spec"))
-        p = stored(cells.join(rates, "source").groupBy("item").agg(F.sum(step).alias("z")).select("item", sigmoid(F.col("z") + float(_logit_of(prior))).alias("p")), "ds-p")
-        prior = min(max(p.agg(F.avg("p")).first()[0] or 0.5, 0.02), 0.98)
+        z = cells.join(rates, "source").groupBy("item").agg(F.sum(step).alias("z"))
+        new = z.join(p.select("item", F.col("p").alias("was"), "fixed"), "item").select("item", F.coalesce("fixed", sigmoid(F.col("z") + float(_logit_of(prior)))).alias("p"), "fixed", "was")
+        new = stored(new, "ds-p")
+        free, moved = new.agg(F.avg(F.when(F.col("fixed").isNull(), F.col("p"))), F.max(F.abs(F.col("p") - F.col("was")))).first()
+        discard(p)
+        p = new.drop("was")
+        if known is None and free is not None:
+            prior = min(max(free, 0.02), 0.98)
+        if moved is None or moved < close:
+            break
+    discard(cells)
     return p.select("item", F.round("p", 4).alias("p"))
 
 
+def social_sensing(votes: DataFrame, silence: bool = True, known: DataFrame | None = None, dependence: bool = False, rounds: int = 100, smoothing: float = 1.0, close: float = 1e-6) -> DataFrame:
+    """(item, z): the log odds of each item by EM over what sources do, support, deny or stay silent, when an item is true and when it is false.
+
+    With silence a source that spoke about any item is silent about all others. That is never a table of sources x items: of a source's
+    silence only the sums over all items less those it spoke about are needed, and an item's silent sources weigh as all do
+    less those that spoke. known (item, happened) holds items' truth; dependence leaves out copies whose origin is among the item's votes. A source's
+    latest vote on an item counts. EM starts from the smoothed share of support and ends when no belief moves by close. Items without a vote are absent; no votes give no rows.
+    """
+    rows = votes.where("vote IS NOT NULL")
+    if dependence:
+        rows = rows.join(rows.select("item", F.col("vote_id").alias("copy_of")).distinct(), ["item", "copy_of"], "left_anti")
+    cells = stored(latest_votes(rows, copies=True).select("item", "source", (F.col("vote") > 0).alias("up")), "sensing-cells")
+    start = cells.groupBy("item").agg(((F.count_if("up") + 1) / (F.count("*") + 2)).alias("q")).withColumn("fixed", F.lit(None).cast("double"))
+    if known is not None:
+        start = start.drop("fixed").join(known.select("item", F.col("happened").cast("double").alias("fixed")), "item", "left").withColumn("q", F.coalesce("fixed", "q"))
+    q = stored(start.withColumn("z", F.lit(0.0)), "sensing-q")
+    n, total = q.agg(F.count("*"), F.sum("q")).first()
+    a = smoothing
+    for _ in range(rounds if n else 0):
+        spoke = cells.join(q, "item").groupBy("source").agg(
+            F.sum(F.when(F.col("up"), F.col("q")).otherwise(0.0)).alias("ut"), F.sum(F.when(F.col("up"), 1 - F.col("q")).otherwise(0.0)).alias("uf"), F.sum(F.when(F.col("up"), 0.0).otherwise(F.col("q"))).alias("dt"), F.sum(F.when(F.col("up"), 0.0).otherwise(1 - F.col("q"))).alias("df")
+        )
+        silent = {"t": F.lit(total) - F.col("ut") - F.col("dt"), "f": F.lit(n - total) - F.col("uf") - F.col("df")} if silence else {"t": F.lit(0.0), "f": F.lit(0.0)}
+        whole = {k: F.col(f"u{k}") + F.col(f"d{k}") + silent[k] + 3 * a for k in "tf"}
+        ratio = lambda t, f: F.log((t + a) / whole["t"]) - F.log((f + a) / whole["f"])
+        rates = stored(spoke.select("source", ratio(F.col("ut"), F.col("uf")).alias("up_by"), ratio(F.col("dt"), F.col("df")).alias("down_by"), ratio(silent["t"], silent["f"]).alias("silent_by")), "sensing-rates")
+        quiet = rates.agg(F.sum("silent_by")).first()[0] if silence else 0.0
+        d = min(max(total / n, 1e-3), 1 - 1e-3)
+        step = F.when(F.col("up"), F.col("up_by")).otherwise(F.col("down_by")) - (F.col("silent_by") if silence else F.lit(0.0))
+        z = cells.join(rates, "source").groupBy("item").agg((F.sum(step) + float(_logit_of(d)) + float(quiet)).alias("z"))
+        new = stored(z.join(q.select("item", "fixed", F.col("q").alias("was")), "item").select("item", F.coalesce("fixed", sigmoid(F.col("z"), 30.0)).alias("q"), "fixed", "z", "was"), "sensing-q")
+        total, moved = new.agg(F.sum("q"), F.max(F.abs(F.col("q") - F.col("was")))).first()
+        discard(q, rates)
+        q = new.drop("was")
+        if moved < close:
+            break
+    discard(cells)
+    return q.select("item", "z")
+
+
 def _logit_of(p: float) -> float:
     import math
 

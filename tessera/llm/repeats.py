@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessera.session import discard, stored
 
-from .memory import bound_batches, tidy
+from .memory import bound_batches, shuffles_deleted, tidy
 
 #: Words of an anchor.
 ANCHOR = 5
@@ -151,19 +151,22 @@ def remove_repeated_passages(docs: DataFrame, words: int = 13, id_col: str = "do
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
     long = texts.where("id IS NOT NULL AND text IS NOT NULL")
-    found = long.mapInArrow(tidy(_anchors(words), _HASHES.clear), f"anchor long, id {id_type}, digest long")
-    shared = stored(found.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor"), "repeats-shared")
-    seeds = stored(found.join(shared, "anchor").groupBy("id", "digest").agg(F.collect_set("anchor").alias("anchors")), "repeats-seeds")
-    runs = long.join(seeds, ["id", "digest"]).select("id", "digest", "text", "anchors").mapInArrow(tidy(_extended(words), _HASHES.clear), f"anchor long, context long, id {id_type}, digest long, start long, windows array<long>")
-    runs = stored(runs, "repeats-runs")
-    classes = runs.groupBy("anchor", "context").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.first("windows").alias("windows"))
-    classes = stored(classes, "repeats-classes")
-    windows = stored(classes.select("anchor", "context", "low", "high", F.posexplode("windows").alias("k", "window")), "repeats-windows")
-    first = windows.groupBy("anchor", "window").agg(F.min("low").alias("first"))
-    judged = windows.join(first, ["anchor", "window"]).where("first < high").groupBy("anchor", "context").agg(F.collect_list(F.struct("k", "first")).alias("firsts"))
-    judged = stored(judged, "repeats-judged")
-    covers = runs.join(judged, ["anchor", "context"]).select("id", "digest", F.explode(F.transform(F.filter("firsts", lambda f: f["first"] < F.col("id")), lambda f: F.col("start") + f["k"])).alias("at"))
-    covers = stored(covers.groupBy("id", "digest").agg(F.collect_set("at").alias("starts")), "repeats-covers")
-    discard(shared, seeds, runs, classes, windows, judged)
+    with shuffles_deleted(spark):
+        found = long.mapInArrow(tidy(_anchors(words), _HASHES.clear), f"anchor long, id {id_type}, digest long")
+        shared = stored(found.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor"), "repeats-shared")
+        seeds = stored(found.join(shared, "anchor").groupBy("id", "digest").agg(F.collect_set("anchor").alias("anchors")), "repeats-seeds")
+        runs = long.join(seeds, ["id", "digest"]).select("id", "digest", "text", "anchors").mapInArrow(tidy(_extended(words), _HASHES.clear), f"anchor long, context long, id {id_type}, digest long, start long, windows array<long>")
+        runs = stored(runs, "repeats-runs")
+        discard(shared, seeds)
+        classes = runs.groupBy("anchor", "context").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.first("windows").alias("windows"))
+        classes = stored(classes, "repeats-classes")
+        windows = classes.select("anchor", "context", "low", "high", F.posexplode("windows").alias("k", "window"))
+        first = windows.groupBy("anchor", "window").agg(F.min("low").alias("first"))
+        judged = windows.join(first, ["anchor", "window"]).where("first < high").groupBy("anchor", "context").agg(F.collect_list(F.struct("k", "first")).alias("firsts"))
+        judged = stored(judged, "repeats-judged")
+        discard(classes)
+        covers = runs.join(judged, ["anchor", "context"]).select("id", "digest", F.explode(F.transform(F.filter("firsts", lambda f: f["first"] < F.col("id")), lambda f: F.col("start") + f["k"])).alias("at"))
+        covers = stored(covers.groupBy("id", "digest").agg(F.collect_set("at").alias("starts")), "repeats-covers")
+        discard(runs, judged)
     out = texts.join(covers, ["id", "digest"], "left").select(F.col("id").alias("doc_id"), "text", "starts")
     return out.mapInArrow(tidy(_cut(words)), f"doc_id {id_type}, n_words long, n_removed long, kept string, spans array<struct<start long, end long>>")

@@ -14,11 +14,11 @@ text that share an anchor form a run, and each run is one seed. Three steps, non
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.session import discard, stored
@@ -56,24 +56,36 @@ def _runs_of_words(x: np.ndarray, n: int, shift: int, by: int) -> np.ndarray:
     return _mixed(out, by)
 
 
-def _seeds(texts: pa.Array, words: int) -> tuple[np.ndarray, ...]:
-    """Of a batch's texts: row, first window (word number), windows and anchor of each run, and the hashes of all windows with each run's first."""
+def _first_least(x: np.ndarray, n: int) -> np.ndarray:
+    """Where the least of each n neighbours is, the first of equals: neighbourhoods double until n is reached."""
+    value, place, width = x, np.arange(len(x), dtype=np.int64), 1
+    while width < n:
+        step = min(width, n - width)
+        later = value[step:] < value[: len(value) - step]
+        place = np.where(later, place[step:], place[: len(place) - step])
+        value = np.minimum(value[step:], value[: len(value) - step])
+        width += step
+    return place
+
+
+def _seeds(texts: pa.Array, words: int, windows: bool = True) -> tuple[np.ndarray, ...]:
+    """Of a batch's texts: row, first window (word number), windows and anchor of each run; if asked, the hashes of all windows; and where each run's first is among them."""
     if len(_HASHES) > _MOST_WORDS:
         _HASHES.clear()
     split = [t.as_buffer().to_pybytes().split() if t.is_valid else [] for t in texts]
     sizes = np.fromiter(map(len, split), np.int64, len(split))
-    x = np.fromiter((_HASHES[w] for ws in split for w in ws), np.uint64, sizes.sum())
+    x = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(split)), np.uint64, sizes.sum())
     if len(x) < words:
         none = np.zeros(0, np.int64)
         return none, none, none, none, np.zeros(0, np.uint64), none
     ends = np.cumsum(sizes)
     anchors = _runs_of_words(x, ANCHOR, 0, 0x9E3779B97F4A7C15)
-    least = sliding_window_view(anchors, words - ANCHOR + 1).argmin(axis=1)
-    at = np.arange(len(least))
-    row = np.searchsorted(ends, at, side="right")
+    place = _first_least(anchors, words - ANCHOR + 1)
+    at = np.arange(len(place))
+    row = np.repeat(np.arange(len(split)), sizes)[: len(place)]
     inside = at + words <= ends[row]
-    at, row, place = at[inside], row[inside], (at + least)[inside]
-    whole = _runs_of_words(x, words, 100, 0xD6E8FEB86659FD93)
+    at, row, place = at[inside], row[inside], place[inside]
+    whole = _runs_of_words(x, words, 100, 0xD6E8FEB86659FD93) if windows else x[:0]
     first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (row[1:] != row[:-1])]) if len(at) else np.zeros(0, np.int64)
     count = np.diff(np.r_[first, len(at)])
     return row[first], at[first] - (ends - sizes)[row[first]], count, anchors[place[first]].view(np.int64), whole, at[first]
@@ -82,7 +94,7 @@ def _seeds(texts: pa.Array, words: int) -> tuple[np.ndarray, ...]:
 def _anchors(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, _, _, anchor, _, _ = _seeds(b["text"], words)
+            row, _, _, anchor, _, _ = _seeds(b["text"], words, windows=False)
             keys = pa.table({"row": row, "anchor": anchor}).group_by(["row", "anchor"]).aggregate([]).sort_by("row")
             yield pa.record_batch({"anchor": keys["anchor"].combine_chunks().cast(pa.int64()), "id": b["id"].take(keys["row"].combine_chunks()), "digest": b["digest"].take(keys["row"].combine_chunks())})
 
@@ -95,10 +107,8 @@ def _extended(words: int):
             row, start, count, anchor, whole, at = _seeds(b["text"], words)
             shared = b["anchors"].flatten().to_numpy(zero_copy_only=False)
             of = np.repeat(np.arange(len(b)), np.diff(b["anchors"].offsets.to_numpy()))
-            pair = np.dtype([("row", np.int64), ("anchor", np.int64)])
-            have, ask = np.empty(len(of), pair), np.empty(len(row), pair)
-            have["row"], have["anchor"], ask["row"], ask["anchor"] = of, shared, row, anchor
-            keep = np.isin(ask, have)
+            marked = lambda anchors, rows: anchors + rows * -7046029254386353131  # noqa: E731  a run let through by chance meets nothing later
+            keep = np.isin(marked(anchor, row), marked(shared, of))
             row, start, count, anchor, at = (v[keep] for v in (row, start, count, anchor, at))
             each = np.repeat(at - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
             context = _mixed(whole[at] * _SALT[250] + whole[at + count - 1] * _SALT[251] + count.astype(np.uint64) * _SALT[252], 0xA0761D6478BD642F)

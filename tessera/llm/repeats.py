@@ -162,9 +162,10 @@ def remove_repeated_passages(docs: DataFrame, words: int = 13, id_col: str = "do
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
     long = texts.where("id IS NOT NULL AND text IS NOT NULL")
     with shuffles_deleted(spark):
-        found = long.mapInArrow(tidy(_anchors(words), _HASHES.clear), f"anchor long, id {id_type}, digest long")
+        found = stored(long.mapInArrow(tidy(_anchors(words), _HASHES.clear), f"anchor long, id {id_type}, digest long"), "repeats-anchors")
         shared = stored(found.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor"), "repeats-shared")
         seeds = stored(found.join(shared, "anchor").groupBy("id", "digest").agg(F.collect_set("anchor").alias("anchors")), "repeats-seeds")
+        discard(found)
         runs = long.join(seeds, ["id", "digest"]).select("id", "digest", "text", "anchors").mapInArrow(tidy(_extended(words), _HASHES.clear), f"anchor long, context long, id {id_type}, digest long, start long, windows array<long>")
         runs = stored(runs, "repeats-runs")
         discard(shared, seeds)

@@ -13,12 +13,12 @@ LAT_KM, LON_KM = 110.574, 111.320
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * EARTH_KM * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+    return 2 * EARTH_KM * F.asin(F.sqrt(F.when(a > 1, 1.0).otherwise(a)))  # null where a place is unknown; least() would skip the null
 
 
 def haversine_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     a = f"pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)"
-    return f"2 * {EARTH_KM} * asin(sqrt(least({a}, 1.0)))"
+    return f"2 * {EARTH_KM} * asin(sqrt(CASE WHEN {a} > 1 THEN 1 ELSE {a} END))"
 
 
 def box(lat: Column, km: float) -> tuple[Column, Column]:

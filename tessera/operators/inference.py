@@ -113,8 +113,8 @@ def isotonic(scores: DataFrame) -> DataFrame:
     per = score_ranges(scores.select(F.col("score").alias("p"), "y").where("p IS NOT NULL AND y IS NOT NULL"))
     rows = per.select("range", F.col("p").alias("low"), F.col("p").alias("high"), (F.col("pos") + F.col("neg")).alias("n"), F.col("pos").alias("total"))
     schema = "low double, high double, n double, total double"
-    inside = rows.groupBy("range").applyInPandas(_steps, schema)
-    return stored(inside.groupBy(F.lit(0)).applyInPandas(_steps, schema), "isotonic-steps")
+    inside = rows.groupBy("range").applyInPandas(lambda rows: _steps(rows), schema)
+    return stored(inside.withColumn("all", F.lit(True)).groupBy("all").applyInPandas(lambda rows: _steps(rows), schema), "isotonic-steps")
 
 
 def stepped(scores: DataFrame, steps: DataFrame) -> DataFrame:
@@ -161,7 +161,7 @@ def paired_bootstrap(losses: DataFrame, resamples: int = 200, seed: int = 0) ->
     means = each.groupBy("r").agg((F.sum(times * F.col("d")) / F.sum(times)).alias("m"))
     spread = means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"), F.avg((F.col("m") <= 0).cast("double")).alias("under"), F.avg((F.col("m") >= 0).cast("double")).alias("over"))
     whole = kept.agg(F.count("*").alias("n"), F.avg("d").alias("diff"))
-    return whole.join(spread).select("n", F.bround("diff", 6).alias("diff"), F.bround("low", 6).alias("ci_low"), F.bround("high", 6).alias("ci_high"), F.least(F.lit(1.0), 2 * F.least("under", "over")).alias("p_value"))  # one row each
+    return whole.join(spread).select("n", F.bround("diff", 5).alias("diff"), F.bround("low", 5).alias("ci_low"), F.bround("high", 5).alias("ci_high"), F.least(F.lit(1.0), 2 * F.least("under", "over")).alias("p_value"))  # one row each
 
 
 def wilcoxon(pairs: DataFrame, key: str, diff: str) -> DataFrame:

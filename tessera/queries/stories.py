@@ -193,7 +193,7 @@ _add(
     lambda s, d: inference.paired_bootstrap(bound(s, d, "forecasts").selectExpr("id", "(p - y) * (p - y) AS a", "(0.5D - y) * (0.5D - y) AS b"), 200, 7),
     ", l AS (SELECT id, (0.5 - y) * (0.5 - y) - (p - y) * (p - y) AS d FROM forecasts), h0 AS (SELECT d, r, (id % 2147483647 * 48271 + r * 69621 + 7 * 16807) % 2147483647 AS h FROM l, (SELECT unnest(range(1, 201)) AS r)), h1 AS (SELECT d, r, (h * h + r * 48271 + 12345) % 2147483647 * 69621 % 2147483647 AS h FROM h0), h2 AS (SELECT d, r, (h * h + r * 48272 + 12345) % 2147483647 * 69621 % 2147483647 AS h FROM h1), c AS (SELECT d, r, "
     + " + ".join(f"(h / 2147483647.0::DOUBLE >= {t!r}::DOUBLE)::INT" for t in inference.POISSON)
-    + " AS n FROM h2), m AS (SELECT r, sum(n * d) / sum(n) AS m FROM c GROUP BY r) SELECT (SELECT count(*) FROM l) AS n, round_even((SELECT avg(d) FROM l), 6) AS diff, round_even(quantile_cont(m, 0.025), 6) AS ci_low, round_even(quantile_cont(m, 0.975), 6) AS ci_high, least(1, 2 * least(avg((m <= 0)::INT), avg((m >= 0)::INT))) AS p_value FROM m",
+    + " AS n FROM h2), m AS (SELECT r, sum(n * d) / sum(n) AS m FROM c GROUP BY r) SELECT (SELECT count(*) FROM l) AS n, round_even((SELECT avg(d) FROM l), 5) AS diff, round_even(quantile_cont(m, 0.025), 5) AS ci_low, round_even(quantile_cont(m, 0.975), 5) AS ci_high, least(1, 2 * least(avg((m <= 0)::INT), avg((m >= 0)::INT))) AS p_value FROM m",
     _F,
 )
 

@@ -9,6 +9,8 @@ identity, and those get another attempt until none collide.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.session import stored
@@ -111,7 +113,15 @@ def surrogate(part: Column, role: Column, seed: Column, attempt: Column) -> Colu
     return F.when(role == "email", email).when(role == "phone", phone).when(role == "intl", intl).when(role == "ssn", ssn).when(role == "card", card).when(role == "ip", ip).when(role == "surname", F.initcap(syllables(6))).otherwise(given)
 
 
-def replace_entities(docs: DataFrame, key: str = "tessera", text_col: str = "text", count_col: str = "n_entities") -> DataFrame:
+def keyed(key: str, *message: Column | str) -> Column:
+    """The HMAC-SHA256 of the message's parts, joined by |, as hex text."""
+    block = key.encode()
+    block = (hashlib.sha256(block).digest() if len(block) > 64 else block).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in block)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(F.concat_ws("|", *message), "UTF-8")), 256))), 256)
+
+
+def replace_entities(docs: DataFrame, key: str, text_col: str = "text", count_col: str = "n_entities") -> DataFrame:
     """docs with the entities of text_col replaced, and count_col, the number of them.
 
     Found are e-mails; phone numbers in the 3-3-4 grouping, and in any grouping after + and a country code (8 to
@@ -124,19 +134,20 @@ def replace_entities(docs: DataFrame, key: str = "tessera", text_col: str = "tex
     for different identities of the table and are no identity that occurs in it: colliding identities (all
     but the one of smallest hash) try again until none are left; the job fails if 30 rounds in a
     row leave as many, for then a kind has more identities than surrogates.
-    Only texts with entities are shuffled; the others pass through. Time is linear in a text's length.
+    Only texts with entities are shuffled; the others pass through. Time is linear in a text's length: surrogates come by position.
+    Surrogates follow from key; who has it and an identity can make them again.
     """
     text = F.col(text_col)
     found = F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)))
-    lists = stored(docs.select(F.sha2(text, 256).alias("t"), F.array_distinct(found).alias("entities")).where(F.size("entities") > 0).dropDuplicates(["t"]), "pii-lists")
-    mentions = lists.select("t", F.explode("entities").alias("entity"))
+    lists = stored(docs.select(F.sha2(text, 256).alias("t"), found.alias("entities")).where(F.size("entities") > 0).dropDuplicates(["t"]), "pii-lists")
+    mentions = lists.select("t", F.posexplode("entities").alias("pos", "entity"))
     entities = stored(mentions.select("entity").distinct().withColumn("kind", kind_of(F.col("entity"))), "pii-kinds")
     parts = entities.select("entity", "kind", F.inline(parts_of(F.col("entity"), F.col("kind"))))
     parts = stored(parts.withColumn("identity", identity_of(F.col("part"), F.col("role"))), "pii-parts")
     known = stored(parts.groupBy("identity", "role").agg(F.min("part").alias("part"), F.lit(0).alias("attempt")), "pii-known")
 
     def seeded(rows: DataFrame) -> DataFrame:
-        seed = F.sha2(F.concat_ws("|", F.lit(key), "identity", F.col("attempt").cast("string")), 256)
+        seed = keyed(key, F.col("identity"), F.col("attempt").cast("string"))
         return stored(rows.withColumn("seed", seed), "pii-seeds").withColumn("new", surrogate(F.col("part"), F.col("role"), F.col("seed"), F.col("attempt")))
 
     before, same = None, 0
@@ -159,11 +170,15 @@ def replace_entities(docs: DataFrame, key: str = "tessera", text_col: str = "tex
     one = lambda *roles: F.max(F.when(F.col("role").isin(*roles), F.col("new")))
     whole = new_parts.groupBy("entity", "kind").agg(one("given_f", "given_m").alias("given"), one("surname").alias("surname"), F.max("new").alias("new"))
     news = stored(whole.select("entity", F.when(F.col("kind") == "name", F.concat_ws(" ", title, "given", "surname")).otherwise(F.col("new")).alias("new")), "pii-new")
-    maps = stored(mentions.join(news, "entity").groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct("entity", "new"))).alias("__new")), "pii-maps")
-    rows = docs.withColumn("__found", F.coalesce(found, F.array().cast("array<string>")))
-    plain = rows.where(F.size("__found") == 0).withColumn(count_col, F.lit(0)).drop("__found")
-    some = rows.where(F.size("__found") > 0).withColumn("__t", F.sha2(text, 256)).join(maps.withColumnRenamed("t", "__t"), "__t")
-    news_of = F.transform("__found", lambda e: F.element_at("__new", e))
-    pieces = F.zip_with(F.split(text, _ANY, -1), news_of, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    some = some.withColumn(count_col, F.size("__found")).withColumn(text_col, F.array_join(pieces, ""))
-    return plain.unionByName(some.drop("__found", "__t", "__new"))
+    listed = mentions.join(news, "entity").groupBy("t").agg(F.sort_array(F.collect_list(F.struct("pos", "new"))).alias("news"))
+    listed = stored(listed.select(F.col("t").alias("of"), F.col("news.new").alias("news")), "pii-lists")
+    # the table's columns are fields of one, so that no name of theirs meets one made here
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text"), F.coalesce(F.size(found), F.lit(0)).alias("n"))
+    plain = row.where("n <= 0").select("row", "text", F.lit(0).alias("n"))
+    some = row.where("n > 0").withColumn("t", F.sha2("text", 256)).join(listed, F.col("t") == F.col("of"))
+    pieces = F.zip_with(F.split("text", _ANY, -1), "news", lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    both = plain.union(some.select("row", F.array_join(pieces, ""), "n"))
+    same = lambda a, b: a.lower() == b.lower()  # noqa: E731  as Spark compares names
+    values = [F.col("text") if same(c, text_col) else F.col("n") if same(c, count_col) else F.col("row").getField(c) for c in docs.columns]
+    out = [v.alias(c) for v, c in zip(values, docs.columns, strict=True)]
+    return both.select(*out, *([] if any(same(c, count_col) for c in docs.columns) else [F.col("n").alias(count_col)]))

@@ -35,8 +35,13 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.edited_fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def surrogate_key(spark: SparkSession) -> str:
+    """The session's secret for surrogates; a fixed one where none is set, fit for tests only."""
+    return spark.conf.get("spark.tessera.surrogateKey", "not a secret")
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_entities(read_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+    return pii.replace_entities(read_table(spark, sf_dir, "documents"), surrogate_key(spark)).select("doc_id", "text", "n_entities")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

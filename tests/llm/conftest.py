@@ -38,5 +38,5 @@ def clashing(awkward):
     """Columns named like those that operators make inside."""
     from pyspark.sql import functions as F
 
-    names = ["id", "t", "h", "hash", "digest", "data", "words", "raw", "tpl", "key", "spans", "kind", "bucket", "component", "n", "k", "range", "guest", "units", "entity", "identity", "seed", "ids", "score", "votes", "copies", "whole"]
+    names = ["id", "t", "h", "hash", "digest", "data", "words", "raw", "tpl", "key", "spans", "kind", "bucket", "component", "n", "k", "range", "guest", "units", "entity", "identity", "seed", "ids", "score", "votes", "copies", "whole", "Row", "__found", "__t", "News", "Of", "pos"]
     return awkward.withColumns({c: F.lit(f"clash {c}") for c in names})

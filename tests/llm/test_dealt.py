@@ -175,7 +175,7 @@ def test_surrogates(spark):
         None, "", "no data here", "anna.berg7@corp.com",
     ]
     df = spark.createDataFrame([(k, t, "en", 1) for k, t in enumerate(texts)] + [(0, texts[0], "en", 1)], "doc_id long, text string, lang string, seed int")
-    out = [tuple(r) for r in pii.replace_entities(df).orderBy("doc_id").select("doc_id", "text", "n_entities").collect()]
+    out = [tuple(r) for r in pii.replace_entities(df, "k").orderBy("doc_id").select("doc_id", "text", "n_entities").collect()]
     by = {r[0]: r for r in out}
     assert len(out) == len(texts) + 1 and [r for r in out if r[0] == 0][0] == [r for r in out if r[0] == 0][1]
     mail = re.findall(r"\S+@[\w.]+\w", by[0][1])
@@ -190,7 +190,7 @@ def test_surrogates(spark):
 
 def test_surrogates_keep_identities_apart_on_the_table(spark):
     docs = spark.read.parquet(f"{SF01}/documents.parquet")
-    before, after = ({r["doc_id"]: r["text"] for r in x.collect()} for x in (docs, pii.replace_entities(docs)))
+    before, after = ({r["doc_id"]: r["text"] for r in x.collect()} for x in (docs, pii.replace_entities(docs, "k")))
     find = re.compile(pii.KINDS["email"])
     seen = {}
     for i, t in before.items():
@@ -211,7 +211,7 @@ def test_surrogates_keep_people_together_and_apart(spark):
         *[f"Herr {a}{b} Berg met Ms {a}{b}" for a in ("Ka", "Lo", "Mi", "Nu") for b in ("ro", "si", "ta", "vu", "we", "xo")],
     ]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    out = [r["text"] for r in pii.replace_entities(df).orderBy("doc_id").collect()]
+    out = [r["text"] for r in pii.replace_entities(df, "k").orderBy("doc_id").collect()]
     stein = re.findall(r"(?:Mrs\.?|Frau|Mr\.) (?:([A-Z]\w+) )?([A-Z]\w+)", out[0])
     assert len({x[1] for x in stein}) == 1 and len({x[0] for x in stein} - {""}) == 1 and "Stein" not in out[0]
     (olga, stein2), (marta, weber) = re.findall(r"Mrs\. (\w+) (\w+)", out[1])
@@ -229,7 +229,7 @@ def test_surrogates_replace_entities_only(spark):
     import regex
 
     docs = spark.read.parquet(f"{SF01}/documents.parquet")
-    before, after = ({r["doc_id"]: r["text"] for r in x.collect()} for x in (docs, pii.replace_entities(docs)))
+    before, after = ({r["doc_id"]: r["text"] for r in x.collect()} for x in (docs, pii.replace_entities(docs, "k")))
     anything = regex.compile("|".join(f"(?:{p})" for p in pii.KINDS.values()))
     of: dict[str, str] = {}
     changed = 0
@@ -253,8 +253,8 @@ def test_surrogates_replace_entities_only(spark):
 
 
 def test_surrogates_of_awkward_tables(awkward, nothing, clashing):
-    assert pii.replace_entities(nothing).count() == 0
-    out = pii.replace_entities(clashing)
+    assert pii.replace_entities(nothing, "k").count() == 0
+    out = pii.replace_entities(clashing, "k")
     assert out.count() == clashing.count() and set(out.columns) == {*clashing.columns, "n_entities"}
 
 
@@ -505,3 +505,19 @@ def test_em_recovers_accuracies():
     seen = np.where(rng.random((20000, 5)) < right, truth[:, None], ~truth[:, None])
     posterior, accuracy = quality.estimate(Counter("".join("+" if x else "-" for x in row) for row in seen))
     assert np.allclose(accuracy, right, atol=0.03) and posterior["+++++"] > 0.95 > 0.05 > posterior["-----"]
+
+
+def test_surrogate_seeds_are_keyed_hashes(spark):
+    import hmac
+
+    for key in ("k", "x" * 100):
+        got = spark.range(1).select(pii.keyed(key, F.lit("ä|b"), F.lit("2"))).first()[0]
+        assert got == hmac.new(key.encode(), "ä|b|2".encode(), "sha256").hexdigest()
+
+
+def test_private_data_of_long_texts_takes_time_in_proportion(spark):
+    """Each of many addresses in one text gets its own surrogate, in place."""
+    text = " ".join(f"user{k}@mail{k}.org" for k in range(3000)) + " user7@mail7.org"
+    out = pii.replace_entities(spark.createDataFrame([(1, text, "kept")], "doc_id long, text string, __found string"), "k").first()
+    mails = out["text"].split(" ")
+    assert out["n_entities"] == 3001 and out["__found"] == "kept" and len(set(mails)) == 3000 and mails[7] == mails[-1] and not set(mails) & set(text.split(" "))

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.llm import bpe, decontam, langid, minhash, pii
+from tessera.llm.queries import surrogate_key
 from tessera.session import read_table, stored
 
 
@@ -15,8 +16,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def _free(docs: DataFrame, name: str) -> str:
-    """A column name that docs doesn't have."""
-    while name in docs.columns:
+    """A column name that docs doesn't have in any case, for Spark tells names apart without it."""
+    while name.lower() in {c.lower() for c in docs.columns}:
         name += "_"
     return name
 
@@ -48,7 +49,7 @@ def replace_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Personal data become surrogates; n_chars follows the new text."""
     columns = docs.columns
     count = _free(docs, "n_entities")
-    return pii.replace_entities(docs, count_col=count).withColumn("n_chars", F.length("text").cast("long")).select(columns)
+    return pii.replace_entities(docs, surrogate_key(spark), count_col=count).withColumn("n_chars", F.length("text").cast("long")).select(columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -194,7 +194,7 @@ def test_similarity_joins_equal_all_pairs(spark, least):
 
 def test_claim_hints_chain_to_the_first(spark):
     day = lambda n: None if n is None else f"2024-01-{n:02d}"
-    rows = [(1, "Flood water enters the old market", 1), (2, "Old market: flood water enters", 2), (3, "flood water enters old market square", 5), (4, "Fire in mill", None), (5, "fire in mill", 2), (6, "fire in mill", 2), (7, "fire at the mill today", 9)]
+    rows = [(1, "Flood water enters the old market", 1), (2, "Old market: flood water enters", 2), (3, "flood water enters old market square", 5), (4, "Boat sinks in river", None), (5, "fire in mill", 2), (6, "fire in mill", 2), (7, "fire at the mill today", 9)]
     rows += [(10 + k, f"fact number{k} alpha{k} beta{k}", 3) for k in range(12)]
     df = spark.createDataFrame([(i, t, day(d)) for i, t, d in rows], "id long, title string, day string").withColumn("day", F.to_date("day"))
     assert {r["id"]: r["same"] for r in similar.claim_hints(df).collect()} == {2: 1, 3: 1, 6: 5}

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.session import discard, stored
+
 # What separates words.
 SPLIT = r"[\s.,;:!?'\"()\[\]{}।/\\|–—-]+"
 
@@ -43,10 +45,14 @@ def cosine_within(vectors: DataFrame, groups: DataFrame, id_col: str, group: str
     return dots.where(F.col("c") >= least).select("a", "b", F.bround("c", 5).alias("cosine"))
 
 
+def grams_of(text: Column, n: int) -> Column:
+    """All n-grams of a text, overlapping ones too, in one pass."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+
+
 def pieces(text: Column, n: int = 4) -> Column:
     """The distinct n-grams of a text in lower case whose other characters than letters and digits are single spaces."""
-    t = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
-    return F.when(F.length(t) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda k: F.substring(t, k, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(grams_of(plain_words(text), n))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -58,19 +64,32 @@ def words_of(text: Column) -> Column:
 
 
 def bm25(articles: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_col: str, k1: float = 1.4, b: float = 0.75, top: int = 10) -> DataFrame:
-    """The top articles of each query by BM25 over distinct query words: query, id, rank (from 0), score."""
-    words = articles.select(id_col, F.explode(words_of(F.col(text_col))).alias("word"))
-    tf = words.groupBy(id_col, "word").agg(F.count("*").alias("tf"))
-    size = tf.groupBy(id_col).agg(F.sum("tf").alias("size"))
-    whole = articles.agg(F.count("*").alias("n")).join(size.agg(F.sum("size").alias("all")))  # one row each
+    """The top articles of each query by BM25 over distinct query words: query, id, rank (from 0), score.
+
+    Only words that some query has are counted. Then the bound of each word (the most it gives any article) prunes: a query's score with its
+    rare words alone gives a line that top articles reach; the words whose bounds together stay under that line can't
+    bring an article to the top by themselves, so candidates come from the postings of the others, and frequent words only add to those.
+    """
+    asked = stored(queries.select(query_col, F.explode(F.array_distinct(words_of(F.col("q")))).alias("word")), "bm25-asked")
+    listed = articles.select(id_col, words_of(F.col(text_col)).alias("ws")).withColumn("size", F.size("ws"))
+    whole = articles.agg(F.count("*").alias("n")).join(listed.agg(F.sum(F.greatest("size", F.lit(0))).alias("all")))  # one row each
+    tf = listed.select(id_col, "size", F.explode("ws").alias("word")).join(asked.select("word").distinct(), "word", "left_semi").groupBy(id_col, "word").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
+    tf = stored(tf, "bm25-tf")
     df = tf.groupBy("word").agg(F.count("*").alias("df"))
-    asked = queries.select(query_col, F.explode(F.array_distinct(words_of(F.col("q")))).alias("word"))
-    hits = asked.join(df, "word").join(tf, "word").join(size, id_col).join(F.broadcast(whole))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / (F.col("all") / F.col("n"))))
-    scored = hits.groupBy(query_col, id_col).agg(F.bround(F.sum(part), 5).alias("score"))
-    w = Window.partitionBy(query_col).orderBy(F.desc("score"), id_col)
-    return scored.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < top)
+    parts = stored(tf.join(df, "word").join(F.broadcast(whole)).select(id_col, "word", "df", "n", part.alias("part")), "bm25-parts")
+    bounds = stored(asked.join(parts.groupBy("word").agg(F.max("part").alias("bound"), F.first("df").alias("df"), F.first("n").alias("n")), "word"), "bm25-bounds")
+    order = Window.partitionBy(query_col).orderBy(F.desc("score"), id_col)
+    rare = bounds.where(F.col("df") <= F.greatest(F.lit(float(top)), F.col("n") * 0.02)).select(query_col, "word")
+    first = rare.join(parts, "word").groupBy(query_col, id_col).agg(F.sum("part").alias("score")).withColumn("k", F.row_number().over(order)).where(F.col("k") == top).select(query_col, F.col("score").alias("line"))
+    least = Window.partitionBy(query_col).orderBy("bound", "word")
+    needed = bounds.join(first, query_col, "left").withColumn("sum", F.sum("bound").over(least)).where(F.coalesce(F.col("sum") >= F.col("line") - 1e-4, F.lit(True))).select(query_col, "word")
+    found = stored(needed.join(parts, "word").select(query_col, id_col).distinct(), "bm25-found")
+    scored = found.join(asked, query_col).join(parts, [id_col, "word"]).groupBy(query_col, id_col).agg(F.bround(F.sum("part"), 5).alias("score"))
+    out = stored(scored.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < top), "bm25-top")
+    discard(asked, tf, parts, bounds, found)
+    return out
 
 
 def fused_ranks(a: DataFrame, b: DataFrame, keys: list[str], shift: float = 60.0) -> DataFrame:
@@ -90,18 +109,59 @@ def sentences(text: Column, least: int = 25, most: int = 600) -> Column:
     return F.filter(F.transform(F.split(text, r"[.!?।\n]+"), lambda s: F.trim(s)), lambda s: F.length(s).between(least, most))
 
 
+def plain_words(text: Column) -> Column:
+    """A text in lower case whose other characters than letters and digits are single spaces."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+
+
 def verbatim(copy: Column, origin: Column, least: int = 20) -> Column:
-    """Whether the copy, its other characters than letters and digits single spaces, stands in the origin so."""
-    flat = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
-    return (F.length(flat(copy)) >= least) & flat(origin).contains(flat(copy))
+    """Whether the origin's plain words, at least least characters, stand in the copy, perhaps with more around them, or both are equal. An origin without a word has no copies."""
+    a, b = plain_words(copy), plain_words(origin)
+    return (b != "") & ((a == b) | ((F.length(b) >= least) & a.contains(b)))
+
+
+def verbatim_copies(copies: DataFrame, origins: DataFrame, copy_id: str, origin_id: str, words: int = 3) -> DataFrame:
+    """All pairs of a copy and an origin that stands in it: both with text.
+
+    What stands inside begins and ends anywhere in a word, so the origin's words after its first find the texts to look in; origins of
+    fewer words than that needs are looked for in all texts.
+    """
+    flat = lambda df, key, name: df.select(key, plain_words(F.col("text")).alias(name)).where(F.col(name) != "")
+    a, b = flat(copies, copy_id, "a"), flat(origins, origin_id, "b")
+    every = rf"(?<!\S)(?=(\S+(?: \S+){{{words - 1}}}))"  # overlapping runs of words, found in one pass
+    runs = F.transform(F.regexp_extract_all("a", F.lit(every), F.lit(1)), lambda r: F.xxhash64(r))
+    b = b.withColumn("parts", F.split("b", " "))
+    keyed = b.where(F.size("parts") >= words + 2).select(origin_id, "b", F.xxhash64(F.array_join(F.slice("parts", 2, words), " ")).alias("key"))
+    found = a.select(copy_id, "a", F.explode(F.array_distinct(runs)).alias("key")).join(keyed, "key")
+    short = a.crossJoin(F.broadcast(b.where(F.size("parts") < words + 2).select(origin_id, "b")))
+    inside = lambda df: df.where((F.col("a") == F.col("b")) | ((F.length("b") >= 20) & F.col("a").contains(F.col("b")))).select(copy_id, origin_id)
+    return inside(found).union(inside(short)).distinct()
+
+
+# Common words of romanised Bangla and of English, as they are written in reports.
+BANGLISH = """
+ache achhe asche ase ashe amra amader apni apnara ar baro bari barite bhai bhoy bondho bondo bristi brishti dhoke dibe dilo dorkar
+ekhane ekhono ekhon eto gese geche gelo hobe hocche hoise hoyeche hoye hoy hoyni jon jonno kaj kamon kemon keu kichu koto kore korche
+korse korte kotha manush mara moddhe na nai nei niye onek pani para porjonto rasta sathe shob sob shokal shokale theke tader tara tobe
+ufff upor agun jam jot dube dubay dubse dhoshe dhose bhenge venge nihoto ahoto khotigrosto gujob gujab mittha shotti sotti biddut
+current kawran pashe kache samne pichone lagse lagche legeche boro choto beshi kom komche barche bariye jacche jasse karone karon mor
+komor hatu gorali bhari tana nise nilo koyekjon e te er ke re o ki keno kintu okhane gari rastay rastai pore porche
+""".split()
+ENGLISH = """
+the a an and or of in on at to from is are was were has have had been be will would after before near since still people water fire
+road flood rain dead killed injured affected police said says reported report about over under this that with
+""".split()
 
 
 def language(text: Column) -> Column:
-    """bn by script, en otherwise, mixed where both make a fifth of the letters, und without letters."""
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
-    bangla = F.length(F.regexp_replace(text, r"[^ঀ-৿]", ""))
-    latin = F.length(F.regexp_replace(text, r"[^A-Za-z]", ""))
-    return F.when(letters == 0, "und").when((bangla >= 0.2 * letters) & (latin >= 0.2 * letters), "mixed").when(bangla >= 0.2 * letters, "bn").otherwise("en")
+    """bn, bn-Latn, en or mixed: Bangla script with two common or three longer Latin words is mixed, without them bn; in Latin script two common words of
+    romanised Bangla make bn-Latn, or mixed if English ones are more, or three. All else is en."""
+    words = F.filter(F.split(F.lower(F.regexp_replace(text, "[^A-Za-z]+", " ")), " "), lambda w: w != "")
+    of = lambda listed: F.size(F.filter(words, lambda w: w.isin(listed)))
+    bangla, english, longer = of(BANGLISH), of(ENGLISH), F.size(F.filter(words, lambda w: F.length(w) >= 4))
+    script = text.rlike("[\u0980-\u09ff]")
+    latin = F.when(bangla < 2, "en").when((bangla >= english) & (english < 3), "bn-Latn").otherwise("mixed")
+    return F.when(text.isNotNull(), F.when(~script, latin).when((english >= 2) | (bangla >= 2) | (longer >= 3), "mixed").otherwise("bn"))
 
 
 def html_text(html: Column) -> Column:

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tessera.functions.geo import haversine_sql
 from tessera.operators import clustering, fusion, graphs, inference, similar, textual
 from tessera.plans.bindings import bound, with_ctes
-from tessera.session import read_table
+from tessera.session import read_table, stored
+
+from .text import _BM, _WORDS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -239,3 +241,51 @@ _add(
     ", h0 AS (SELECT item, vote_id, (vote_id % 2147483647 * 48271 + 69621 + 3 * 16807) % 2147483647 AS h FROM votes), h1 AS (SELECT item, vote_id, (h * h + 48271 + 12345) % 2147483647 * 69621 % 2147483647 AS h FROM h0), h2 AS (SELECT item, vote_id, (h * h + 48272 + 12345) % 2147483647 * 69621 % 2147483647 AS h FROM h1) SELECT item, vote_id FROM h2 QUALIFY row_number() OVER (PARTITION BY item ORDER BY h, vote_id) <= 5",
     ("votes",),
 )
+
+
+# Copies by counted grams among the articles found for a question, and a balanced choice
+def _found(s: SparkSession, d: str, top: int) -> DataFrame:
+    return textual.bm25(read_table(s, d, "documents"), read_table(s, d, "benchmark").selectExpr("item_id", "text AS q"), "doc_id", "text", "item_id", top=top)
+
+
+def _found_pairs(s: SparkSession, d: str) -> DataFrame:
+    """Pairs of the twenty best articles of each question: a list is bounded."""
+    found = _found(s, d, 20)
+    return found.selectExpr("item_id", "doc_id AS a").join(found.selectExpr("item_id", "doc_id AS b"), "item_id").where("a < b").select("a", "b").distinct()
+
+
+def _gram_cosines(s: SparkSession, d: str, pairs: DataFrame, least: float) -> DataFrame:
+    asked = pairs.select("a").union(pairs.select("b")).distinct()
+    docs = read_table(s, d, "documents").join(asked, F.col("doc_id") == F.col("a")).select(F.col("doc_id").alias("id"), "text")
+    return similar.pair_cosines(similar.weighted_terms(docs, "id", similar.counted_grams(F.col("text")), idf=False), pairs).where(F.col("cosine") >= least)
+
+
+def _copy_reasons(s: SparkSession, d: str) -> DataFrame:
+    """An article's title is its first line, its agency its source."""
+    pairs = stored(_found_pairs(s, d), "found-pairs")
+    docs = read_table(s, d, "documents").select(F.col("doc_id").alias("id"), F.regexp_extract("text", r"^[^.!?\n]*", 0).alias("title"), F.array("source").alias("agencies"))
+    titles = docs.select("id", F.array_distinct(textual.words_of(F.col("title"))).alias("ws"))
+    both = pairs.join(titles.selectExpr("id AS a", "ws AS wa"), "a").join(titles.selectExpr("id AS b", "ws AS wb"), "b")
+    alike = both.where(textual.jaccard(F.col("wa"), F.col("wb")) >= 0.6).select("a", "b")
+    return similar.copy_reasons(docs, _gram_cosines(s, d, pairs, 0.3), alike)
+
+
+_BM_TOP = _BM + ", top AS (SELECT item_id, doc_id FROM r WHERE rank < 20), q2 AS MATERIALIZED (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM top x JOIN top y ON x.item_id = y.item_id AND x.doc_id < y.doc_id), t2 AS (SELECT doc_id AS id, substr(trim(regexp_replace(lower(text), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), 1, 2000) AS t FROM documents WHERE doc_id IN (SELECT a FROM q2 UNION SELECT b FROM q2)), g2 AS (SELECT id, gram, count(*)::DOUBLE AS n FROM (SELECT id, unnest([substr(t, k, 4) for k in range(1, length(t) - 2)]) AS gram FROM t2) GROUP BY ALL), v2 AS MATERIALIZED (SELECT id, gram, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS w FROM g2), c2 AS MATERIALIZED (SELECT a, b, sum(x.w * y.w) AS cosine FROM q2 JOIN v2 x ON x.id = a JOIN v2 y ON y.id = b AND y.gram = x.gram GROUP BY 1, 2)".replace("\\\\", "\\")
+_TITLES = ", w2 AS (SELECT doc_id AS id, source, list_distinct(" + _WORDS.format(c="regexp_extract(text, '^[^.!?\\n]*', 0)") + ") AS ws FROM documents)"
+_add("gram_copies", lambda s, d: _gram_cosines(s, d, stored(_found_pairs(s, d), "found-pairs"), 0.6).select("a", "b", F.bround("cosine", 5).alias("cosine")), _BM_TOP + " SELECT a, b, round_even(cosine, 5) AS cosine FROM c2 WHERE cosine >= 0.6")
+_add(
+    "copy_reasons",
+    _copy_reasons,
+    _BM_TOP + _TITLES + " SELECT * FROM (SELECT q2.a, q2.b, CASE WHEN cosine >= 0.6 THEN 'text' WHEN cosine >= 0.3 AND x.source = y.source THEN 'agency' WHEN len(x.ws) > 0 AND len(y.ws) > 0 AND len(list_intersect(x.ws, y.ws)) / len(list_distinct(x.ws || y.ws)) >= 0.6 THEN 'title' END AS reason FROM q2 LEFT JOIN c2 ON c2.a = q2.a AND c2.b = q2.b JOIN w2 x ON x.id = q2.a JOIN w2 y ON y.id = q2.b) WHERE reason IS NOT NULL",
+)
+
+
+def _diverse(s: SparkSession, d: str) -> DataFrame:
+    """Ten of each question's fifty best articles; an outlet is a source, a story a first line, one half of the languages German and French."""
+    story = F.lower(F.regexp_extract("text", r"^[^.!?\n]*", 0))
+    docs = read_table(s, d, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("outlet"), story.alias("story"), F.coalesce(F.col("lang").isin("de", "fr"), F.lit(False)).alias("bangla"))
+    rows = _found(s, d, 50).join(docs, "doc_id")
+    return inference.diverse(rows.select("item_id", F.col("doc_id").alias("id"), "rank", "story", "outlet", "bangla"), "item_id")
+
+
+_add("diverse_pick", _diverse)

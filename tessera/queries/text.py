@@ -75,7 +75,9 @@ _add(
     lambda s, d: textual.registered(read_table(s, d, "pages").select("page_id", textual.host_of(F.col("url")).alias("host")), read_table(s, d, "pages").where("page_id % 3 = 0").select(F.regexp_extract(textual.host_of(F.col("url")), r"[^.]+\.[^.]+$", 0).alias("domain")), "page_id", "host"),
     _HOSTS + " SELECT page_id, arg_min(domain, -length(domain)) AS domain FROM h JOIN r ON host = domain OR host LIKE '%.' || domain GROUP BY page_id",
 )
-_add("language_detect", lambda s, d: docs(s, d).select("doc_id", textual.language(F.col("text")).alias("script")), "WITH l AS (SELECT doc_id, length(regexp_replace(text, '[^\\p{L}]', '', 'g')) AS n, length(regexp_replace(text, '[^\\x{0980}-\\x{09FF}]', '', 'g')) AS b, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS e FROM documents) SELECT doc_id, CASE WHEN n = 0 THEN 'und' WHEN b >= 0.2 * n AND e >= 0.2 * n THEN 'mixed' WHEN b >= 0.2 * n THEN 'bn' ELSE 'en' END AS script FROM l WHERE n IS NOT NULL")
+_LISTS = {k: "[" + ", ".join(f"'{w}'" for w in v) + "]" for k, v in (("b", textual.BANGLISH), ("e", textual.ENGLISH))}
+_LANGUAGE = r"WITH w AS (SELECT doc_id, text, regexp_extract_all(lower(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), '[a-z]+') AS ws FROM {t} WHERE text IS NOT NULL), c AS (SELECT doc_id, regexp_matches(text, '[\x{{0980}}-\x{{09FF}}]') AS script, len([x for x in ws if list_contains({b}, x)]) AS b, len([x for x in ws if list_contains({e}, x)]) AS e, len([x for x in ws if length(x) >= 4]) AS n FROM w) SELECT doc_id, CASE WHEN script THEN CASE WHEN e >= 2 OR b >= 2 OR n >= 3 THEN 'mixed' ELSE 'bn' END WHEN b < 2 THEN 'en' WHEN b >= e AND e < 3 THEN 'bn-Latn' ELSE 'mixed' END AS script FROM c"
+_add("language_detect", lambda s, d: docs(s, d).where("text IS NOT NULL").select("doc_id", textual.language(F.col("text")).alias("script")), _LANGUAGE.replace("\\\\x", "\\x").format(t="documents", **_LISTS))
 _CUES = ["false", "not true", "license", "an"]
 _add("cue_count", lambda s, d: docs(s, d).select("doc_id", textual.cue_count(F.col("text"), _CUES).alias("cues")), "SELECT doc_id, (" + " + ".join(f"(length(lower(text)) - length(replace(lower(text), '{c}', ''))) // {len(c)}" for c in _CUES) + ")::INT AS cues FROM documents")
 _add("attribution_flag", lambda s, d: docs(s, d).where(F.col("text").rlike(r"(?i)\b(license|according to|laut|selon)\b")).select("doc_id"), r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)\b(license|according to|laut|selon)\b')")
@@ -90,8 +92,8 @@ _add(
 )
 _add(
     "verbatim_test",
-    lambda s, d: docs(s, d).select("doc_id", "text").join(items(s, d).selectExpr("item_id AS doc_id", "text AS item"), "doc_id").select("doc_id", textual.verbatim(F.substring("item", 5, 40), F.col("item")).alias("own"), textual.verbatim(F.col("item"), F.col("text")).alias("held")),
-    f"SELECT doc_id, length({_FLAT.format(c='substr(b.text, 5, 40)')}) >= 20 AND contains({_FLAT.format(c='b.text')}, {_FLAT.format(c='substr(b.text, 5, 40)')}) AS own, length({_FLAT.format(c='b.text')}) >= 20 AND contains({_FLAT.format(c='d.text')}, {_FLAT.format(c='b.text')}) AS held FROM documents d JOIN benchmark b ON doc_id = item_id",
+    lambda s, d: textual.verbatim_copies(docs(s, d), items(s, d), "doc_id", "item_id"),
+    f"WITH a AS (SELECT doc_id, {_FLAT.format(c='text')} AS a FROM documents), b AS (SELECT item_id, {_FLAT.format(c='text')} AS b FROM benchmark) SELECT DISTINCT doc_id, item_id FROM a JOIN b ON b <> '' AND (a = b OR (length(b) >= 20 AND contains(a, b)))",
 )
 _WORDS = "regexp_extract_all(lower({c}), '[a-z0-9\\x{{0980}}-\\x{{09FF}}]+')"
 _add(
@@ -108,11 +110,11 @@ _add(
     lambda s, d: textual.cosine_within(textual.tfidf(items(s, d), "item_id", "text"), items(s, d).selectExpr("item_id", "item_id % 5 AS topic"), "item_id", "topic", 0.2),
     _TFIDF + " SELECT a.item_id AS a, b.item_id AS b, round_even(sum(a.w * b.w), 5) AS cosine FROM x a JOIN x b ON a.gram = b.gram AND a.item_id % 5 = b.item_id % 5 AND a.item_id < b.item_id GROUP BY 1, 2 HAVING sum(a.w * b.w) >= 0.2",
 )
-_BM = f"WITH t AS (SELECT doc_id, unnest({_WORDS.format(c='text')}) AS word FROM documents), f AS (SELECT doc_id, word, count(*) AS tf FROM t GROUP BY ALL), z AS (SELECT doc_id, sum(tf) AS size FROM f GROUP BY 1), n AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(size) FROM z) AS total), e AS (SELECT word, count(*) AS df FROM f GROUP BY 1), q AS (SELECT item_id, unnest(list_distinct({_WORDS.format(c='text')})) AS word FROM benchmark WHERE item_id % 10 = 3), s AS (SELECT item_id, f.doc_id, round_even(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.4 / (tf + 1.4 * (0.25 + 0.75 * size / (total / n)))), 5) AS score FROM q JOIN e USING (word) JOIN f USING (word) JOIN z USING (doc_id), n GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) - 1 AS rank FROM s)"
+_BM = f"WITH t AS (SELECT doc_id, unnest({_WORDS.format(c='text')}) AS word FROM documents), f AS (SELECT doc_id, word, count(*) AS tf FROM t GROUP BY ALL), z AS (SELECT doc_id, sum(tf) AS size FROM f GROUP BY 1), n AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(size) FROM z) AS total), e AS (SELECT word, count(*) AS df FROM f GROUP BY 1), q AS (SELECT item_id, unnest(list_distinct({_WORDS.format(c='text')})) AS word FROM benchmark), s AS (SELECT item_id, f.doc_id, round_even(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.4 / (tf + 1.4 * (0.25 + 0.75 * size / (total / n)))), 5) AS score FROM q JOIN e USING (word) JOIN f USING (word) JOIN z USING (doc_id), n GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) - 1 AS rank FROM s)"
 
 
 def _bm25(s: SparkSession, d: str, top: int) -> DataFrame:
-    return textual.bm25(docs(s, d), items(s, d).where("item_id % 10 = 3").selectExpr("item_id", "text AS q"), "doc_id", "text", "item_id", top=top)
+    return textual.bm25(docs(s, d), items(s, d).selectExpr("item_id", "text AS q"), "doc_id", "text", "item_id", top=top)
 
 
 _add("bm25_topk", lambda s, d: _bm25(s, d, 10).select("item_id", "doc_id", F.bround("score", 2).alias("score")), _BM + " SELECT item_id, doc_id, round_even(score, 2) AS score FROM r WHERE rank < 10")

@@ -77,14 +77,30 @@ def account_risk(reports: DataFrame, flagged: DataFrame, now: float) -> DataFram
     return all_.select("reporter", "n", F.coalesce("n_base", F.lit(0)).alias("n_base"), F.when(F.col("n") > 0, F.bround(1 - keep, 3)).otherwise(0.0).alias("risk"))
 
 
+#: How directly a kind of event endangers life, depths that do, and people of a household.
+HAZARD = {3: ["fire", "building_collapse", "explosion", "cyclone", "storm_surge", "flash_flood", "earthquake", "landslide"], 2: ["flood", "river_erosion", "building_hazard", "road_accident", "rail_accident", "bridge_damage"]}
+SERIOUS_DEPTH, HOUSEHOLD = ["waist-deep", "chest-deep", "above-head"], 4
+
+
+def hazard(event_type: Column) -> Column:
+    """3 to 1; 1 for all other kinds."""
+    return F.when(event_type.isin(HAZARD[3]), 3).when(event_type.isin(HAZARD[2]), 2).otherwise(1)
+
+
 def priority(facts: DataFrame) -> DataFrame:
-    """Points and level of an incident: hazard, deaths, people affected, disruption, growth, duration, doubt (over or dismissed: low)."""
+    """Points and level of an incident: hazard, deaths, people affected (a household is four), depth, disruption, growth, rising deaths, duration, doubt (over or dismissed: low).
+
+    facts: event_id, hazard, deaths, affected, affected_unit, depth, family, n_recent, rising, ended, age_days, assessment, p, n_sources, status.
+    """
+    people = F.col("affected") * F.when(F.col("affected_unit").startswith("household"), HOUSEHOLD).otherwise(1)
     points = (
         F.col("hazard")
         + F.when(F.col("deaths") >= 10, 4).when(F.col("deaths") > 0, 2).otherwise(0)
-        + F.when(F.col("affected") >= 100_000, 3).when(F.col("affected") >= 10_000, 2).when(F.col("affected") >= 1000, 1).otherwise(0)
+        + F.when(people >= 100_000, 3).when(people >= 10_000, 2).when(people >= 1000, 1).otherwise(0)
+        + F.when(F.col("depth").isin(SERIOUS_DEPTH), 1).otherwise(0)
         + F.when(F.col("family") == "road_infrastructure", 1).otherwise(0)
         + F.when(F.col("n_recent") >= 3, 1).otherwise(0)
+        + F.when(F.col("rising"), 1).otherwise(0)
         + F.when(F.col("ended").isNull() & (F.col("age_days") >= 2), 1).otherwise(0)
         + F.when(F.col("assessment") == "refuted", -4).when(F.col("p") < 0.3, -3).when(F.col("n_sources") <= 1, -1).otherwise(0)
     )

@@ -35,7 +35,7 @@ def starting_rate(kind: Column) -> Column:
 def latest_votes(votes: DataFrame, copies: bool = False) -> DataFrame:
     """The last vote of each source about each item (later id wins a tie); rows without a vote, and copies unless asked for, don't count."""
     rows = votes.where("vote IS NOT NULL") if copies else votes.where("vote IS NOT NULL AND copy_of IS NULL")
-    last = rows.groupBy("item", "source").agg(F.max_by(F.struct("vote_id", "vote", "source_type", "relation"), F.struct("seen", "vote_id")).alias("x"))
+    last = rows.groupBy("item", "source").agg(F.max_by(F.struct("vote_id", "vote", "source_type", "relation", *[c for c in ("conflict", "stated") if c in votes.columns]), F.struct("seen", "vote_id")).alias("x"))
     return last.select("item", "source", "x.*")
 
 
@@ -86,14 +86,22 @@ def scores(votes: DataFrame, outcomes: DataFrame) -> DataFrame:
     return rated_votes(votes, outcomes).groupBy("item").agg(F.sum(F.col("vote") * F.log(r / (1 - r))).alias("z"))
 
 
-def label_rule(votes: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """The label of each item, those without a vote too: from its probability, the credible voices of both sides and the details marked wrong."""
+def label_rule(votes: DataFrame, outcomes: DataFrame, share: float = 0.2, hours: float = 12.0) -> DataFrame:
+    """The label of each item, those without a vote too: from its probability, the credible voices of both sides and the details in dispute.
+
+    A detail is in dispute where a credible source supports in part and marks something else than the occurrence as wrong (conflict), or
+    where the counts that two credible sources state within hours, none of them denying, differ by more than share of the larger.
+    """
     credible = F.col("rate") >= CREDIBLE
-    sides = rated_votes(votes, outcomes).groupBy("item").agg(F.bool_or(credible & (F.col("vote") > 0)).alias("up"), F.bool_or(credible & (F.col("vote") < 0)).alias("down"), F.bool_or(credible & (F.col("relation") == 1)).alias("disputed"))
-    rows = votes.select("item").distinct().join(scores(votes, outcomes).select("item", sigmoid(F.col("z")).alias("p")), "item", "left").join(sides, "item", "left")
+    rated = rated_votes(votes, outcomes)
+    marked = credible & (F.col("relation") == 1) & F.coalesce(F.col("conflict") != "occurrence", F.lit(False))
+    sides = rated.groupBy("item").agg(F.bool_or(credible & (F.col("vote") > 0)).alias("up"), F.bool_or(credible & (F.col("vote") < 0)).alias("down"), F.bool_or(marked).alias("marked"))
+    said = rated.where(credible & (F.col("vote") > 0) & F.col("stated").isNotNull()).join(votes.select("vote_id", "seen"), "vote_id").select("item", "stated", "seen")
+    apart = disputed(said, "item", "stated", "seen", share, hours).select("item", F.lit(True).alias("apart"))
+    rows = votes.select("item").distinct().join(scores(votes, outcomes).select("item", sigmoid(F.col("z")).alias("p")), "item", "left").join(sides, "item", "left").join(apart, "item", "left")
     label = (
         F.when(F.col("p").isNull(), "insufficient_evidence")
-        .when((F.col("p") >= HIGH) & F.col("disputed"), "partially_verified")
+        .when((F.col("p") >= HIGH) & (F.col("marked") | F.coalesce("apart", F.lit(False))), "partially_verified")
         .when(F.col("p") >= HIGH, "verified")
         .when(F.col("p") <= LOW, "refuted")
         .when(F.col("up") & F.col("down"), "conflicting")
@@ -102,6 +110,13 @@ def label_rule(votes: DataFrame, outcomes: DataFrame) -> DataFrame:
     return rows.select("item", F.round("p", 6).alias("p"), label.alias("label"))
 
 
+def rising(counts: DataFrame, now: float, share: float = 1.2, hours: float = 24.0) -> DataFrame:
+    """Items whose largest count of the hours before now is more than share times the largest before: item, before, since. counts: item, at (seconds), count, credible support only; later ones don't count."""
+    cut = now - hours * 3600
+    per = counts.where((F.col("at") <= now) & F.col("count").isNotNull()).groupBy("item").agg(F.max(F.when(F.col("at") < cut, F.col("count"))).alias("before"), F.max(F.when(F.col("at") >= cut, F.col("count"))).alias("since"))
+    return per.where(F.col("since") > F.col("before") * share)
+
+
 def zone(p: Column) -> Column:
     return F.when(p.isNull(), "none").when(p >= HIGH, "yes").when(p <= LOW, "no").otherwise("open")
 

@@ -164,6 +164,11 @@ def language(text: Column) -> Column:
     return F.when(text.isNotNull(), F.when(~script, latin).when((english >= 2) | (bangla >= 2) | (longer >= 3), "mixed").otherwise("bn"))
 
 
+def edit_rate(reference: Column, other: Column) -> Column:
+    """Edits of characters that make the other text of the reference, over the reference's characters (one at least)."""
+    return F.levenshtein(reference, other) / F.greatest(F.length(reference), F.lit(1))
+
+
 def html_text(html: Column) -> Column:
     """Tags become spaces, entities their characters, runs of space one space."""
     t = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", " "), r"(?s)<[^>]*>", " ")

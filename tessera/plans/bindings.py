@@ -24,7 +24,7 @@ BINDINGS = {
     "answers": ("events", "event_type IN ('view', 'click') AND event_id % 5 = 0", ["event_id AS report_id", "event_id + 1 AS event_id"]),
     "linked_reports": ("events", "event_type IN ('view', 'click')", ["event_id AS report_id", "event_id - 1 - event_id % 5 AS event_id"]),
     "linked_signals": ("events", "event_type = 'signup'", ["event_id AS signal_id", "event_id - 1 - event_id % 5 AS event_id"]),
-    "votes": ("events", "true", ["event_id AS vote_id", "event_id % 97 AS item", "user_id AS source", f"{_T} AS seen", "CASE WHEN event_id % 5 < 2 THEN 1 WHEN event_id % 5 = 2 THEN -1 END AS vote", "CASE user_id % 4 WHEN 0 THEN 'field' WHEN 1 THEN 'news' WHEN 2 THEN 'social' ELSE 'public_record' END AS source_type", "event_id % 5 AS relation", "CASE WHEN event_id % 7 = 0 AND event_id > 97 THEN event_id - 97 END AS copy_of", "CAST(value AS DOUBLE) AS stated"]),
+    "votes": ("events", "true", ["event_id AS vote_id", "event_id % 97 AS item", "user_id AS source", f"{_T} AS seen", "CASE WHEN event_id % 5 < 2 THEN 1 WHEN event_id % 5 = 2 THEN -1 END AS vote", "CASE user_id % 4 WHEN 0 THEN 'field' WHEN 1 THEN 'news' WHEN 2 THEN 'social' ELSE 'public_record' END AS source_type", "event_id % 5 AS relation", "CASE WHEN event_id % 7 = 0 AND event_id > 97 THEN event_id - 97 END AS copy_of", "CAST(value AS DOUBLE) AS stated", "CASE event_id % 3 WHEN 0 THEN 'occurrence' WHEN 1 THEN 'casualty_count' END AS conflict"]),
     "outcomes": ("events", "event_id < 97 AND event_id % 3 <> 0", ["event_id AS item", "event_id % 2 AS happened"]),
     "forecasts": ("events", "true", ["event_id AS id", "(event_id * 7919 % 1000) / 1000e0 AS p", "CASE WHEN (event_id * 31 % 100) * 10 < (event_id * 7919 % 1000) THEN 1 ELSE 0 END AS y"]),
     "ratings": ("events", "true", ["event_id % 499 AS unit", "user_id AS rater", "(event_id % 499 + CASE WHEN event_id % 7 < 2 THEN event_id ELSE 0 END) % 3 AS label"]),

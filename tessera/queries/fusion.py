@@ -42,7 +42,8 @@ _add("reliability_score", lambda v, o: fusion.scores(v, o).select("item", F.brou
 _add(
     "label_rule",
     lambda v, o: fusion.label_rule(v, o),
-    _SCORES + f", s AS (SELECT item, bool_or(rate >= 0.5 AND vote > 0) AS up, bool_or(rate >= 0.5 AND vote < 0) AS down, bool_or(rate >= 0.5 AND relation = 1) AS disputed FROM rv GROUP BY item), a AS (SELECT i.item, {_SIG.format(z='z')} AS p, up, down, disputed FROM (SELECT DISTINCT item FROM votes) i LEFT JOIN z USING (item) LEFT JOIN s USING (item)) SELECT item, round(p, 6) AS p, CASE WHEN p IS NULL THEN 'insufficient_evidence' WHEN p >= 0.8 AND disputed THEN 'partially_verified' WHEN p >= 0.8 THEN 'verified' WHEN p <= 0.2 THEN 'refuted' WHEN up AND down THEN 'conflicting' ELSE 'unverified' END AS label FROM a",
+    _SCORES
+    + f", e AS MATERIALIZED (SELECT rv.*, conflict, stated, seen FROM rv JOIN (SELECT vote_id, conflict, stated, seen FROM votes) USING (vote_id)), x AS (SELECT DISTINCT a.item FROM e a JOIN e b ON a.item = b.item AND abs(a.seen - b.seen) <= 43200 AND abs(a.stated - b.stated) > 0.2 * greatest(abs(a.stated), abs(b.stated)) WHERE a.rate >= 0.5 AND b.rate >= 0.5 AND a.vote > 0 AND b.vote > 0), s AS (SELECT item, bool_or(rate >= 0.5 AND vote > 0) AS up, bool_or(rate >= 0.5 AND vote < 0) AS down, bool_or(rate >= 0.5 AND relation = 1 AND coalesce(conflict <> 'occurrence', false)) AS marked FROM e GROUP BY item), a AS (SELECT i.item, {_SIG.format(z='z')} AS p, up, down, marked OR x.item IS NOT NULL AS disputed FROM (SELECT DISTINCT item FROM votes) i LEFT JOIN z USING (item) LEFT JOIN s USING (item) LEFT JOIN x USING (item)) SELECT item, round(p, 6) AS p, CASE WHEN p IS NULL THEN 'insufficient_evidence' WHEN p >= 0.8 AND disputed THEN 'partially_verified' WHEN p >= 0.8 THEN 'verified' WHEN p <= 0.2 THEN 'refuted' WHEN up AND down THEN 'conflicting' ELSE 'unverified' END AS label FROM a",
 )
 _ZONE = "CASE WHEN {p} IS NULL THEN 'none' WHEN {p} >= 0.8 THEN 'yes' WHEN {p} <= 0.2 THEN 'no' ELSE 'open' END"
 _add("triage_zone", lambda v, o: fusion.scores(v, o).select("item", fusion.zone(fusion.sigmoid(F.col("z"))).alias("zone"), checks.percent(F.bround(fusion.sigmoid(F.col("z")), 6)).alias("shown")), _SCORES + f", q AS (SELECT item, {_SIG.format(z='z')} AS p, round_even({_SIG.format(z='z')}, 6) AS r FROM z) SELECT item, {_ZONE.format(p='p')} AS zone, CASE WHEN r >= 0.995 THEN '>99%' WHEN r <= 0.005 THEN '<1%' ELSE round_even(r * 100, 0)::INT || '%' END AS shown FROM q")
@@ -71,7 +72,7 @@ _add_roots(
     lambda v, o: fusion.four_values(v.join(fusion.roots(v, "vote_id", "copy_of"), v["vote_id"] == F.col("node")).selectExpr("item", "floor(stated / 25) AS v", "seen", "root", "vote_id % 7 + 1 AS w"), "item", "v", "seen", "root", "w"),
     ", q AS (SELECT item, floor(stated / 25)::BIGINT AS v, seen, root, vote_id % 7 + 1 AS w FROM votes JOIN roots ON node = vote_id), o AS (SELECT item, root, v, min(seen) AS seen FROM q GROUP BY ALL), f AS (SELECT item, arg_min(v, (seen, v)) AS first FROM q GROUP BY item), m AS (SELECT item, arg_min(v, (-n, s, v)) AS majority FROM (SELECT item, v, count(*) AS n, min(seen) AS s FROM q GROUP BY ALL) GROUP BY item), c AS (SELECT item, arg_min(v, (-n, s, v)) AS per_cascade FROM (SELECT item, v, count(*) AS n, min(seen) AS s FROM o GROUP BY ALL) GROUP BY item), x AS (SELECT item, arg_min(v, (-n, s, v)) AS weighted FROM (SELECT item, v, sum(w) AS n, min(seen) AS s FROM q GROUP BY ALL) GROUP BY item) SELECT * FROM f JOIN m USING (item) JOIN c USING (item) JOIN x USING (item)",
 )
-_add("cycle_check", lambda v, o: checks.cycles(v.selectExpr("vote_id % 50 AS node", "(vote_id % 50 * 7 + 3) % 60 AS up").distinct(), "node", "up"), ", n AS (SELECT DISTINCT vote_id % 50 AS node, (vote_id % 50 * 7 + 3) % 60 AS up FROM votes), w(node, place) AS (SELECT node, up FROM n UNION SELECT w.node, n.up FROM w JOIN n ON n.node = w.place), c AS (SELECT node FROM w WHERE node = place), r AS (SELECT w.node, w.place FROM w JOIN c ON c.node = w.place), m AS (SELECT node, min(place) AS root FROM r GROUP BY node), o AS (SELECT m.* FROM m JOIN n USING (node)) SELECT root, count(*) AS n_nodes FROM o WHERE root NOT IN (SELECT node FROM n WHERE node = up) GROUP BY root")
+_add("cycle_check", lambda v, o: checks.cycles(v.selectExpr("vote_id AS node", "IF(vote_id % 10 < 4, vote_id - vote_id % 10 + (vote_id + 1) % 4, vote_id - 3) AS up"), "node", "up"), ", n AS MATERIALIZED (SELECT vote_id AS node, CASE WHEN vote_id % 10 < 4 THEN vote_id - vote_id % 10 + (vote_id + 1) % 4 ELSE vote_id - 3 END AS up FROM votes), w(node, place) AS (SELECT node, up FROM n UNION SELECT w.node, n.up FROM w JOIN n ON n.node = w.place), c AS (SELECT node FROM w WHERE node = place), r AS (SELECT w.node, w.place FROM w JOIN c ON c.node = w.place), m AS (SELECT node, min(place) AS root FROM r GROUP BY node), o AS (SELECT m.* FROM m JOIN n USING (node)) SELECT root, count(*) AS n_nodes FROM o WHERE root NOT IN (SELECT node FROM n WHERE node = up) GROUP BY root")
 ORACLE_SQL["cycle_check"] = ORACLE_SQL["cycle_check"].replace("WITH ", "WITH RECURSIVE ", 1)
 _DISPUTE = ", q AS (SELECT item, stated AS v, seen FROM votes), p AS (SELECT a.item FROM q a JOIN q b ON a.item = b.item AND b.seen - a.seen BETWEEN 0 AND 43200 AND (a.seen < b.seen OR a.v < b.v) WHERE abs(a.v - b.v) > 0.2 * greatest(abs(a.v), abs(b.v))) SELECT item, count(*) AS n_pairs FROM p GROUP BY item"
 _add("dispute_pairs", lambda v, o: fusion.disputed(v, "item", "stated", "seen"), _DISPUTE)
@@ -83,14 +84,24 @@ _add(
 _ROUND = ", t{k} AS (SELECT source, (sum(f * p + (n - f) * (1 - p)) + 3.5) / (sum(n) + 5) AS trust FROM c JOIN (SELECT item, 1 / (1 + exp(-greatest(-30, least(30, z)))) AS p FROM z{j}) USING (item) GROUP BY source), z{k} AS (SELECT item, sum(net * ln(greatest(0.0001, least(0.9999, trust)) / (1 - greatest(0.0001, least(0.9999, trust))))) AS z FROM c JOIN t{k} USING (source) GROUP BY item)"
 _add(
     "truthfinder",
-    lambda v, o: fusion.truthfinder(v, 6),
-    ", c AS MATERIALIZED (SELECT item, source, sum(vote)::DOUBLE AS net, count(*) FILTER (vote > 0)::DOUBLE AS f, count(*)::DOUBLE AS n FROM votes WHERE vote IS NOT NULL GROUP BY ALL), z0 AS (SELECT item, sum(net * ln(0.7e0 / 0.3e0)) AS z FROM c GROUP BY item)" + "".join(_ROUND.format(k=k, j=k - 1).replace("AS (", "AS MATERIALIZED (") for k in range(1, 6)) + " SELECT item, round(z, 4) AS log_odds FROM z5",
+    lambda v, o: fusion.truthfinder(v),
+    ", c AS MATERIALIZED (SELECT item, source, sum(vote)::DOUBLE AS net, count(*) FILTER (vote > 0)::DOUBLE AS f, count(*)::DOUBLE AS n FROM votes WHERE vote IS NOT NULL GROUP BY ALL), z0 AS (SELECT item, sum(net * ln(0.7e0 / 0.3e0)) AS z FROM c GROUP BY item)" + "".join(_ROUND.format(k=k, j=k - 1).replace("AS (", "AS MATERIALIZED (") for k in range(1, 30)) + " SELECT item, round(z, 4) AS log_odds FROM z29",
+)
+_EM = (
+    ", r{k} AS MATERIALIZED (SELECT source, (sum(p * f) + 2) / (sum(p * (f + a)) + 3) AS sens, (sum((1 - p) * a) + 2) / (sum((1 - p) * (f + a)) + 3) AS spec FROM c JOIN p{j} USING (item) GROUP BY source)"
+    ", n{k} AS (SELECT item, 1 / (1 + exp(-greatest(-50, least(50, sum(f * ln(sens / (1 - spec)) + a * ln((1 - sens) / spec)) + any_value(ln(m.b / (1 - m.b))))))) AS np FROM c JOIN r{k} USING (source), m{j} m GROUP BY item)"
+    ", p{k} AS MATERIALIZED (SELECT item, CASE WHEN done THEN p ELSE np END AS p, done OR max(abs(np - p)) OVER () < 1e-6 AS done FROM p{j} JOIN n{k} USING (item)), m{k} AS MATERIALIZED (SELECT greatest(0.02, least(0.98, avg(p))) AS b FROM p{k})"
 )
-_EM = ", r{k} AS MATERIALIZED (SELECT source, (sum(p * f) + 2) / (sum(p * (f + a)) + 3) AS sens, (sum((1 - p) * a) + 2) / (sum((1 - p) * (f + a)) + 3) AS spec FROM c JOIN p{j} USING (item) GROUP BY source), p{k} AS MATERIALIZED (SELECT item, 1 / (1 + exp(-greatest(-50, least(50, sum(f * ln(sens / (1 - spec)) + a * ln((1 - sens) / spec)) + any_value(ln(m.b / (1 - m.b))))))) AS p FROM c JOIN r{k} USING (source), m{j} m GROUP BY item), m{k} AS MATERIALIZED (SELECT greatest(0.02, least(0.98, avg(p))) AS b FROM p{k})"
 _add(
     "dawid_skene",
-    lambda v, o: fusion.dawid_skene(v, 5),
-    ", c AS MATERIALIZED (SELECT item, source, count(*) FILTER (vote > 0)::DOUBLE AS f, count(*) FILTER (vote < 0)::DOUBLE AS a FROM votes WHERE vote IS NOT NULL GROUP BY ALL), p0 AS MATERIALIZED (SELECT item, sum(f) / sum(f + a) AS p FROM c GROUP BY item), m0 AS (SELECT 0.5e0 AS b)" + "".join(_EM.format(k=k, j=k - 1) for k in range(1, 6)) + " SELECT item, round(p, 4) AS p FROM p5",
+    lambda v, o: fusion.dawid_skene(v),
+    ", c AS MATERIALIZED (SELECT item, source, count(*) FILTER (vote > 0)::DOUBLE AS f, count(*) FILTER (vote < 0)::DOUBLE AS a FROM votes WHERE vote IS NOT NULL GROUP BY ALL), p0 AS MATERIALIZED (SELECT item, (sum(f) + 1) / (sum(f + a) + 2) AS p, false AS done FROM c GROUP BY item), m0 AS (SELECT 0.5e0 AS b)" + "".join(_EM.format(k=k, j=k - 1) for k in range(1, 51)) + " SELECT item, round(p, 4) AS p FROM p50",
+)
+_DAY_END = 1706659200  # the end of the last day of the votes
+_add(
+    "rising_count",
+    lambda v, o: fusion.rising(fusion.rated_votes(v, o).where("rate >= 0.5 AND vote > 0").join(v.select("vote_id", "seen"), "vote_id").selectExpr("source AS item", "seen AS at", "CAST(floor(stated / 4) AS double) AS count"), _DAY_END),
+    _SCORES + f", q AS (SELECT rv.source AS item, max(c) FILTER (seen < {_DAY_END - 86400}) AS before, max(c) FILTER (seen >= {_DAY_END - 86400}) AS since FROM rv JOIN (SELECT vote_id, seen, floor(stated / 4) AS c FROM votes) USING (vote_id) WHERE rate >= 0.5 AND vote > 0 AND seen <= {_DAY_END} GROUP BY 1) SELECT * FROM q WHERE since > before * 1.2e0",
 )
 QUERIES["weighted_median"] = lambda s, d: fusion.weighted_median(read_table(s, d, "lineitem"), "l_suppkey", "l_quantity", "l_linenumber").withColumn("median", F.col("median").cast("double"))
 ORACLE_SQL["weighted_median"] = "WITH v AS (SELECT l_suppkey, l_quantity, sum(l_linenumber) AS w FROM lineitem GROUP BY ALL), r AS (SELECT l_suppkey, l_quantity, sum(w) OVER (PARTITION BY l_suppkey ORDER BY l_quantity) AS up, sum(w) OVER (PARTITION BY l_suppkey) AS al FROM v) SELECT l_suppkey, CAST(min(l_quantity) AS DOUBLE) AS median FROM r WHERE 2 * up >= al GROUP BY l_suppkey"

@@ -89,7 +89,6 @@ _add(
     lambda s, d: spacetime.asof_last(events(s, d).where("event_type = 'click'").withColumnRenamed("event_id", "id"), events(s, d).where("event_type = 'purchase'"), "user_id", "ts", "value"),
     "SELECT c.event_id AS id, c.user_id, p.value FROM (SELECT * FROM events WHERE event_type = 'click') c ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON c.user_id = p.user_id AND c.ts >= p.ts",
 )
-_add("rising_count", lambda s, d: bound(s, d, "votes").groupBy("item").agg(F.max(F.when(F.col("seen") < 1705500000.0, F.col("stated"))).alias("before"), F.max(F.when(F.col("seen") >= 1705500000.0, F.col("stated"))).alias("since")).where("since > before * 1.01").select("item", "before", "since"), ", q AS (SELECT item, max(stated) FILTER (seen < 1705500000) AS before, max(stated) FILTER (seen >= 1705500000) AS since FROM votes GROUP BY 1) SELECT * FROM q WHERE since > before * 1.01e0", ("votes",))
 _OLD = "event_id % 200 AS external_id, event_id % 7 AS source, event_id AS seq, CAST(floor(value / 20) AS BIGINT) AS content"
 _add(
     "upsert_latest",

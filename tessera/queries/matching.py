@@ -134,9 +134,9 @@ _add(
 )
 _add(
     "priority_points",
-    lambda s, d: checks.priority(bound(s, d, "incidents").selectExpr("event_id", "event_id % 3 + 1 AS hazard", "event_id % 25 - 5 AS deaths", "event_id * 977 % 200000 AS affected", "IF(event_id % 2 = 0, 'road_infrastructure', 'weather') AS family", "event_id % 5 AS n_recent", "ended", f"({NOW} - started) / 86400 AS age_days", "IF(event_id % 11 = 0, 'refuted', 'unverified') AS assessment", "event_id % 10 / 10e0 AS p", "event_id % 4 AS n_sources", "status")),
+    lambda s, d: checks.priority(bound(s, d, "incidents").selectExpr("event_id", "event_id % 3 + 1 AS hazard", "IF(event_id % 6 = 1, 'households', 'people') AS affected_unit", "element_at(array('knee-deep', 'waist-deep', 'above-head'), cast(event_id % 3 AS int) + 1) AS depth", "event_id % 8 = 3 AS rising", "event_id % 25 - 5 AS deaths", "event_id * 977 % 200000 AS affected", "IF(event_id % 2 = 0, 'road_infrastructure', 'weather') AS family", "event_id % 5 AS n_recent", "ended", f"({NOW} - started) / 86400 AS age_days", "IF(event_id % 11 = 0, 'refuted', 'unverified') AS assessment", "event_id % 10 / 10e0 AS p", "event_id % 4 AS n_sources", "status")),
     ["incidents"],
-    f", q AS (SELECT event_id, status IN ('resolved', 'dismissed') AS over, event_id % 3 + 1 + CASE WHEN event_id % 25 >= 15 THEN 4 WHEN event_id % 25 > 5 THEN 2 ELSE 0 END + CASE WHEN event_id * 977 % 200000 >= 100000 THEN 3 WHEN event_id * 977 % 200000 >= 10000 THEN 2 WHEN event_id * 977 % 200000 >= 1000 THEN 1 ELSE 0 END + (event_id % 2 = 0)::INT + (event_id % 5 >= 3)::INT + (ended IS NULL AND ({NOW} - started) / 86400 >= 2)::INT + CASE WHEN event_id % 11 = 0 THEN -4 WHEN event_id % 10 < 3 THEN -3 WHEN event_id % 4 <= 1 THEN -1 ELSE 0 END AS s FROM incidents), r AS (SELECT event_id, over, CASE WHEN over THEN 0 ELSE s END::INT AS points FROM q) SELECT event_id, points, CASE WHEN over THEN 'low' WHEN points >= 8 THEN 'critical' WHEN points >= 5 THEN 'high' WHEN points >= 3 THEN 'medium' ELSE 'low' END AS level FROM r",
+    f", q AS (SELECT event_id, status IN ('resolved', 'dismissed') AS over, event_id % 3 + 1 + CASE WHEN event_id % 25 >= 15 THEN 4 WHEN event_id % 25 > 5 THEN 2 ELSE 0 END + CASE WHEN a >= 100000 THEN 3 WHEN a >= 10000 THEN 2 WHEN a >= 1000 THEN 1 ELSE 0 END + (event_id % 3 > 0)::INT + (event_id % 8 = 3)::INT + (event_id % 2 = 0)::INT + (event_id % 5 >= 3)::INT + (ended IS NULL AND ({NOW} - started) / 86400 >= 2)::INT + CASE WHEN event_id % 11 = 0 THEN -4 WHEN event_id % 10 < 3 THEN -3 WHEN event_id % 4 <= 1 THEN -1 ELSE 0 END AS s FROM (SELECT *, event_id * 977 % 200000 * CASE WHEN event_id % 6 = 1 THEN 4 ELSE 1 END AS a FROM incidents)), r AS (SELECT event_id, over, CASE WHEN over THEN 0 ELSE s END::INT AS points FROM q) SELECT event_id, points, CASE WHEN over THEN 'low' WHEN points >= 8 THEN 'critical' WHEN points >= 5 THEN 'high' WHEN points >= 3 THEN 'medium' ELSE 'low' END AS level FROM r",
 )
 _add(
     "rate_limit",

@@ -82,7 +82,11 @@ _CUES = ["false", "not true", "license", "an"]
 _add("cue_count", lambda s, d: docs(s, d).select("doc_id", textual.cue_count(F.col("text"), _CUES).alias("cues")), "SELECT doc_id, (" + " + ".join(f"(length(lower(text)) - length(replace(lower(text), '{c}', ''))) // {len(c)}" for c in _CUES) + ")::INT AS cues FROM documents")
 _add("attribution_flag", lambda s, d: docs(s, d).where(F.col("text").rlike(r"(?i)\b(license|according to|laut|selon)\b")).select("doc_id"), r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)\b(license|according to|laut|selon)\b')")
 _add("sentence_count", lambda s, d: docs(s, d).where("text IS NOT NULL").select("doc_id", F.size(textual.sentences(F.col("text"))).alias("n")), r"SELECT doc_id, len([x for x in regexp_split_to_array(text, '[.!?।\n]+') if length(trim(x, ' ')) BETWEEN 25 AND 600])::INT AS n FROM documents WHERE text IS NOT NULL")
-_add("char_edit_rate", lambda s, d: items(s, d).select("item_id", F.levenshtein(F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 60), F.substring(F.regexp_replace("text", "[^ -~]", ""), 11, 60)).alias("edits")), "SELECT item_id, levenshtein(substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 60), substr(regexp_replace(text, '[^ -~]', '', 'g'), 11, 60))::INT AS edits FROM benchmark")
+_add(
+    "char_edit_rate",
+    lambda s, d: items(s, d).selectExpr("item_id", "text AS a").join(items(s, d).selectExpr("item_id - 1 AS item_id", "text AS b"), "item_id").select("item_id", F.levenshtein(F.regexp_replace("a", "[^ -~]", ""), F.regexp_replace("b", "[^ -~]", "")).alias("edits"), F.bround(textual.edit_rate(F.regexp_replace("a", "[^ -~]", ""), F.regexp_replace("b", "[^ -~]", "")), 6).alias("rate")),
+    "WITH t AS (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS t FROM benchmark) SELECT a.item_id, levenshtein(a.t, b.t)::INT AS edits, round_even(levenshtein(a.t, b.t) / greatest(length(a.t), 1), 6) AS rate FROM t a JOIN t b ON b.item_id = a.item_id + 1",
+)
 _PIECES = "CASE WHEN length({t}) >= 4 THEN list_distinct([substr({t}, k, 4) for k in range(1, length({t}) - 2)]) ELSE [] END"
 _FLAT = r"trim(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 _add(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Window, Column, DataFrame, SparkSession, functions as F
 
 from tessera.functions.text import excerpt, parsed_time
 from tessera.operators.textual import html_text
@@ -37,7 +37,7 @@ def reports_api(spark: SparkSession, path: str) -> DataFrame:
 
 
 def imported(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a CSV table with a message for each that can't be taken, null for those that can; empty rows go.
+    """Rows of a CSV table with a code in column message for each that can't be taken, null for those that can; empty rows go. Of equal addresses the first by date stays.
 
     Columns: title, url, published, publisher, language, severity.
     """
@@ -46,27 +46,22 @@ def imported(spark: SparkSession, path: str) -> DataFrame:
     rows = rows.select([F.trim(F.col(f"`{c}`")).alias(n) for c, n in names.items()])
     missing = [c for c in ("title", "url", "published", "publisher") if c not in rows.columns]
     if missing:
-        raise ValueError(f"missing column(s): {', '.join(missing)}")
+        raise ValueError(f"the table lacks {', '.join(missing)}")
     rows = rows.where(F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in rows.columns]).isNotNull())
     language = F.coalesce(F.nullif(F.col("language"), F.lit("")), F.when(F.col("title").rlike("[ঀ-৿]"), "bn").otherwise("en")) if "language" in rows.columns else F.when(F.col("title").rlike("[ঀ-৿]"), "bn").otherwise("en")
     severity = F.nullif(F.lower("severity"), F.lit("")) if "severity" in rows.columns else F.lit(None).cast("string")
     rows = rows.withColumns({"title": F.substring(html_text(F.col("title")), 1, 400), "language": language, "severity": severity, "published": parsed_time(F.col("published"))})
-    message = (
-        F.when(~F.coalesce(F.col("url").rlike(r"(?i)^https?://\S+$"), F.lit(False)), "url must be an http or https address")
-        .when(F.coalesce(F.length("title"), F.lit(0)) < 5, "title is missing or too short")
-        .when(F.col("published").isNull(), "published must be a date")
-        .when(F.coalesce(F.col("publisher"), F.lit("")) == "", "publisher is missing")
-        .when(~F.col("language").isin("bn", "bn-Latn", "en", "mixed"), "unknown language")
-        .when(~F.col("severity").isin("minor", "moderate", "severe"), "unknown severity")
-        .when(F.row_number().over(_same_url()) > 1, "the address is in the table already")
+    has = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    code = (
+        F.when(~F.coalesce(F.col("url").rlike(r"(?i)^https?://\S+$"), F.lit(False)), "bad_url")
+        .when(F.coalesce(F.length("title"), F.lit(0)) < 5, "short_title")
+        .when(F.col("published").isNull(), "bad_date")
+        .when(~has("publisher"), "no_publisher")
+        .when(~F.col("language").isin("bn", "bn-Latn", "en", "mixed"), "bad_language")
+        .when(~F.col("severity").isin("minor", "moderate", "severe"), "bad_severity")
+        .when(F.row_number().over(Window.partitionBy("url").orderBy("published", "title")) > 1, "repeated_url")
     )
-    return rows.withColumn("message", message)
-
-
-def _same_url():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lower("url")).orderBy("published", "title")
+    return rows.withColumn("message", code)
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:

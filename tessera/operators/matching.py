@@ -6,6 +6,8 @@ distance and times decide. Times are seconds (double).
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions.geo import haversine_km, with_cell, with_cells_around
@@ -28,21 +30,42 @@ def gap_hours(start: Column, end: Column, other_start: Column, other_end: Column
     return F.greatest(F.lit(0.0), other_start - end, start - other_end) / HOUR
 
 
-def _days(first: Column, last: Column) -> Column:
-    return F.explode(F.sequence(F.floor(first / DAY), F.floor(last / DAY)))
+def _slots(first: Column, last: Column, width: float) -> Column:
+    return F.explode(F.sequence(F.floor(first / width), F.floor(last / width)))
+
+
+def radii(km: float, least: float = 5.0) -> list[float]:
+    """Doubling reaches up to km: each item goes to cells of the smallest that its own reach fits in."""
+    out = [min(least, km)]
+    while out[-1] < km:
+        out.append(min(out[-1] * 2, km))
+    return out
 
 
 def near_spans(items: DataFrame, incidents: DataFrame, km: float, hours: float) -> DataFrame:
     """Pairs of items (start, end, lat, lon, reach) and incidents (started, until, elat, elon) within the items' reach (km at most) and hours: with km_apart and hours_apart.
 
-    Items go to each day of their span widened by the hours, incidents to each of theirs; a pair counts on the later of their first days.
+    Time is cut into slots as long as the hours reach both ways: items go to each slot of their span widened by the hours, incidents to each of theirs, and a pair
+    counts on the later of their first slots. Place is cut into cells as wide as the reach, rounded up to a power of two times 5 km, so a precise item
+    never meets a whole country. With several widths an incident has one cell of each and an item those around it; with one the incident has those around.
     """
-    left = with_cell(items.withColumn("first_day", F.floor((F.col("start") - hours * HOUR) / DAY)), km).withColumn("day", _days(F.col("start") - hours * HOUR, F.col("end") + hours * HOUR))
-    right = with_cells_around(incidents.withColumn("e_first_day", F.floor(F.col("started") / DAY)), km, "elat", "elon").withColumn("day", _days(F.col("started"), F.col("until")))
-    both = left.join(right, ["band", "cell", "day"]).where(F.col("day") == F.greatest("first_day", "e_first_day"))
+    sizes, width = radii(km), max(2 * hours * HOUR, DAY)
+    first, last = F.col("start") - hours * HOUR, F.col("end") + hours * HOUR
+    left = items.withColumn("first_slot", F.floor(first / width)).withColumn("slot", _slots(first, last, width))
+    right = incidents.withColumn("e_first_slot", F.floor(F.col("started") / width)).withColumn("slot", _slots(F.col("started"), F.col("until"), width))
+    if len(sizes) == 1:
+        left, right = with_cell(left, km).withColumn("size", F.lit(0)), with_cells_around(right, km, "elat", "elon").withColumn("size", F.lit(0))
+    else:
+        lefts, rights = [], []
+        for k, size in enumerate(sizes):
+            over = F.col("reach") > sizes[k - 1] if k else F.lit(True)
+            lefts.append(with_cells_around(left.where(over & (F.col("reach") <= size)), size).withColumn("size", F.lit(k)))
+            rights.append(with_cell(right, size, "elat", "elon").withColumn("size", F.lit(k)))
+        left, right = (functools.reduce(DataFrame.unionByName, parts) for parts in (lefts, rights))
+    both = left.join(right, ["size", "band", "cell", "slot"]).where(F.col("slot") == F.greatest("first_slot", "e_first_slot"))
     both = both.where((F.col("started") <= F.col("end") + hours * HOUR) & (F.col("until") >= F.col("start") - hours * HOUR))
     both = both.withColumn("km_apart", haversine_km(F.col("lat"), F.col("lon"), F.col("elat"), F.col("elon"))).where(F.col("km_apart") <= F.col("reach"))
-    return both.withColumn("hours_apart", gap_hours(F.col("start"), F.col("end"), F.col("started"), F.col("until"))).drop("band", "cell", "day", "first_day", "e_first_day")
+    return both.withColumn("hours_apart", gap_hours(F.col("start"), F.col("end"), F.col("started"), F.col("until"))).drop("size", "band", "cell", "slot", "first_slot", "e_first_slot")
 
 
 def ranked(pairs: DataFrame, key: str, other: str, limit: int, *first: Column) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, functions as F
 
 
@@ -58,3 +60,11 @@ def answer(reply: Column) -> Column:
     known = ["verified", "refuted", "conflicting", "partially_verified", "unverified", "insufficient_evidence"]
     p = F.least(F.greatest(F.coalesce(read["p"], F.lit(0.5)), F.lit(0.01)), F.lit(0.99))
     return F.struct(p.alias("p"), F.when(read["label"].isin(known), read["label"]).otherwise("unverified").alias("label"))
+
+
+def keyed_hash(key: str, message: Column) -> Column:
+    """The HMAC-SHA256 of a text, as hex: what a rate limit keeps of an address."""
+    block = key.encode()
+    block = (hashlib.sha256(block).digest() if len(block) > 64 else block).ljust(64, b"\0")
+    pads = {pad: F.lit(bytes(b ^ pad for b in block)) for pad in (0x36, 0x5C)}
+    return F.sha2(F.concat(pads[0x5C], F.unhex(F.sha2(F.concat(pads[0x36], F.encode(message, "UTF-8")), 256))), 256)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.functions import text as columns
-from tessera.operators import textual
+from tessera.operators import extraction, textual
 from tessera.plans.bindings import bound, with_ctes
 from tessera.session import read_table
 
@@ -133,3 +133,37 @@ _add(
     lambda s, d: read_table(s, d, "embeddings").where("vec_id % 50 = 0").selectExpr("vec_id AS q", "label", "embedding AS x").join(read_table(s, d, "embeddings").selectExpr("vec_id", "label", "embedding AS y"), "label").where("q <> vec_id").selectExpr("q", "vec_id", "round(aggregate(zip_with(x, y, (a, b) -> cast(a AS double) * cast(b AS double)), 0D, (n, k) -> n + k), 4) AS dot").selectExpr("q", "vec_id", "row_number() OVER (PARTITION BY q ORDER BY dot DESC, vec_id) AS place").where("place <= 5"),
     "WITH p AS (SELECT a.vec_id AS q, b.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS dot FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) SELECT * FROM (SELECT q, vec_id, row_number() OVER (PARTITION BY q ORDER BY dot DESC, vec_id) AS place FROM p) WHERE place <= 5",
 )
+
+_PADS = {pad: "".join(f"{b ^ pad:02x}" for b in b"a key".ljust(64, b"\0")) for pad in (0x36, 0x5C)}
+_add("keyed_hmac", lambda s, d: read_table(s, d, "pages").select("page_id", columns.keyed_hash("a key", F.col("url")).alias("mark")), f"SELECT page_id, sha256(unhex('{_PADS[0x5C]}') || unhex(sha256(unhex('{_PADS[0x36]}') || encode(url)))) AS mark FROM pages")
+
+
+# Places, times and numbers of whole documents; a document's number is its event's, whose time is the time of publication
+def _gazetteer(s: SparkSession, d: str) -> DataFrame:
+    """Every capitalised word of the benchmark as a place: its level and district follow from the item that it first stands in, and some are two places."""
+    words = items(s, d).select("item_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-zà-ÿ]{3,}"), F.lit(0))).alias("spelling")).groupBy("spelling").agg(F.min("item_id").alias("k"), F.max("item_id").alias("m"))
+    of = lambda k: words.selectExpr("spelling", "spelling AS name", f"element_at(array('locality', 'upazila', 'district', 'division'), cast({k} % 4 AS int) + 1) AS level", f"concat('d', {k} % 7) AS district", f"20.5D + {k} % 50 / 10 AS lat", f"88D + {k} % 40 / 10 AS lon")
+    return of("k").union(of("m"))
+
+
+def _places(s: SparkSession, d: str) -> DataFrame:
+    return extraction.place_mentions(docs(s, d), _gazetteer(s, d), "doc_id", "text")
+
+
+def _said(s: SparkSession, d: str) -> DataFrame:
+    """Reports of events that say when they were, in three ways, with a time of publication after it."""
+    e = read_table(s, d, "events").withColumn("t", F.col("ts").cast("timestamp")).withColumn("local", F.expr("t + INTERVAL 6 HOURS"))
+    clock, day = F.date_format("local", "h:mma"), F.date_format("local", "d MMMM")
+    text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("A "), "event_type", F.lit(" at "), clock, F.lit(" on "), day, F.lit("."))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("On "), day, F.lit(" a "), "event_type")).otherwise(F.concat(F.lit("yesterday at "), clock, F.lit(" it was a "), "event_type"))
+    later = F.when(F.col("event_id") % 3 == 2, 24).otherwise(F.col("event_id") % 72)
+    return e.select("event_id", text.alias("text"), (F.unix_timestamp("t") + later * 3600).alias("at"))
+
+
+_add("place_mentions", lambda s, d: _places(s, d).selectExpr("id AS doc_id", "start", "end", "surface", "name", "level", "district"), "")
+_add("best_place", lambda s, d: extraction.best_place(_places(s, d)).selectExpr("id AS doc_id", "name", "level", "district", "precision_m"), "")
+_add(
+    "time_mentions",
+    lambda s, d: extraction.time_mentions(_said(s, d), "event_id", "text", "at").selectExpr("id AS event_id", "CAST(start AS long) AS start", "CAST(end AS long) AS end", "precision"),
+    "WITH t AS (SELECT event_id, epoch_us(ts) // 1000000 AS t FROM events) SELECT event_id, CASE WHEN event_id % 3 = 1 THEN (t + 21600) // 86400 * 86400 - 21600 ELSE t // 60 * 60 END AS start, CASE WHEN event_id % 3 = 1 THEN (t + 21600) // 86400 * 86400 - 21600 + 86400 ELSE t // 60 * 60 END AS \"end\", CASE WHEN event_id % 3 = 1 THEN 'day' ELSE 'minute' END AS precision FROM t",
+)
+_add("number_phrases", lambda s, d: docs(s, d).where("text IS NOT NULL").select("doc_id", F.explode(extraction.numbers()("text")).alias("n")).selectExpr("doc_id", "n.surface", "n.value"), "")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.functions import text as columns
-from tessera.operators import extraction, textual
+from tessera.operators import extraction, similar, textual
 from tessera.plans.bindings import bound, with_ctes
 from tessera.session import read_table
 
@@ -130,10 +130,9 @@ _add(
 _add("hamming_pairs", lambda s, d: textual.hamming_within(bound(s, d, "photos"), "photo_id", "hash16", 16, 1), " SELECT a.photo_id AS a, b.photo_id AS b, bit_count(xor(a.hash16, b.hash16))::INT AS bits FROM photos a JOIN photos b ON a.photo_id < b.photo_id WHERE bit_count(xor(a.hash16, b.hash16)) <= 1", ("photos",))
 _add(
     "embedding_topk",
-    lambda s, d: read_table(s, d, "embeddings").where("vec_id % 50 = 0").selectExpr("vec_id AS q", "label", "embedding AS x").join(read_table(s, d, "embeddings").selectExpr("vec_id", "label", "embedding AS y"), "label").where("q <> vec_id").selectExpr("q", "vec_id", "round(aggregate(zip_with(x, y, (a, b) -> cast(a AS double) * cast(b AS double)), 0D, (n, k) -> n + k), 4) AS dot").selectExpr("q", "vec_id", "row_number() OVER (PARTITION BY q ORDER BY dot DESC, vec_id) AS place").where("place <= 5"),
-    "WITH p AS (SELECT a.vec_id AS q, b.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS dot FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) SELECT * FROM (SELECT q, vec_id, row_number() OVER (PARTITION BY q ORDER BY dot DESC, vec_id) AS place FROM p) WHERE place <= 5",
+    lambda s, d: similar.nearest_by_dot(read_table(s, d, "embeddings").where("vec_id % 50 = 0").selectExpr("vec_id AS id", "embedding AS x"), read_table(s, d, "embeddings").selectExpr("vec_id AS id", "embedding AS x"), 5).selectExpr("q", "id AS vec_id", "place"),
+    "WITH p AS (SELECT a.vec_id AS q, b.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS dot FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) SELECT * FROM (SELECT q, vec_id, row_number() OVER (PARTITION BY q ORDER BY dot DESC, vec_id) AS place FROM p) WHERE place <= 5",
 )
-
 _PADS = {pad: "".join(f"{b ^ pad:02x}" for b in b"a key".ljust(64, b"\0")) for pad in (0x36, 0x5C)}
 _add("keyed_hmac", lambda s, d: read_table(s, d, "pages").select("page_id", columns.keyed_hash("a key", F.col("url")).alias("mark")), f"SELECT page_id, sha256(unhex('{_PADS[0x5C]}') || unhex(sha256(unhex('{_PADS[0x36]}') || encode(url)))) AS mark FROM pages")
 

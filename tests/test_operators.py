@@ -1,9 +1,13 @@
 """Boundaries of the operators that the catalogue's tables don't reach."""
 
+import math
+import random
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from tessera.functions.geo import haversine_km, with_cell, with_cells_around
-from tessera.operators import checks, fusion, matching
+from tessera.operators import checks, fusion, matching, similar, textual
 
 
 def test_cells_hold_every_pair_within_reach(spark):
@@ -46,12 +50,99 @@ def test_roots_of_chains_and_cycles(spark):
 
 
 def test_labels_of_items(spark):
-    schema = "vote_id long, item long, source long, seen double, vote int, source_type string, relation long, copy_of long"
-    known = [(k, 100, 1, 0.0, 1, "field", 0, None) for k in range(1)]
-    rows = known + [(10, 1, 1, 0.0, 1, "field", 0, None), (11, 1, 2, 0.0, 1, "field", 0, None), (12, 2, 1, 0.0, 1, "field", 1, None), (13, 2, 2, 0.0, 1, "field", 0, None), (14, 3, 1, 0.0, -1, "field", 2, None), (15, 3, 2, 0.0, -1, "field", 2, None), (16, 4, 1, 0.0, 1, "field", 0, None), (17, 4, 2, 0.0, -1, "field", 2, None), (18, 5, 3, 0.0, None, "news", 3, None), (19, 6, 9, 0.0, 1, "social", 0, None)]
+    schema = "vote_id long, item long, source long, seen double, vote int, source_type string, relation long, copy_of long, conflict string, stated double"
+    rows = [(0, 100, 1, 0.0, 1, "field", 0, None, None, None)]
+    two = lambda k, item, *more: [(k + j, item, j + 1, 0.0, vote, "field", relation, None, conflict, stated) for j, (vote, relation, conflict, stated) in enumerate(more)]
+    rows += two(10, 1, (1, 0, None, 5.0), (1, 0, None, 5.5))
+    rows += two(20, 2, (1, 1, "casualty_count", None), (1, 0, None, None))
+    rows += two(30, 3, (-1, 2, None, None), (-1, 2, None, None))
+    rows += two(40, 4, (1, 0, None, None), (-1, 2, None, None))
+    rows += two(50, 7, (1, 1, "occurrence", None), (1, 1, None, None))  # only the occurrence is marked, or nothing
+    rows += two(60, 8, (1, 0, None, 5.0), (1, 0, None, 50.0))  # counts said together that don't agree
+    rows += [(70, 9, 1, 0.0, 1, "field", 0, None, None, 5.0), (71, 9, 2, 50000.0, 1, "field", 0, None, None, 50.0)]  # said half a day apart
+    rows += [(80, 5, 3, 0.0, None, "news", 3, None, None, None), (90, 6, 9, 0.0, 1, "social", 0, None, None, None)]
     votes, outcomes = spark.createDataFrame(rows, schema), spark.createDataFrame([(100, 1)], "item long, happened long")
     got = {r["item"]: r["label"] for r in fusion.label_rule(votes, outcomes).collect()}
-    assert got == {1: "verified", 2: "partially_verified", 3: "refuted", 4: "conflicting", 5: "insufficient_evidence", 6: "unverified", 100: "verified"}
+    assert got == {1: "verified", 2: "partially_verified", 3: "refuted", 4: "conflicting", 5: "insufficient_evidence", 6: "unverified", 7: "verified", 8: "partially_verified", 9: "verified", 100: "verified"}
+
+
+def test_rising_counts(spark):
+    day = 86400.0
+    rows = [("a", 0.0, 10.0), ("a", 5 * day, 12.0), ("b", 0.0, 10.0), ("b", 5 * day, 12.1), ("c", 5 * day, 9.0), ("d", 0.0, 1.0), ("d", 7 * day, 9.0), ("e", 0.0, None), ("e", 5 * day, 3.0)]
+    got = fusion.rising(spark.createDataFrame(rows, "item string, at double, count double"), 5.5 * day).collect()
+    assert [tuple(r) for r in got] == [("b", 10.0, 12.1)]
+
+
+def test_priorities(spark):
+    fact = {"event_id": 1, "hazard": 3, "deaths": 0, "affected": 300, "affected_unit": "people", "depth": "knee-deep", "family": "weather", "n_recent": 0, "rising": False, "ended": None, "age_days": 0.5, "assessment": "unverified", "p": 0.9, "n_sources": 3, "status": "active"}
+    changes = [{}, {"affected_unit": "households"}, {"depth": "waist-deep"}, {"rising": True}, {"deaths": 10, "n_recent": 3}, {"assessment": "refuted"}, {"status": "resolved"}, {"p": None, "n_sources": 1, "deaths": None}]
+    rows = [tuple((fact | c | {"event_id": k}).values()) for k, c in enumerate(changes)]
+    schema = "event_id long, hazard int, deaths int, affected long, affected_unit string, depth string, family string, n_recent int, rising boolean, ended double, age_days double, assessment string, p double, n_sources int, status string"
+    got = {r["event_id"]: (r["points"], r["level"]) for r in checks.priority(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {0: (3, "medium"), 1: (4, "medium"), 2: (4, "medium"), 3: (4, "medium"), 4: (8, "critical"), 5: (-1, "low"), 6: (0, "low"), 7: (2, "low")}
+
+
+def test_verbatim_looks_for_the_origin_in_the_copy(spark):
+    origin = "Water rises in the old market, says Mayor"
+    rows = [(1, f"Share this: {origin.upper()}!!! please"), (2, "Water rises in the old"), (3, "water rises - in the old market says mayor"), (4, None), (5, "xwater rises in the old market says mayory"), (6, "short one")]
+    origins = [(1, origin), (2, "short one"), (3, "short"), (4, ""), (5, None), (6, "averylongsinglewordindeed")]
+    copies, of = spark.createDataFrame(rows, "c long, text string"), spark.createDataFrame(origins, "o long, text string")
+    assert {tuple(r) for r in textual.verbatim_copies(copies, of, "c", "o").collect()} == {(1, 1), (3, 1), (5, 1), (6, 2)}
+    pairs = copies.withColumnRenamed("text", "a").crossJoin(of.withColumnRenamed("text", "b"))
+    assert {(r["c"], r["o"]) for r in pairs.where(textual.verbatim(F.col("a"), F.col("b"))).collect()} == {(1, 1), (3, 1), (5, 1), (6, 2)}
+
+
+def test_languages(spark):
+    texts = {"mirpur e onek pani": "bn-Latn", "The road is under water": "en", "Fire": "en", "মিরপুরে পানি": "bn", "মিরপুরে পানি km": "bn", "মিরপুরে big water and fire": "mixed", "onek pani ekhono but the road is shut": "mixed", "বন্যা Water Development Board": "mixed", "": "en"}
+    got = {r["t"]: r["k"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", textual.language(F.col("t")).alias("k")).collect()}
+    assert got == texts
+
+
+def test_retrieval_equals_scoring_every_article(spark):
+    rng = random.Random(2)
+    words = [f"w{k}" for k in range(30)]
+    articles = [(k, None if k == 7 else " ".join(rng.choices(words, [1 / (j + 1) for j in range(30)], k=rng.randint(0, 40)))) for k in range(300)]
+    queries = [(k, " ".join(rng.sample(words, 6))) for k in range(20)] + [(20, "unknown"), (21, None)]
+    n, sizes = len(articles), {k: len((t or "").split()) for k, t in articles}
+    mean = sum(sizes.values()) / n
+    df = Counter(w for _, t in articles for w in set((t or "").split()))
+    want = {}
+    for q, text in queries:
+        scores = {}
+        for k, t in articles:
+            tf = Counter((t or "").split())
+            s = [math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf[w] * 2.4 / (tf[w] + 1.4 * (0.25 + 0.75 * sizes[k] / mean)) for w in set((text or "").split()) if tf[w]]
+            if s:
+                scores[k] = round(sum(s), 5)
+        for rank, k in enumerate(sorted(scores, key=lambda k: (-scores[k], k))[:7]):
+            want[q, rank] = k
+    found = textual.bm25(spark.createDataFrame(articles, "id long, text string"), spark.createDataFrame(queries, "query long, q string"), "id", "text", "query", top=7)
+    assert {(r["query"], r["rank"]): r["id"] for r in found.collect()} == want
+
+
+def test_nearest_vectors_in_blocks(spark):
+    rng = random.Random(3)
+    rows = [(k, [round(rng.gauss(0, 1), 2) for _ in range(3)]) for k in range(60)] + [(60, None)]
+    df = spark.createDataFrame(rows, "id long, x array<float>")
+    got = {(r["q"], r["place"]): r["id"] for r in similar.nearest_by_dot(df.where("id % 7 = 0"), df, 4, block=3, chunk=8).collect()}
+    want = {}
+    for q, x in rows[:60:7]:
+        order = sorted(((-round(sum(a * b for a, b in zip(x, y, strict=True)), 4), k) for k, y in rows[:60] if k != q))
+        want |= {(q, place): k for place, (_, k) in enumerate(order[:4], 1)}
+    assert got == want
+
+
+def test_spans_near_each_other_equal_all_pairs(spark):
+    """Reaches on both sides of the doubling widths, spans over slots' edges, places unknown."""
+    rng = random.Random(4)
+    items = [(k, t := rng.uniform(0, 4e6), t + rng.choice([0, 3e5]), rng.uniform(22, 25), rng.uniform(88, 92), rng.choice([5.0, 5.1, 9.0, 10.0, 33.0, 160.0, 305.0]), 1) for k in range(80)] + [(900, 0.0, 0.0, None, None, 5.0, 1)]
+    incidents = [(k, t := rng.uniform(0, 4e6), t + rng.choice([0, 1e5, 9e5]), rng.uniform(22, 25), rng.uniform(88, 92)) for k in range(80)]
+    left = spark.createDataFrame(items, "id long, start double, end double, lat double, lon double, reach double, type int")
+    right = spark.createDataFrame(incidents, "event_id long, started double, until double, elat double, elon double")
+    got = Counter((r["id"], r["event_id"]) for r in matching.near_spans(left, right, 305.0, 48.0).collect())
+    km = haversine_km(F.col("lat"), F.col("lon"), F.col("elat"), F.col("elon"))
+    all_ = left.crossJoin(right).where((km <= F.col("reach")) & (F.col("started") <= F.col("end") + 172800) & (F.col("until") >= F.col("start") - 172800))
+    assert got == Counter((r["id"], r["event_id"]) for r in all_.collect()) and len(got) > 50
 
 
 def test_poisson_tail(spark):

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.functions.geo import haversine_sql
-from tessera.operators import clustering, fusion, graphs, inference, similar, textual
+from tessera.operators import clustering, fusion, graphs, inference, similar, textual, triage
 from tessera.plans.bindings import bound, with_ctes
 from tessera.session import read_table, stored
 
+from .fusion import _RATES, _SCORES, ORACLE_SQL as votes_sql
 from .text import _BM, _WORDS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -289,3 +290,59 @@ def _diverse(s: SparkSession, d: str) -> DataFrame:
 
 
 _add("diverse_pick", _diverse)
+
+
+# What to check first, stances, and suggestions
+def _incidents(s: SparkSession, d: str) -> DataFrame:
+    return bound(s, d, "incidents").where("event_id % 5 < 3").selectExpr("CAST(event_id % 140 AS long) AS event_id", "status", "element_at(array('low', 'medium', 'high', 'critical'), cast(event_id % 4 AS int) + 1) AS priority", "element_at(array('unverified', 'verified', 'refuted', 'conflicting', 'insufficient_evidence'), cast(event_id % 5 AS int) + 1) AS assessment", "started").groupBy("event_id").agg(*[F.max_by(c, "started").alias(c) for c in ("status", "priority", "assessment")], F.max("started").alias("started"))
+
+
+def _queue(s: SparkSession, d: str) -> DataFrame:
+    requests = _incidents(s, d).where("event_id % 6 = 0").selectExpr("event_id", "event_id % 3 AS answers")
+    return triage.review_queue(_incidents(s, d), bound(s, d, "votes"), bound(s, d, "outcomes"), requests).withColumn("reasons", F.array_join("reasons", "; "))
+
+
+_PCT = "CASE WHEN {p} >= 0.995 THEN '>99%' WHEN {p} <= 0.005 THEN '<1%' ELSE round_even({p} * 100, 0)::INT || '%' END"
+_P = "round_even(1 / (1 + exp(-greatest(-50, least(50, {z})))), 6)"
+_QUEUE = (
+    ", i AS (SELECT event_id % 140 AS event_id, arg_max(status, started) AS status, arg_max(['low', 'medium', 'high', 'critical'][event_id % 4 + 1], started) AS priority, arg_max(['unverified', 'verified', 'refuted', 'conflicting', 'insufficient_evidence'][event_id % 5 + 1], started) AS assessment, max(started) AS started FROM incidents WHERE event_id % 5 < 3 GROUP BY 1)"
+    ", cv AS MATERIALIZED ({value}), lr AS MATERIALIZED ({label}), zs AS MATERIALIZED ({scores})"
+    ", q AS (SELECT i.*, coalesce(lr.label, 'insufficient_evidence') AS suggested, coalesce(cv.changes, 1) AS changes, coalesce(cv.need, 1) AS need, z, r, CASE WHEN i.event_id % 6 = 0 THEN i.event_id % 3 END AS answers FROM i LEFT JOIN cv ON cv.item = i.event_id LEFT JOIN lr ON lr.item = i.event_id LEFT JOIN zs ON zs.item = i.event_id, ({rate}) WHERE status IN ('active', 'monitoring'))"
+    ", t AS (SELECT *, round_even(list_position(['low', 'medium', 'high', 'critical'], priority) * need, 4) AS score, NOT (assessment IN ('unverified', 'insufficient_evidence') AND suggested IN ('unverified', 'insufficient_evidence')) AND assessment <> suggested AS differs FROM q)"
+    ", o AS (SELECT *, row_number() OVER (ORDER BY score DESC, started DESC, event_id)::INT AS place FROM t)"
+    " SELECT event_id, suggested, round_even(need, 4) AS need, score, differs, array_to_string(list_filter(['priority: ' || priority, CASE WHEN z IS NULL THEN 'no evidence yet' ELSE 'happened: ' || {p0} END, CASE WHEN z IS NOT NULL THEN 'after a report: ' || {p1} || ' or ' || {p2} END, CASE WHEN z IS NULL THEN NULL WHEN changes >= 0.995 THEN 'either answer changes the assessment' WHEN changes > 0 THEN 'changes the assessment: ' || {p3} ELSE 'one report changes nothing' END, CASE WHEN differs THEN 'team says ' || replace(assessment, '_', ' ') || ', evidence ' || replace(suggested, '_', ' ') END, 'answers so far: ' || answers], lambda x: x IS NOT NULL), '; ') AS reasons, place FROM o WHERE place <= 50"
+)
+_STEP = "ln(r / (1 - r))"
+_add(
+    "review_queue",
+    _queue,
+    _QUEUE.format(
+        value=votes_sql["check_value"], label=votes_sql["label_rule"], scores=with_ctes(["votes", "outcomes"], _SCORES + " SELECT item, z FROM z"),
+        rate=with_ctes(["votes", "outcomes"], _RATES + " SELECT coalesce(max(type_rate) FILTER (source_type = 'field'), 0.8) AS r FROM tr"),
+        p0=_PCT.format(p=_P.format(z="z")), p1=_PCT.format(p=_P.format(z=f"z + {_STEP}")), p2=_PCT.format(p=_P.format(z=f"z - {_STEP}")), p3=_PCT.format(p="changes"),
+    ),
+    ("incidents",),
+)
+_PAIRED = ["event_id AS id", "(60 + event_id * 37 % 41) / 100e0 AS sim", "event_id * 13 % 11 / 10e0 AS entail", "event_id * 29 % 11 / 10e0 AS contra", "event_id % 5 AS correct", "event_id * 3 % 4 AS doubt", "CASE WHEN event_id * 37 % 41 < 20 THEN 'unrelated' WHEN event_id * 13 % 11 >= 5 THEN 'repeats' WHEN event_id * 29 % 11 >= 6 THEN 'corrects' ELSE 'mentions' END AS gold"]
+_STANCE = "CASE WHEN sim < {sim} THEN 'unrelated' WHEN correct >= {strong} OR (contra >= {contra} AND correct >= {cues}) THEN 'corrects' WHEN doubt >= {cues} AND (contra >= {contra} / 2 OR entail >= {entail}) THEN 'questions' WHEN entail >= {entail} THEN 'repeats' WHEN contra >= {contra} THEN 'corrects' ELSE 'mentions' END"
+_DEFAULT = {"sim": 0.8, "entail": 0.5, "contra": 0.5, "cues": 1, "strong": 1000000}
+_add("stance_labels", lambda s, d: read_table(s, d, "events").selectExpr(*_PAIRED).select("id", triage.stance(*[F.col(c) for c in ("sim", "entail", "contra", "correct", "doubt")], {k: F.lit(v) for k, v in _DEFAULT.items()}).alias("stance")), f"SELECT id, {_STANCE.format(**_DEFAULT)} AS stance FROM (SELECT {', '.join(_PAIRED)} FROM events)")
+_GRID_SQL = ", ".join(f"(SELECT unnest([{', '.join(f'{float(v)!r}::DOUBLE' for v in vs)}]) AS l_{k}, unnest(range({len(vs)})) AS k_{k})" for k, vs in triage.GRID.items())
+_SIZES = [len(v) for v in triage.GRID.values()]
+_PLACE = "(((k_sim * {1} + k_entail) * {2} + k_contra) * {3} + k_cues) * {4} + k_strong".format(*_SIZES)
+_add(
+    "stance_thresholds",
+    lambda s, d: triage.tuned_stance(read_table(s, d, "events").selectExpr(*_PAIRED)),
+    f"WITH g AS MATERIALIZED (SELECT *, ({_PLACE})::INT AS place FROM {_GRID_SQL}), c AS (SELECT sim, entail, contra, correct, doubt, gold, count(*) AS n FROM (SELECT {', '.join(_PAIRED)} FROM events) GROUP BY ALL), j AS (SELECT place, gold, said, sum(n) AS n FROM (SELECT place, gold, n, {_STANCE.format(sim='l_sim', entail='l_entail', contra='l_contra', cues='l_cues', strong='l_strong')} AS said FROM c, g) GROUP BY ALL), l AS (SELECT place, gold AS label, sum(n) AS g, coalesce(sum(n) FILTER (gold = said), 0) AS hit FROM j GROUP BY ALL), w AS (SELECT place, said AS label, sum(n) AS s FROM j GROUP BY ALL), f AS (SELECT l.place, round_even(avg(2 * hit / (l.g + coalesce(s, 0))), 6) AS macro_f1 FROM l LEFT JOIN w ON w.place = l.place AND w.label = l.label GROUP BY 1) SELECT place, l_sim AS sim, l_entail AS entail, l_contra AS contra, l_cues AS cues, l_strong AS strong, macro_f1 FROM f JOIN g USING (place) ORDER BY macro_f1 DESC, place LIMIT 1",
+)
+
+
+def _suggestions(s: SparkSession, d: str) -> DataFrame:
+    """Stories suggested for each document: those of alike documents, scored by a model fitted on the gold stories."""
+    alike = similar.similar_pairs(_vectors(s, d), 0.3)
+    both = alike.select("a", "b").union(alike.select("b", "a"))
+    asked = stored(both.join(_gold(s, d).withColumnRenamed("id", "b"), "b").select(F.col("a").alias("id"), "cluster").distinct(), "asked")
+    return triage.suggested(_features(s, d, asked), inference.line_of(_model(s, d)))
+
+
+_add("event_suggestions", _suggestions)

@@ -7,7 +7,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from tessera.functions.geo import haversine_km, with_cell, with_cells_around
-from tessera.operators import checks, fusion, matching, similar, textual
+from tessera.operators import checks, fusion, matching, similar, textual, triage
 
 
 def test_cells_hold_every_pair_within_reach(spark):
@@ -148,3 +148,27 @@ def test_spans_near_each_other_equal_all_pairs(spark):
 def test_poisson_tail(spark):
     got = spark.range(1).select(*[checks.poisson_tail(F.lit(k), F.lit(2.0)).alias(str(k)) for k in (0, 1, 3)]).first()
     assert got[0] == 1.0 and abs(got[1] - 0.864665) < 1e-6 and abs(got[2] - 0.323324) < 1e-6
+
+
+def test_review_queue_of_incidents_with_and_without_votes(spark):
+    schema = "vote_id long, item long, source long, seen double, vote int, source_type string, relation long, copy_of long, conflict string, stated double"
+    votes = spark.createDataFrame([(0, 100, 1, 0.0, 1, "field", 0, None, None, None), (1, 1, 1, 0.0, 1, "field", 0, None, None, None), (2, 1, 2, 0.0, 1, "field", 0, None, None, None), (3, 2, 7, 0.0, 1, "social", 0, None, None, None)], schema)
+    outcomes = spark.createDataFrame([(100, 1)], "item long, happened long")
+    rows = [(1, "active", "high", "unverified", 1.0), (2, "active", "high", "unverified", 2.0), (3, "monitoring", "medium", "insufficient_evidence", 3.0), (4, "resolved", "critical", "unverified", 4.0), (5, "active", "medium", "refuted", 5.0)]
+    incidents = spark.createDataFrame(rows, "event_id long, status string, priority string, assessment string, started double")
+    requests = spark.createDataFrame([(3, 2)], "event_id long, answers int")
+    got = triage.review_queue(incidents, votes, outcomes, requests).orderBy("place").collect()
+    assert [r["event_id"] for r in got] == [2, 5, 3, 1]
+    by = {r["event_id"]: r for r in got}
+    assert by[1]["suggested"] == "verified" and by[1]["differs"] and not by[2]["differs"] and not by[3]["differs"] and by[5]["differs"]
+    assert by[3]["reasons"] == ["priority: medium", "no evidence yet", "answers so far: 2"] and by[3]["score"] == 2.0
+    assert any(x.startswith("team says unverified, evidence verified") for x in by[1]["reasons"])
+    assert [r["event_id"] for r in triage.review_queue(incidents, votes, outcomes, requests, 2).collect()] == [2, 5]
+
+
+def test_stances_in_the_order_of_the_lines(spark):
+    lines = {"sim": F.lit(0.8), "entail": F.lit(0.5), "contra": F.lit(0.5), "cues": F.lit(1), "strong": F.lit(5)}
+    rows = [(0.7, 1.0, 1.0, 9, 9), (0.9, 0.9, 0.0, 5, 0), (0.9, 0.9, 0.6, 1, 0), (0.9, 0.1, 0.25, 0, 1), (0.9, 0.5, 0.0, 0, 0), (0.9, 0.1, 0.6, 0, 0), (0.9, 0.1, 0.1, 0, 3), (None, 0.1, 0.1, 0, 0)]
+    df = spark.createDataFrame(rows, "sim double, entail double, contra double, correct int, doubt int")
+    got = [r[0] for r in df.select(triage.stance(*[F.col(c) for c in df.columns], lines)).collect()]
+    assert got == ["unrelated", "corrects", "corrects", "questions", "repeats", "corrects", "mentions", "mentions"]

@@ -166,6 +166,7 @@ def encode_decode(docs: DataFrame, vocab_path: str, pattern: str, id_col: str =
     smallest rank, leftmost of equals. Only the two named columns are read, so other columns
     and their names don't matter; repeated rows give repeated results; null ids are kept.
     The vocabulary (one file, about 1 MB) is broadcast; nothing is shuffled.
+    Texts of any length are encoded whole, an Arrow batch at a time; no rows give none.
     """
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(load_ranks(vocab_path))

@@ -122,7 +122,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     or words, and any item whose windows hold too few literals once its changed names are placeholders. Letter case,
     punctuation and signs between words are not compared. Null texts, and texts without a letter or
     digit, hold and give nothing. Documents that repeat an id count as one; a null id is reported
-    as null, a null item id never. Other columns are not read.
+    as null, a null item id never. Other columns are not read. Texts of any length are searched whole. No documents or no items give no rows;
+    items repeated with one id are one.
     """
     item = benchmark.select(F.col(item_col).alias("item"), typed_text(F.col(item_text)).alias("typed")).where("typed <> ''")
     item = with_templates(item).select("item", *[split_words(F.col(c)).alias(to) for c, to in [("typed", "raw"), ("tpl", "tpl"), ("tpl2", "tpl2")]])

@@ -157,6 +157,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     order). A text that is null or without a letter is `und`, score 0, rejected; so is every
     text if the model has no language. A text under the floor of its nearest centroid for its length keeps that
     language and is rejected; a long text in a language that was not learned is, one of a word or two may not be. The model (a bounded number of centroids) is broadcast.
+    Texts of any length are read whole, repeated rows give repeated results, no rows give none, and other columns, whatever their names, are not read.
     """
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)

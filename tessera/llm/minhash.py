@@ -194,6 +194,7 @@ def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "d
     union of their links. A null id is never linked: component_id null, kept true. Every link
     between sets is confirmed in full; a pair of the least similarity goes unseen by all bands
     with probability (1 - s^rows)^bands (3e-6 by default); the sketches, set 4.5 standard deviations wide, lose it about as seldom.
+    Texts of any length are read whole; no rows give none; other columns, whatever their names, are not read.
     """
     p = params
     bound_batches(docs.sparkSession)

@@ -102,7 +102,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
 
     Accuracies come from the vote patterns of all rows. The scorer is trained on the ``sample`` distinct
     texts of smallest hash (a documented bound) with their posteriors. Null texts count as empty; an
-    empty table gives no rows; repeated rows repeat.
+    empty table gives no rows; repeated rows repeat. Very long texts are read whole; a score equal to least is kept,
+    and of equal hashes there are only equal texts; other columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
     bound_batches(spark)

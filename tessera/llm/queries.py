@@ -1,4 +1,7 @@
-"""The registered queries of the operators, and their SQL where SQL can express them."""
+"""The registered queries of the operators, and their SQL where SQL can express them.
+
+Each reads its whole table and leaves null, empty, long, repeated and clashing rows to its operator, whose docstring says what becomes of them.
+"""
 
 from __future__ import annotations
 

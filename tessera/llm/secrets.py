@@ -174,6 +174,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + EXTRA_RULES, id
     Of each rule: its leftmost non-overlapping matches, less those whose group is shorter than
     the rule asks. A null or empty text has no findings. Other columns are not read; repeated
     rows give repeated results. Nothing is shuffled; a shard is one batch of a partition.
+    Texts of any length are read whole. Matches of two rules at one start come in the order of the rules; no rows give none.
     """
 
     bound_batches(docs.sparkSession)

@@ -20,6 +20,7 @@ def write_archive(records: DataFrame, path: str, id_col: str, uri_col: str, payl
     response and the others revisit it (no block of their own). A text payload counts as UTF-8,
     a null one as empty; a null id or URI is left out of its header, and a record without an id is a
     revisit if a record with an id has its payload. Other columns are not read.
+    Payloads of any length are stored whole, as one value; no rows give an archive without records; repeated rows give a record each.
     """
     data = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = records.select(F.col(id_col).cast("long").alias("id"), F.col(uri_col).cast("string").alias("uri"), data.alias("payload"))

@@ -521,3 +521,14 @@ def test_private_data_of_long_texts_takes_time_in_proportion(spark):
     out = pii.replace_entities(spark.createDataFrame([(1, text, "kept")], "doc_id long, text string, __found string"), "k").first()
     mails = out["text"].split(" ")
     assert out["n_entities"] == 3001 and out["__found"] == "kept" and len(set(mails)) == 3000 and mails[7] == mails[-1] and not set(mails) & set(text.split(" "))
+
+
+def test_encoding_of_nothing(nothing):
+    assert bpe.encode_decode(nothing, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
+
+
+def test_nothing_to_search_and_nothing_to_find(spark, nothing, awkward):
+    items = spark.createDataFrame([], "item_id long, text string")
+    assert decontam.contaminated(awkward, items).count() == 0
+    assert decontam.contaminated(nothing, spark.createDataFrame(ITEMS, "item_id long, text string")).count() == 0
+    assert secrets.scan(nothing).count() == 0 and minhash.near_duplicates(nothing, minhash.Params(words=2)).count() == 0

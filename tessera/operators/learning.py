@@ -34,17 +34,26 @@ def copy_summary(items: DataFrame, found: DataFrame) -> DataFrame:
     return rows.groupBy("source").agg(F.count("*").alias("n"), F.count("is_copy").alias("n_copies"), F.bround(F.count("is_copy") / F.count("*"), 6).alias("share"))
 
 
-def pair_features(lat1: Column, lon1: Column, t1: Column, type1: Column, lat2: Column, lon2: Column, t2: Column, type2: Column, reach: Column) -> dict[str, Column]:
-    """What a pair of items has besides its texts' similarity: distance, distance over the reach, hours, type."""
-    km = haversine_km(lat1, lon1, lat2, lon2)
-    located = km.isNotNull()
-    return {
-        "located": located.cast("int"),
-        "log_km": F.when(located, F.log1p(km)).otherwise(0.0),
-        "log_scaled_km": F.when(located, F.log1p(km / (1 + reach))).otherwise(0.0),
-        "log_hours": F.log1p(F.abs(t1 - t2) / 3600),
-        "same_type": (type1 == type2).cast("int"),
-    }
+#: What a pair of items has.
+PAIR_FEATURES = ["text_cos", "both_located", "log_km", "log_scaled_km", "log_hours", "same_type", "same_family", "type_unknown"]
+
+
+def beside(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """pairs (a, b, cosine) with both items' columns, as a_... and b_..., and km (null where a place is unknown), reach_km and hours."""
+    side = lambda p: items.select(*[F.col(c).alias(f"{p}_{c}") for c in items.columns])
+    both = pairs.join(side("a"), F.col("a") == F.col("a_id")).join(side("b"), F.col("b") == F.col("b_id"))
+    km = haversine_km(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
+    reach = F.coalesce("a_reach", F.lit(0.0)) + F.coalesce("b_reach", F.lit(0.0))
+    return both.withColumns({"km": km, "reach_km": reach, "hours": F.abs(F.col("a_t") - F.col("b_t")) / 3600})
+
+
+def pair_features(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """The eight features of each pair of items: a, b, PAIR_FEATURES. items: id, t, lat, lon, reach (km), type, family; unknown places and types have neutral values and a flag."""
+    known = F.col("a_type").isNotNull() & F.col("b_type").isNotNull()
+    same = lambda c: F.coalesce(known & (F.col(f"a_{c}") == F.col(f"b_{c}")), F.lit(False)).cast("double")
+    none = F.lit(0.0)
+    values = [F.col("cosine"), F.col("km").isNotNull().cast("double"), F.coalesce(F.log1p("km"), none), F.coalesce(F.log1p(F.col("km") / (1 + F.col("reach_km"))), none), F.log1p("hours"), same("type"), same("family"), (~known).cast("double")]
+    return beside(pairs, items).select("a", "b", *[v.alias(n) for v, n in zip(values, PAIR_FEATURES, strict=True)])
 
 
 def rule_score(cosine: Column, km: Column, reach: Column, hours: Column, most_hours: float = 48.0, most_km: float = 5.0) -> Column:

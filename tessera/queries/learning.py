@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.functions.geo import haversine_km, haversine_sql
 from tessera.operators import learning, textual
 from tessera.plans.bindings import bound, with_ctes
 from tessera.session import read_table
@@ -39,27 +38,6 @@ _add(
     _COPIES + " SELECT item_id AS id, CASE WHEN item_id % 4 = 1 THEN item_id - 1 ELSE origin END AS origin FROM benchmark LEFT JOIN k ON id = item_id WHERE item_id % 4 <> 0 AND (item_id % 4 = 1 OR origin IS NOT NULL)",
 )
 _add("copy_summary", lambda s, d: learning.copy_summary(_items(s, d), _copies(s, d)), _COPIES + " SELECT item_id % 7 AS source, count(*) AS n, count(k.id) AS n_copies, round_even(count(k.id) / count(*), 6) AS share FROM benchmark LEFT JOIN k ON k.id = item_id GROUP BY 1")
-_PAIR = "SELECT a.report_id, a.lat AS lat1, a.lon AS lon1, a.t AS t1, a.type AS k1, b.lat AS lat2, b.lon AS lon2, b.t AS t2, b.type AS k2, a.accuracy AS reach FROM reports a JOIN reports b ON b.report_id = a.report_id + 1"
-
-
-def _pairs(s: SparkSession, d: str) -> DataFrame:
-    a = bound(s, d, "reports").selectExpr("report_id", "lat AS lat1", "lon AS lon1", "t AS t1", "type AS k1", "accuracy AS reach")
-    b = bound(s, d, "reports").selectExpr("report_id - 1 AS report_id", "lat AS lat2", "lon AS lon2", "t AS t2", "type AS k2")
-    return a.join(b, "report_id")
-
-
-_add(
-    "pair_features",
-    lambda s, d: _pairs(s, d).select("report_id", *[(F.bround(c, 6) if n.startswith("log") else c).alias(n) for n, c in learning.pair_features(*[F.col(c) for c in ("lat1", "lon1", "t1", "k1", "lat2", "lon2", "t2", "k2", "reach")]).items()]),
-    f", q AS ({_PAIR}) SELECT report_id, 1 AS located, round_even(ln(1 + {haversine_sql('lat1', 'lon1', 'lat2', 'lon2')}), 6) AS log_km, round_even(ln(1 + {haversine_sql('lat1', 'lon1', 'lat2', 'lon2')} / (1 + reach)), 6) AS log_scaled_km, round_even(ln(1 + abs(t1 - t2) / 3600), 6) AS log_hours, (k1 = k2)::INT AS same_type FROM q",
-    ("reports",),
-)
-_add(
-    "rule_scorer",
-    lambda s, d: _pairs(s, d).select("report_id", learning.rule_score(F.col("reach") / 100, haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")), F.col("reach"), F.abs(F.col("t1") - F.col("t2")) / 3600).alias("score")),
-    f", q AS ({_PAIR}) SELECT report_id, CASE WHEN abs(t1 - t2) / 3600 > 48 OR {haversine_sql('lat1', 'lon1', 'lat2', 'lon2')} > 5 + least(reach, 300) THEN 0 ELSE reach / 100 END AS score FROM q",
-    ("reports",),
-)
 _SCORES = ["id", "p * 6 - 2 AS score", "y"]
 _NEWTON = ", g{k} AS MATERIALIZED (SELECT any_value(a) AS a, any_value(b) AS b, sum((q - y) * score) + 0.01 * (any_value(a) - 1) AS g1, sum(q - y) AS g2, sum(q * (1 - q) * score * score) + 0.01 + 1e-9 AS h11, sum(q * (1 - q) * score) AS h12, sum(q * (1 - q)) + 1e-9 AS h22 FROM (SELECT score, y, a, b, 1 / (1 + exp(-greatest(-50, least(50, a * score + b)))) AS q FROM s, m{j})), m{k} AS (SELECT a - (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12) AS a, b - (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12) AS b FROM g{k})"
 _add(

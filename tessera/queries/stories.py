@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.functions.geo import haversine_sql
-from tessera.operators import clustering, fusion, graphs, inference, similar, textual, triage
+from tessera.operators import clustering, fusion, graphs, inference, learning, similar, textual, triage
 from tessera.plans.bindings import bound, with_ctes
 from tessera.session import read_table, stored
 
@@ -38,7 +38,7 @@ def _vectors(s: SparkSession, d: str) -> DataFrame:
 
 
 def _clusters(s: SparkSession, d: str, least: float = 0.5) -> DataFrame:
-    vectors = _vectors(s, d)
+    vectors = stored(_vectors(s, d), "stories-vectors")
     items = clustering.items_with_terms(_items(s, d), vectors)
     return clustering.online(items, clustering.rule_links(items, vectors, least), clustering.by_mean(least))
 
@@ -84,29 +84,35 @@ _FEATURES_SQL = (
 )
 
 
+def _stream(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Items without their texts, their vectors and gold stories, each computed once."""
+    return stored(_items(s, d).drop("text"), "stories-items"), stored(_vectors(s, d), "stories-vectors"), stored(_gold(s, d), "stories-gold")
+
+
 def _features(s: SparkSession, d: str, asked: DataFrame) -> DataFrame:
-    return clustering.cluster_features(_items(s, d).drop("text"), _vectors(s, d), _gold(s, d), asked)
+    items, vectors, gold = _stream(s, d)
+    return clustering.cluster_features(items, vectors, gold, asked)
 
 
 _add("cluster_features", lambda s, d: _features(s, d, _asked(s, d)).select("id", "cluster", *[F.bround(c, 4).alias(c) for c in clustering.FEATURES]), _FEATURES_SQL)
 
 
-def _model(s: SparkSession, d: str) -> dict:
-    gold = _gold(s, d)
-    alike = similar.similar_pairs(_vectors(s, d), 0.3)
+def _model(items: DataFrame, vectors: DataFrame, gold: DataFrame, alike: DataFrame) -> dict:
+    """Fitted on the decisions that the gold stories give; alike: a, b, cosine."""
     both = alike.select("a", "b", "cosine").union(alike.select("b", "a", "cosine"))
     near = both.join(gold.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id"), "cluster").agg(F.max("cosine").alias("cos"))
-    pairs = clustering.decisions(_items(s, d), gold, near)
-    return inference.fit_logistic(_features(s, d, pairs.select("id", "cluster")).join(pairs, ["id", "cluster"]), clustering.FEATURES)
+    pairs = stored(clustering.decisions(items, gold, near), "stories-decisions")
+    rows = clustering.cluster_features(items, vectors, gold, pairs.select("id", "cluster")).join(pairs, ["id", "cluster"])
+    return inference.fit_logistic(rows, clustering.FEATURES)
 
 
 def _modelled(s: SparkSession, d: str, links: float = 0.3) -> DataFrame:
     """Clusters of the whole stream by a model fitted on the gold stories; links are texts alike within a week."""
-    vectors = _vectors(s, d)
-    items = clustering.items_with_terms(_items(s, d), vectors)
+    items, vectors, gold = _stream(s, d)
+    alike = similar.similar_pairs(vectors, links)
     t = items.select("id", "t")
-    pairs = similar.similar_pairs(vectors, links).join(t.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(t.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").where("abs(ta - tb) <= 604800").select("a", "b")
-    return clustering.online(items, pairs, clustering.by_model(_model(s, d), 0.5), open_hours=168.0)
+    pairs = alike.join(t.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(t.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").where("abs(ta - tb) <= 604800").select("a", "b")
+    return clustering.online(clustering.items_with_terms(items, vectors), pairs, clustering.by_model(_model(items, vectors, gold, alike), 0.5), open_hours=168.0)
 
 
 _add("modelled_clusters", lambda s, d: _modelled(s, d).select("id", "label"))
@@ -339,10 +345,30 @@ _add(
 
 def _suggestions(s: SparkSession, d: str) -> DataFrame:
     """Stories suggested for each document: those of alike documents, scored by a model fitted on the gold stories."""
-    alike = similar.similar_pairs(_vectors(s, d), 0.3)
+    items, vectors, gold = _stream(s, d)
+    alike = similar.similar_pairs(vectors, 0.3)
     both = alike.select("a", "b").union(alike.select("b", "a"))
-    asked = stored(both.join(_gold(s, d).withColumnRenamed("id", "b"), "b").select(F.col("a").alias("id"), "cluster").distinct(), "asked")
-    return triage.suggested(_features(s, d, asked), inference.line_of(_model(s, d)))
+    asked = stored(both.join(gold.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("id"), "cluster").distinct(), "stories-asked")
+    return triage.suggested(clustering.cluster_features(items, vectors, gold, asked), inference.line_of(_model(items, vectors, gold, alike)))
 
 
 _add("event_suggestions", _suggestions)
+
+
+# Pairs of alike documents: their features, and their score by the rule
+def _alike(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    items = _items(s, d).drop("text").withColumn("family", F.floor(F.col("type") / 2))
+    return similar.similar_pairs(_vectors(s, d), 0.5), items
+
+
+_ALIKE = "WITH " + _ITEMS + _VECTORS + ", p AS (SELECT a.id AS a, b.id AS b, sum(a.w * b.w) AS cosine FROM v a JOIN v b ON a.term = b.term AND a.id < b.id GROUP BY 1, 2 HAVING sum(a.w * b.w) >= 0.5), q AS (SELECT p.*, " + haversine_sql("x.lat", "x.lon", "y.lat", "y.lon") + " AS km, x.reach + y.reach AS reach, abs(x.t - y.t) / 3600 AS hours, x.type AS k, y.type AS m FROM p JOIN items x ON x.id = p.a JOIN items y ON y.id = p.b)"
+_add(
+    "pair_features",
+    lambda s, d: learning.pair_features(*_alike(s, d)).select("a", "b", *[F.bround(c, 4).alias(c) for c in learning.PAIR_FEATURES]),
+    _ALIKE + " SELECT a, b, round_even(cosine, 4) AS text_cos, (km IS NOT NULL)::INT::DOUBLE AS both_located, round_even(coalesce(ln(1 + km), 0), 4) AS log_km, round_even(coalesce(ln(1 + km / (1 + reach)), 0), 4) AS log_scaled_km, round_even(ln(1 + hours), 4) AS log_hours, coalesce(k = m, false)::INT::DOUBLE AS same_type, coalesce(k // 2 = m // 2, false)::INT::DOUBLE AS same_family, (k IS NULL OR m IS NULL)::INT::DOUBLE AS type_unknown FROM q",
+)
+_add(
+    "rule_scorer",
+    lambda s, d: learning.beside(*_alike(s, d)).select("a", "b", F.bround(learning.rule_score(F.col("cosine"), F.col("km"), F.col("reach_km"), F.col("hours")), 4).alias("score")),
+    _ALIKE + " SELECT a, b, round_even(CASE WHEN hours > 48 OR coalesce(km, 0) > 5 + least(reach, 300) THEN 0 ELSE cosine END, 4) AS score FROM q",
+)

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import clustering, fusion, graphs, inference, similar
+from tessera.operators import clustering, fusion, graphs, inference, learning, similar
 
 RNG = random.Random(11)
 TOPICS = [[f"{t}{k}" for k in range(8)] for t in "abcde"]
@@ -377,3 +377,15 @@ def test_diverse_pick(spark):
     assert got == {1: [0, 1, 2, 6, 12, 13, 14, 15], 2: [40]}
     few = [(1, k, k, f"s{k}", f"o{k}", True) for k in range(6)]
     assert [r["id"] for r in inference.diverse(spark.createDataFrame(few, "q long, id long, rank long, story string, outlet string, bangla boolean"), "q", 6).orderBy("place").collect()] == list(range(6))
+
+
+def test_pair_features_of_unknown_places_and_types(spark):
+    rows = [(1, 0.0, 23.0, 90.0, 1.0, 0, 0), (2, 7200.0, 23.0, 90.1, None, 1, 0), (3, 0.0, None, None, 2.0, None, None)]
+    items = spark.createDataFrame(rows, "id long, t double, lat double, lon double, reach double, type int, family int")
+    pairs = spark.createDataFrame([(1, 2, 0.9), (1, 3, 0.5)], "a long, b long, cosine double")
+    got = {r["b"]: list(r[2:]) for r in learning.pair_features(pairs, items).collect()}
+    apart = km((0, 0, 23.0, 90.0), (0, 0, 23.0, 90.1))
+    assert got[2] == pytest.approx([0.9, 1.0, math.log1p(apart), math.log1p(apart / 2), math.log1p(2), 0.0, 1.0, 0.0])
+    assert got[3] == [0.5, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0]
+    scores = learning.beside(pairs, items).select("b", learning.rule_score(F.col("cosine"), F.col("km"), F.col("reach_km"), F.col("hours")).alias("s"))
+    assert {r["b"]: r["s"] for r in scores.collect()} == {2: 0.0, 3: 0.5}  # 10 km is beyond 5 and a reach of 1

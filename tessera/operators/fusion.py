@@ -97,7 +97,7 @@ def label_rule(votes: DataFrame, outcomes: DataFrame, share: float = 0.2, hours:
     marked = credible & (F.col("relation") == 1) & F.coalesce(F.col("conflict") != "occurrence", F.lit(False))
     sides = rated.groupBy("item").agg(F.bool_or(credible & (F.col("vote") > 0)).alias("up"), F.bool_or(credible & (F.col("vote") < 0)).alias("down"), F.bool_or(marked).alias("marked"))
     said = rated.where(credible & (F.col("vote") > 0) & F.col("stated").isNotNull()).join(votes.select("vote_id", "seen"), "vote_id").select("item", "stated", "seen")
-    apart = disputed(said, "item", "stated", "seen", share, hours).select("item", F.lit(True).alias("apart"))
+    apart = in_dispute(said, "item", "stated", "seen", share, hours).select("item", F.lit(True).alias("apart"))
     rows = votes.select("item").distinct().join(scores(votes, outcomes).select("item", sigmoid(F.col("z")).alias("p")), "item", "left").join(sides, "item", "left").join(apart, "item", "left")
     label = (
         F.when(F.col("p").isNull(), "insufficient_evidence")
@@ -312,6 +312,22 @@ def disputed(rows: DataFrame, key: str, value: str, at: str, share: float = 0.2,
     return pairs.where(F.abs(F.col("va") - F.col("vb")) > share * F.greatest(F.abs("va"), F.abs("vb"))).groupBy(key).agg(F.count("*").alias("n_pairs"))
 
 
+def in_dispute(rows: DataFrame, key: str, value: str, at: str, share: float = 0.2, hours: float = 12.0) -> DataFrame:
+    """The groups in which two counts stated within hours differ by more than share of the larger: key.
+
+    Each count meets the least and the largest of the hours before it, for if any differs too much, one of these does; time is cut into
+    stretches of hours, each with the one before it, so that a large group is many tasks' work and no pairs are made.
+    """
+    span = int(hours * 3_600_000_000)
+    us = F.round(F.col(at) * 1e6).cast("long")
+    slot = F.floor(us / span)
+    both = rows.where(F.col(value).isNotNull()).select(key, F.col(value).alias("v"), us.alias("us"), F.explode(F.array(slot, slot + 1)).alias("slot"), slot.alias("own"))
+    w = Window.partitionBy(key, "slot").orderBy("us").rangeBetween(-span, 0)
+    seen = both.select(key, "v", (F.col("slot") == F.col("own")).alias("here"), F.min("v").over(w).alias("low"), F.max("v").over(w).alias("high"))
+    apart = lambda c: F.abs(F.col("v") - F.col(c)) > share * F.greatest(F.abs("v"), F.abs(c))
+    return seen.where(F.col("here") & (apart("low") | apart("high"))).select(key).distinct()
+
+
 def weighted_by_story(votes: DataFrame) -> DataFrame:
     """Votes with the weight 1 over the number of votes of their item and cascade: a story counts once however often it is told."""
     root = roots(votes, "vote_id", "copy_of")

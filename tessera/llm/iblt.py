@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tessera.session import stored
+from tessera.session import discard, stored
+
+from .memory import shuffles_deleted
 
 #: Words of a paragraph run; cells of the first sketch (a multiple of 3).
 WORDS, CELLS = 16, 24
@@ -135,6 +137,7 @@ def with_next(rows: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     n = max(2, int((keys.agg(F.sum("n")).first()[0] or 0) // RANGE_CHARS) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     per_range = keys.select("key").repartitionByRange(n, "key").groupBy(F.spark_partition_id().alias("p")).agg(F.min("key").alias("cut"))
     found = [r["cut"] for r in per_range.orderBy("p").collect()][1:]  # one row a range
+    discard(keys)
     cuts = F.array(*[F.struct(F.lit(c["some"]).alias("some"), F.lit(c["id"]).cast("long").alias("id"), F.lit(c["h"]).cast("long").alias("h")) for c in found])
     ranged = keyed.withColumn("range", _at_most(cuts, len(found), F.col("key")) if found else F.lit(0)).withColumn("guest", F.lit(False))
     # the first row of each range, as a guest after the last of the range in front; n rows at most
@@ -158,18 +161,20 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("units", paragraphs(F.col("text")))
-    pairs = with_next(rows, "id", ["text", "units"])
-    pairs = pairs.withColumn("next_text", F.coalesce("next_text", "text")).withColumn("next_units", F.coalesce("next_units", "units"))
-    n = F.length("text").cast("long")
-    quarter = F.floor(n / 4).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), (n - quarter).cast("int")), F.substring(F.col("next_text"), F.lit(1), quarter))
-    made = stored(
-        pairs.withColumn("edited", edited).select("id", n.alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "units", "next_units", paragraphs(F.col("edited")).alias("edited_units")), "iblt-units"
-    )
-    size = F.lit(CELLS)
-    made = made.select("*", sketch(F.col("units"), size).alias("f"), sketch(F.col("edited_units"), size).alias("fe"), sketch(F.col("next_units"), size).alias("fn"))
-    # between stages the sketches are columns, so that no expression is computed twice
-    made = stored(made, "iblt-sketches")
+    with shuffles_deleted(docs.sparkSession):
+        pairs = with_next(rows, "id", ["text", "units"])
+        pairs = pairs.withColumn("next_text", F.coalesce("next_text", "text")).withColumn("next_units", F.coalesce("next_units", "units"))
+        n = F.length("text").cast("long")
+        quarter = F.floor(n / 4).cast("int")
+        edited = F.concat(F.substring(F.col("text"), F.lit(1), (n - quarter).cast("int")), F.substring(F.col("next_text"), F.lit(1), quarter))
+        units = stored(
+            pairs.withColumn("edited", edited).select("id", n.alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "units", "next_units", paragraphs(F.col("edited")).alias("edited_units")), "iblt-units"
+        )
+        size = F.lit(CELLS)
+        made = units.select("*", sketch(F.col("units"), size).alias("f"), sketch(F.col("edited_units"), size).alias("fe"), sketch(F.col("next_units"), size).alias("fn"))
+        # between stages the sketches are columns, so that no expression is computed twice
+        made = stored(made, "iblt-sketches")
+        discard(units)
     return made.select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256", as_text(F.col("f")).alias("fingerprint"), as_text(F.col("fe")).alias("edited_fingerprint"),
         likeness(F.col("units"), F.col("edited_units"), F.col("f"), F.col("fe")).alias("near_edited"), likeness(F.col("units"), F.col("next_units"), F.col("f"), F.col("fn")).alias("near_next"),

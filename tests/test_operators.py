@@ -172,3 +172,43 @@ def test_stances_in_the_order_of_the_lines(spark):
     df = spark.createDataFrame(rows, "sim double, entail double, contra double, correct int, doubt int")
     got = [r[0] for r in df.select(triage.stance(*[F.col(c) for c in df.columns], lines)).collect()]
     assert got == ["unrelated", "corrects", "corrects", "questions", "repeats", "corrects", "mentions", "mentions"]
+
+
+def _crowd(spark, n):
+    """Items and incidents by chance in a few places, many of them in one; some types and places are unknown."""
+    rng = random.Random(5)
+    place = lambda k: (23.0, 90.0) if k % 3 else (23.0 + rng.random(), 90.0 + rng.random())
+    kind = lambda k: None if k % 41 == 7 else k % 3
+    items = [(k, t, t + 3600.0 * (k % 5), *(place(k) if k % 29 else (None, None)), 5.0 + k % 7 * 20.0, kind(k), "new") for k, t in ((k, rng.random() * 40 * 86400) for k in range(n))]
+    incidents = [(k, t, t + 3600.0 * (k % 90), *place(k), kind(k), "active") for k, t in ((k, rng.random() * 30 * 86400) for k in range(n))]
+    return (
+        spark.createDataFrame(items, "signal_id long, start double, end double, lat double, lon double, reach double, type int, item_status string"),
+        spark.createDataFrame(incidents, "event_id long, started double, until double, elat double, elon double, etype int, status string"),
+    )
+
+
+def test_nearest_pairs_are_those_of_all_pairs_without_keeping_all(spark):
+    """Dense places give pairs as the seekers want them, not all; the first of each seeker are those of all pairs."""
+    items, incidents = _crowd(spark, 500)
+    linked = items.selectExpr("signal_id", "signal_id % 50 AS event_id")
+    every = matching.near_spans(items, incidents, 305.0, 48.0).cache()
+    for seeker, other, side, limit in (("signal_id", "event_id", items, 4), ("event_id", "signal_id", incidents, 6)):
+        wanted = matching._wanted(side, linked, seeker, limit)
+        found = matching.nearest_spans(items, incidents, seeker, other, wanted, 305.0, 48.0).cache()
+        want = matching.ranked(every.join(linked, [seeker, other], "left_anti"), seeker, other, limit)
+        got = matching.ranked(found.join(linked, [seeker, other], "left_anti"), seeker, other, limit)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+        assert found.count() <= wanted.agg(F.sum("n")).collect()[0][0] < every.count()
+
+
+def test_newest_incidents_in_windows_that_grow(spark):
+    items, incidents = _crowd(spark, 400)
+    far = haversine_km(F.col("lat"), F.col("lon"), F.col("elat"), F.col("elon"))
+    days = 14 * 86400.0
+    pairs = items.crossJoin(incidents).where((far <= F.col("reach")) & (F.col("started") <= F.col("end") + days) & (F.col("until") >= F.col("start") - days)).select("signal_id", "started", "event_id").collect()
+    want = {}
+    for r in sorted(pairs, key=lambda r: (-r["started"], r["event_id"])):
+        want.setdefault(r["signal_id"], []).append(r["event_id"])
+    for first in (64, 100000):
+        got = matching.retrieved(items, incidents, "signal_id", 50.0, 14.0, 5, first).collect()
+        assert sorted((r["signal_id"], r["place"], r["event_id"]) for r in got) == sorted((k, p + 1, e) for k, v in want.items() for p, e in enumerate(v[:5]))

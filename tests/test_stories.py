@@ -389,3 +389,14 @@ def test_pair_features_of_unknown_places_and_types(spark):
     assert got[3] == [0.5, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0]
     scores = learning.beside(pairs, items).select("b", learning.rule_score(F.col("cosine"), F.col("km"), F.col("reach_km"), F.col("hours")).alias("s"))
     assert {r["b"]: r["s"] for r in scores.collect()} == {2: 0.0, 3: 0.5}  # 10 km is beyond 5 and a reach of 1
+
+
+def test_alike_rows_meet_in_blocks_and_are_not_rows_of_candidates(spark):
+    """Frequent terms that all rows share give no table of candidates; blocks of any size find the same pairs, each once."""
+    rng = random.Random(3)
+    sets = {k: {f"t{rng.randrange(12)}" for _ in range(6)} | {"all"} for k in range(60)}
+    rows = spark.createDataFrame([(k, t) for k, ts in sets.items() for t in ts], "id long, term string")
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6}
+    for block, chunk in ((7, 2), (512, 16)):
+        got = [(r["a"], r["b"]) for r in similar._meeting(rows.withColumn("w", F.lit(1.0)), 0.6 - 1e-9, True, block, chunk).collect()]
+        assert len(got) == len(set(got)) and set(got) == want

@@ -400,3 +400,21 @@ def test_alike_rows_meet_in_blocks_and_are_not_rows_of_candidates(spark):
     for block, chunk in ((7, 2), (512, 16)):
         got = [(r["a"], r["b"]) for r in similar._meeting(rows.withColumn("w", F.lit(1.0)), 0.6 - 1e-9, True, block, chunk).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_cosines_within_clusters_come_from_blocks(spark):
+    rng = random.Random(4)
+    rows = {k: {f"t{rng.randrange(9)}": rng.random() for _ in range(4)} | {f"own{k}": 1.0} for k in range(40)}
+    vectors = spark.createDataFrame([(k, t, w) for k, ts in rows.items() for t, w in ts.items()], "id long, term string, w double")
+    members = {k: (k % 3, float(k // 4)) for k in rows}
+    right = spark.createDataFrame([(k, f"c{c}", t) for k, (c, t) in members.items()], "id long, cluster string, t double")
+    left = right.union(right.selectExpr("id", "'c1'", "t"))
+    want = {}
+    for a in rows:
+        for b in rows:
+            dot = sum(w * rows[b].get(t, 0.0) for t, w in rows[a].items())
+            if (members[a][0] == members[b][0] or members[b][0] == 1) and (members[b][1], b) < (members[a][1], a) and dot > 0:
+                want[a, b] = dot
+    for block in (3, 512):
+        got = similar.cosines_within(vectors, left, right, block).collect()
+        assert len(got) == len(want) and {(r["my_id"], r["id"]): round(r["cos"], 9) for r in got} == {k: round(v, 9) for k, v in want.items()}

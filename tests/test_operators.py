@@ -6,6 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from tessera import session
 from tessera.functions.geo import haversine_km, with_cell, with_cells_around
 from tessera.operators import checks, fusion, matching, similar, textual, triage
 
@@ -49,6 +50,25 @@ def test_roots_of_chains_and_cycles(spark):
     assert {r["root"] for r in fusion.roots(chain, "node", "up").collect()} == {0}
 
 
+def test_cycles_are_found_when_steps_go_round(spark, monkeypatch):
+    """The rounds follow from the longest chain or cycle, not from the number of rows."""
+    tables = []
+    monkeypatch.setattr(fusion, "stored", lambda df, name: tables.append(name) or session.stored(df, name))
+    rows = spark.range(3000).selectExpr("id AS node", "IF(id % 10 < 4, id - id % 10 + (id + 1) % 4, id - 3) AS up")
+    up = {n: u for n, u in rows.collect()}
+
+    def root(n):
+        seen = []
+        while n not in seen:
+            seen.append(n)
+            n = up[n]
+        return min(seen[seen.index(n) :])
+
+    assert {r["node"]: r["root"] for r in fusion.roots(rows, "node", "up").collect()} == {n: root(n) for n in up}
+    assert len(tables) <= 7
+
+
+
 def test_labels_of_items(spark):
     schema = "vote_id long, item long, source long, seen double, vote int, source_type string, relation long, copy_of long, conflict string, stated double"
     rows = [(0, 100, 1, 0.0, 1, "field", 0, None, None, None)]

@@ -232,3 +232,15 @@ def test_newest_incidents_in_windows_that_grow(spark):
     for first in (64, 100000):
         got = matching.retrieved(items, incidents, "signal_id", 50.0, 14.0, 5, first).collect()
         assert sorted((r["signal_id"], r["place"], r["event_id"]) for r in got) == sorted((k, p + 1, e) for k, v in want.items() for p, e in enumerate(v[:5]))
+
+
+def test_hashes_are_compared_once_and_their_rows_paired_in_chunks(spark, monkeypatch):
+    """Many rows of few hashes, nulls, and an id that comes twice: all pairs by brute force, while only the different hashes meet."""
+    made = {}
+    monkeypatch.setattr(textual, "stored", lambda df, name: made.setdefault(name, session.stored(df, name)))
+    rows = [(k, (0, 1, 3, 257, 40000, None)[k * k % 7 % 6]) for k in range(120)] + [(5, 3), (None, 1)]
+    got = Counter((r["a"], r["b"], r["bits"]) for r in textual.hamming_within(spark.createDataFrame(rows, "id long, h long"), "id", "h", 16, 1, chunk=4).collect())
+    want = Counter((a, b, (x ^ y).bit_count()) for a, x in rows for b, y in rows if None not in (a, b, x, y) and a < b and (x ^ y).bit_count() <= 1)
+    assert got == want and sum(got.values()) > 1000
+    assert made["hamming-hashes"].count() == len({h for i, h in rows if None not in (i, h)})
+    assert made["hamming-chunks"].selectExpr("max(size(ids))").first()[0] < 16

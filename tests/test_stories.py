@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import session
 from tessera.operators import clustering, fusion, graphs, inference, learning, similar
 
 RNG = random.Random(11)
@@ -200,6 +201,36 @@ def test_claim_hints_chain_to_the_first(spark):
     assert {r["id"]: r["same"] for r in similar.claim_hints(df).collect()} == {2: 1, 3: 1, 6: 5}
 
 
+def test_claim_hints_equal_a_loop_and_compare_few(spark, monkeypatch):
+    """Repeated and altered titles, some in common words only: the same hints as all pairs give, and few pairs of claims are compared."""
+    made = {}
+    monkeypatch.setattr(similar, "stored", lambda df, name: made.setdefault(name, session.stored(df, name)))
+    rng = random.Random(4)
+    rows = []
+    for k in range(240):
+        ws = list(rows[rng.randrange(k)][1]) if k and rng.random() < 0.4 else [f"w{int(rng.random() ** 2 * 150)}" for _ in range(rng.randrange(2, 12))]
+        if rng.random() < 0.6:
+            ws[rng.randrange(len(ws))] = f"w{rng.randrange(150)}"
+        rows.append((k, tuple(ws), None if k % 17 == 0 else rng.randrange(40)))
+    df = spark.createDataFrame([(k, " ".join(ws), d) for k, ws, d in rows], "id long, title string, d int").withColumn("day", F.expr("date_add(DATE'2024-01-01', d)"))
+    df_of = Counter(w for _, ws, _ in rows for w in set(ws))
+    for least, days, least_words in ((0.5, 3, 3), (0.3, 5, 1), (0.8, 0, 3)):
+        made.clear()
+        kept = {k: (d, {w for w in ws if df_of[w] <= 24}) for k, ws, d in rows if d is not None}
+        kept = {k: v for k, v in kept.items() if len(v[1]) >= least_words}
+        alike = lambda x, y, least=least: len(x & y) / len(x | y) >= least - 1e-9
+        up = {k: min(found) for k, (d, ws) in kept.items() if (found := [(e, j) for j, (e, vs) in kept.items() if d - days <= e and (e, j) < (d, k) and alike(ws, vs)])}
+        want = {}
+        for k in up:
+            j = k
+            while j in up:
+                j = up[j][1]
+            want[k] = j
+        assert {r["id"]: r["same"] for r in similar.claim_hints(df.select("id", "title", "day"), least, days, least_words).collect()} == want and (want or days == 0)
+        if least_words == 3:
+            assert made["hint-candidates"].count() < 10 * max(len(want), 10)
+
+
 def test_logistic_model_equals_a_plain_solver(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 3)) * [1, 5, 0.1] + [0, 3, 1]

@@ -6,7 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tessera import session
+from tessera import catalog, session
 from tessera.functions.geo import haversine_km, with_cell, with_cells_around
 from tessera.operators import checks, fusion, matching, similar, textual, triage
 
@@ -244,3 +244,28 @@ def test_hashes_are_compared_once_and_their_rows_paired_in_chunks(spark, monkeyp
     assert got == want and sum(got.values()) > 1000
     assert made["hamming-hashes"].count() == len({h for i, h in rows if None not in (i, h)})
     assert made["hamming-chunks"].selectExpr("max(size(ids))").first()[0] < 16
+
+
+def test_bm25_of_small_chunks_and_blocks_equals_a_loop(spark):
+    """Articles in chunks of three and queries in blocks of two: equal scores across chunks go by id; null texts count, without words; ids may be strings."""
+    rng = random.Random(5)
+    texts = {f"a{k:02d}": None if k % 13 == 7 else " ".join(rng.choices(["x", "y", "z", "u", "v"], k=k % 6)) for k in range(40)}
+    asked = {k: " ".join(ws) for k, ws in enumerate((["x"], ["y", "x", "y"], ["u", "none"], ["none"], ["v", "z", "u"]))}
+    n, all_ = len(texts), sum(len((t or "").split()) for t in texts.values())
+    count = {i: Counter((t or "").split()) for i, t in texts.items()}
+    df = Counter(w for c in count.values() for w in c)
+    want = []
+    for q, ws in asked.items():
+        part = lambda c, w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.4 / (c[w] + 1.4 * (0.25 + 0.75 * sum(c.values()) / (all_ / n)))
+        scored = sorted((-round(sum(part(c, w) for w in set(ws.split()) if c[w]), 5), i) for i, c in count.items() if set(ws.split()) & set(c))
+        want += [(q, i, place) for place, (_, i) in enumerate(scored[:7])]
+    articles = spark.createDataFrame(list(texts.items()), "id string, text string").repartition(2)
+    found = textual.bm25(articles, spark.createDataFrame(list(asked.items()), "query long, q string"), "id", "text", "query", top=7, block=2, chunk=3)
+    assert sorted((r["query"], r["id"], r["rank"]) for r in found.collect()) == sorted(want)
+
+
+def test_rrf_finds_once(spark, monkeypatch):
+    calls, plain = [], textual.bm25
+    monkeypatch.setattr(textual, "bm25", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    catalog.QUERIES["rrf"](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1

@@ -4,11 +4,12 @@ import math
 import random
 from collections import Counter
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tessera import catalog, session
 from tessera.functions.geo import haversine_km, with_cell, with_cells_around
-from tessera.operators import checks, fusion, matching, similar, textual, triage
+from tessera.operators import checks, claims as claim_ops, extraction, fusion, inference, matching, similar, textual, triage
 
 
 def test_cells_hold_every_pair_within_reach(spark):
@@ -269,3 +270,30 @@ def test_rrf_finds_once(spark, monkeypatch):
     monkeypatch.setattr(textual, "bm25", lambda *a, **k: calls.append(1) or plain(*a, **k))
     catalog.QUERIES["rrf"](spark, "/root/testdata/sf0.001")
     assert len(calls) == 1
+
+
+def test_equal_texts_are_read_once_a_batch(spark, monkeypatch):
+    read, plain = [], claim_ops.claims_in
+    monkeypatch.setattr(claim_ops, "claims_in", lambda t: read.append(t) or plain(t))
+    texts = pd.Series(["Two people were killed", None, "Two people were killed", "Calm", "", None] * 3)
+    claim_ops.claims.cache_clear()
+    found = claim_ops.claims().func(texts)
+    claim_ops.claims.cache_clear()
+    assert [None if c is None else [(x["attribute"], x["value"]) for x in c] for c in found] == [None if t is None else [c[:2] for c in plain(t)] for t in texts]
+    assert sorted(read) == ["", "Calm", "Two people were killed"]
+
+
+def test_mentions_and_folds_are_computed_once(spark):
+    """A row that is read again counts again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    rows = spark.createDataFrame([(k, k % 3, float(k * 7 % 11), int(k * 7 % 11 + k % 4 > 6)) for k in range(60)], "id long, fold int, x double, y int")
+    assert inference.out_of_fold(rows.mapInPandas(counted, rows.schema), ["x"], "fold").count() == 60 and seen.value == 60
+    seen.value = 0
+    places = spark.createDataFrame([(1, 0, "A", "district", "d1", 20.0, 88.0, 5), (1, 9, "B", "upazila", "d1", 20.1, 88.0, 3), (2, 0, "C", "district", "d2", 21.0, 89.0, 5)], "id long, start int, name string, level string, district string, lat double, lon double, precision_m int")
+    assert extraction.best_place(places.mapInPandas(counted, places.schema)).count() == 2 and seen.value == 3

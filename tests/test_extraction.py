@@ -104,3 +104,36 @@ def test_gazetteers_without_names_and_too_large(spark, monkeypatch):
     monkeypatch.setattr(extraction, "MOST_SPELLINGS", 2)
     with pytest.raises(ValueError, match="spellings"):
         extraction.place_mentions(texts, spark.createDataFrame(GAZETTEER, G), "id", "text")
+
+
+def test_places_are_chosen_without_a_shuffle_of_mentions(spark):
+    texts = spark.createDataFrame([(i, "Mirpur, Kushtia and Feni, " * (i % 4)) for i in range(40)], "id long, text string")
+    found = extraction.place_mentions(texts, spark.createDataFrame(GAZETTEER, G), "id", "text")
+    assert found.count() == 30 * 3
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan and "Aggregate" not in plan
+
+
+def test_places_equal_joins_and_windows(spark):
+    """Texts of many ambiguous names against the rule in SQL; levels, districts and ids may be null."""
+    import duckdb
+
+    rows = [(f"n{k % 9}", f"P{k % 5}", ["locality", "upazila", "district", "division", None, "other"][k % 6], None if k % 7 == 3 else f"d{k % 4}", float(k), 1.0) for k in range(40)]
+    texts = [(i or None, " ".join(f"n{(i * 7 + j * j * (i % 5 + 1)) % 11}" for j in range(i % 13))) for i in range(60)]
+    found = extraction.place_mentions(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(rows, G), "id", "text")
+    got = sorted([repr(tuple(r)) for r in found.select("id", "start", "end", "surface", "name", "level", "district", "precision_m").collect()])
+
+    names = {r[0] for r in rows}
+    mentions = [(i, m.start(), m.end(), m[0]) for i, t in texts for m in re.finditer(r"\S+", t) if m[0] in names]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE g (spelling VARCHAR, name VARCHAR, level VARCHAR, district VARCHAR)")
+    con.executemany("INSERT INTO g VALUES (?, ?, ?, ?)", [r[:4] for r in rows])
+    con.execute("CREATE TABLE m (id BIGINT, s INT, e INT, surface VARCHAR)")
+    con.executemany("INSERT INTO m VALUES (?, ?, ?, ?)", mentions)
+    want = con.execute("""
+        WITH f AS (SELECT DISTINCT m.*, g.*, CASE level WHEN 'locality' THEN 0 WHEN 'upazila' THEN 1 WHEN 'district' THEN 2 WHEN 'division' THEN 3 END AS rank FROM m JOIN g ON surface = spelling),
+        d AS (SELECT DISTINCT id, district FROM f WHERE level = 'district' AND district IS NOT NULL),
+        a AS (SELECT f.*, row_number() OVER (PARTITION BY f.id, s ORDER BY d.id IS NULL AND d.district IS NULL, rank NULLS FIRST, name, f.district NULLS FIRST, level) AS k FROM f LEFT JOIN d ON f.id IS NOT DISTINCT FROM d.id AND f.district = d.district),
+        o AS (SELECT *, row_number() OVER (PARTITION BY id, level, name, district ORDER BY s) AS n FROM a WHERE k = 1)
+        SELECT id, s, e, surface, name, level, district, CASE level WHEN 'locality' THEN 2500 WHEN 'upazila' THEN 30000 WHEN 'district' THEN 30000 WHEN 'division' THEN 90000 END FROM o WHERE n = 1""").fetchall()
+    assert len(got) > 100 and got == sorted(map(repr, want))

@@ -37,10 +37,15 @@ def _check(key: Column) -> Column:
 def _entries(key: Column, n: Column, third: Column, seed: int) -> Column:
     """What a digest adds to its three cells, one in each third of the sketch."""
 
-    def cell(j: int) -> Column:
-        return F.struct((third * j + F.pmod(F.xxhash64(key, F.lit(seed * 3 + j)), third)).cast("int").alias("c"), n.cast("int").alias("n"), key.alias("k"), _check(key).alias("h"))
+    def cells(check: Column) -> Column:
+        return F.array(*[F.struct((third * j + F.pmod(F.xxhash64(key, F.lit(seed * 3 + j)), third)).cast("int").alias("c"), n.alias("n"), key.alias("k"), check.alias("h")) for j in range(3)])
 
-    return F.array(*[cell(j) for j in range(3)])
+    return _let(_check(key), cells)
+
+
+def _third(size: Column, use) -> Column:
+    """use(third of the cells), computed once and not once a digest."""
+    return _let((size / 3).cast("int"), use)
 
 
 def _fold(entries: Column) -> Column:
@@ -50,17 +55,29 @@ def _fold(entries: Column) -> Column:
         return F.struct(x["c"].alias("c"), (done["n"] + x["n"]).alias("n"), done["k"].bitwiseXOR(x["k"]).alias("k"), done["h"].bitwiseXOR(x["h"]).alias("h"))
 
     def by_cell(e: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(e) - 1, F.lit(0))), lambda i: (F.size(e) > 0) & ((i == 0) | (F.get(e, i)["c"] != F.get(e, i - 1)["c"])))
-        zero = F.struct(F.lit(-1).alias("c"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
-        one = lambda s: F.transform(s, lambda at, j: F.aggregate(F.slice(e, at + 1, F.coalesce(F.get(s, j + 1), F.size(e)) - at), zero, add))
-        return _let(starts, one)
+        starts = F.filter(F.sequence(F.lit(0), F.size(e) - 1), lambda i: (i == 0) | (F.get(e, i)["c"] != F.get(e, i - 1)["c"]))
+
+        def cells(s: Column) -> Column:
+            end = lambda j: F.coalesce(F.get(s, j + 1), F.size(e))
+            one = lambda at, n: F.when(n == 1, F.get(e, at)).when(n == 2, add(F.get(e, at), F.get(e, at + 1))).otherwise(F.aggregate(F.slice(e, at + 2, n - 1), F.get(e, at), add))
+            return F.transform(s, lambda at, j: one(at, end(j) - at))  # most cells have one entry or two
+
+        return F.when(F.size(e) < 2, e).otherwise(_let(starts, cells))
 
     return F.filter(_let(F.sort_array(entries), by_cell), lambda x: (x["n"] != 0) | (x["k"] != 0) | (x["h"] != 0))
 
 
+def _all_entries(digests: Column, n: int, third: Column, seed: int) -> Column:
+    return F.flatten(F.transform(digests, lambda k: _entries(k, F.lit(n), third, seed)))
+
+
 def sketch(digests: Column, cells: Column, seed: int = 0) -> Column:
-    third = (cells / 3).cast("int")
-    return _fold(F.flatten(F.transform(digests, lambda k: _entries(k, F.lit(1), third, seed))))
+    return _third(cells, lambda third: _fold(_all_entries(digests, 1, third, seed)))
+
+
+def subtracted(a: Column, b: Column, cells: Column, seed: int = 0) -> Column:
+    """The sketch of a less that of b, added up at once."""
+    return _third(cells, lambda third: _fold(F.concat(_all_entries(a, 1, third, seed), _all_entries(b, -1, third, seed))))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -69,16 +86,16 @@ def subtract(a: Column, b: Column) -> Column:
 
 def peel(cells: Column, size: Column, seed: int = 0, rounds: int = 40) -> Column:
     """struct(plus, minus): the digests only in the first and only in the second, null if the sketch doesn't peel."""
-    third = (size / 3).cast("int")
 
-    def step(state: Column, _: Column) -> Column:
+    def step(state: Column, third: Column) -> Column:
         # a digest may be alone in several cells: sorted, its equals are neighbours
         alone = F.sort_array(F.transform(F.filter(state["cells"], lambda x: (F.abs(x["n"]) == 1) & (x["h"] == _check(x["k"]))), lambda x: F.struct(x["n"].alias("n"), x["k"].alias("k"))))
         pure = _let(alone, lambda e: F.filter(e, lambda x, i: (i == 0) | (x != F.get(e, i - 1))))
 
         def off(found: Column) -> Column:
             rest = _fold(F.concat(state["cells"], F.flatten(F.transform(found, lambda x: _entries(x["k"], -x["n"], third, seed)))))
-            return F.struct(rest.alias("cells"), F.concat(state["found"], found).alias("found"), (F.size(found) == 0).alias("stuck"))
+            stuck = F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(True).alias("stuck"))
+            return F.when(F.size(found) == 0, stuck).otherwise(F.struct(rest.alias("cells"), F.concat(state["found"], found).alias("found"), F.lit(False).alias("stuck")))
 
         return F.when(state["stuck"] | (F.size(state["cells"]) == 0), state).otherwise(_let(pure, off))
 
@@ -88,7 +105,8 @@ def peel(cells: Column, size: Column, seed: int = 0, rounds: int = 40) -> Column
         side = lambda n: F.transform(F.filter(state["found"], lambda x: x["n"] == n), lambda x: x["k"])
         return F.when(F.size(state["cells"]) == 0, F.struct(side(1).alias("plus"), side(-1).alias("minus")))
 
-    return _let(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step), sides)
+    peeled = lambda third: F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda state, _: step(state, third))
+    return _let(_third(size, peeled), sides)
 
 
 def difference(a: Column, b: Column, fa: Column, fb: Column) -> Column:
@@ -96,7 +114,7 @@ def difference(a: Column, b: Column, fa: Column, fb: Column) -> Column:
 
     def larger(factor: int, seed: int) -> Column:
         size = (F.ceil((F.size(a) + F.size(b)) * factor / 2) * 3 + 12).cast("int")
-        return peel(subtract(sketch(a, size, seed), sketch(b, size, seed)), size, seed)
+        return _let(size, lambda cells: peel(subtracted(a, b, cells, seed), cells, seed))
 
     exact = F.struct(F.array_except(a, b).alias("plus"), F.array_except(b, a).alias("minus"))
     return F.coalesce(peel(subtract(fa, fb), F.lit(CELLS)), larger(1, 1), larger(2, 2), exact)

@@ -166,6 +166,17 @@ def test_fingerprints_of_awkward_tables(awkward, clashing, nothing):
     assert iblt.edited_fingerprints(awkward.where("doc_id = 12").limit(1)).select("near_next").first()[0] == 1.0
 
 
+def test_sketches_are_subtracted_at_once_and_peel_to_the_difference(spark):
+    rows = [(i, [(i * 7919 + k * 104729) % 1000003 for k in range(n)], [(i * 7919 + k * 104729) % 1000003 for k in range(n // 2, n // 2 + m)]) for i, (n, m) in enumerate([(0, 0), (0, 3), (5, 5), (9, 0), (30, 31), (200, 40), (400, 400)])]
+    df = spark.createDataFrame(rows, "id int, a array<bigint>, b array<bigint>").withColumn("size", F.expr("(size(a) + size(b)) * 3 + 12"))
+    a, b, size = F.col("a"), F.col("b"), F.col("size")
+    apart, at_once = iblt.subtract(iblt.sketch(a, size, 2), iblt.sketch(b, size, 2)), iblt.subtracted(a, b, size, 2)
+    got = df.select("a", "b", (apart == at_once).alias("same"), iblt.peel(at_once, size, 2).alias("d"), iblt.sketch(a, F.lit(24)).alias("f")).collect()
+    for r in got:
+        assert r["same"] and (set(r["d"]["plus"]), set(r["d"]["minus"])) == (set(r["a"]) - set(r["b"]), set(r["b"]) - set(r["a"]))
+        assert sum(x["n"] for x in r["f"]) == 3 * len(r["a"]) and [x["c"] for x in r["f"]] == sorted({x["c"] for x in r["f"]})
+
+
 # 4: surrogates
 def test_surrogates(spark):
     texts = [

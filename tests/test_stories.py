@@ -4,9 +4,11 @@ import itertools
 import math
 import random
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -449,3 +451,28 @@ def test_cosines_within_clusters_come_from_blocks(spark):
     for block in (3, 512):
         got = similar.cosines_within(vectors, left, right, block).collect()
         assert len(got) == len(want) and {(r["my_id"], r["id"]): round(r["cos"], 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
+
+
+def test_rows_that_share_common_terms_only_are_not_compared_in_full():
+    """Every row has common terms of little weight and a few of its own or of a near copy; chunks and batches of any size find the same pairs, each once."""
+    rng = random.Random(8)
+    rows = {}
+    for k in range(300):
+        own = {1000 + 10 * k + j: 1.0 for j in range(6)} if k < 260 else {t: w * rng.uniform(0.8, 1.2) for t, w in rows[rng.randrange(k)].items() if t >= 1000}
+        rows[k] = {t: 0.3 for t in rng.sample(range(9000, 9012), 8)} | own
+    rows = {k: {t: w / math.sqrt(sum(v * v for v in x.values())) for t, w in x.items()} for k, x in rows.items()} | {300: {9001: 0.8, 9002: 0.6}, 301: {9001: 0.6, 9002: 0.8}, 302: {}}
+    df = Counter(t for x in rows.values() for t in x)
+    code = {t: k for k, t in enumerate(sorted((t for t in df if df[t] > 1), key=lambda t: (df[t], t)))}
+    flat = sorted((k, code.get(t, -1), w) for k, x in rows.items() for t, w in x.items())
+    batches = [pa.record_batch({"part": pa.array([0] * len(b), pa.int32()), "id": pa.array([e[0] for e in b]), "code": pa.array([None if e[1] < 0 else e[1] for e in b], pa.int64()), "w": pa.array([e[2] for e in b])}) for b in (flat[k : k + 37] for k in range(0, len(flat), 37))]
+    want = {(a, b) for a, b in itertools.combinations(rows, 2) if sum(w * rows[b].get(t, 0.0) for t, w in rows[a].items()) >= 0.5}
+    made = list(similar._rows_of(batches, 0.5, False, 50))
+    compared, got = [], []
+    for at in range(0, len(made), 2):
+        whole = pa.Table.from_batches(made[at : at + 2])
+        (terms, start), w = similar.lists(whole["terms"]), similar.lists(whole["w"])[0]
+        chunk = SimpleNamespace(value={c: whole[c].to_numpy() for c in ("id", "n", "r")} | {"terms": terms, "start": start, "w": w})
+        score = lambda dot, common, qn, vn: compared.append(len(dot)) or dot
+        got += [(r["a"], r["b"]) for b in similar._alike(made, f"test{at}", chunk, 0.5, score, 64, 100) for r in b.to_pylist()]
+    assert len(got) == len(set(got)) and set(got) == want and (300, 301) in want and len(want) > 40
+    assert sum(compared) < 3 * len(want) < len(rows) ** 2 / 100

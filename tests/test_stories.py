@@ -476,3 +476,23 @@ def test_rows_that_share_common_terms_only_are_not_compared_in_full():
         got += [(r["a"], r["b"]) for b in similar._alike(made, f"test{at}", chunk, 0.5, score, 64, 100) for r in b.to_pylist()]
     assert len(got) == len(set(got)) and set(got) == want and (300, 301) in want and len(want) > 40
     assert sum(compared) < 3 * len(want) < len(rows) ** 2 / 100
+
+
+def test_cluster_features_make_no_table_of_pairs(spark, monkeypatch):
+    """Chunks that split clusters give the features that one chunk gives; no table has a row for each item and member."""
+    made = {}
+
+    def kept(df, name):
+        made[name] = session.stored(df, name)
+        return made[name]
+
+    monkeypatch.setattr(clustering, "stored", kept)
+    monkeypatch.setattr(clustering, "discard", lambda *tables: None)
+    rows = stream(60, 6)
+    items, vectors, _ = frames(spark, rows)
+    gold = spark.createDataFrame([(r[0], f"c{r[0] % 3}") for r in rows] + [(rows[0][0], None)], "id long, cluster string")
+    asked = items.select("id").crossJoin(gold.select("cluster").distinct())
+    got = [{(r["id"], r["cluster"]): list(r[2:]) for r in clustering.cluster_features(items.drop("text"), vectors, gold, asked, chunk).collect()} for chunk in (16, 32768)]
+    assert got[0].keys() == got[1].keys() and len(got[0]) > 150
+    assert all(got[0][k] == pytest.approx(got[1][k], abs=1e-9) for k in got[0])
+    assert max(df.count() for df in made.values()) <= 60 * 3

@@ -235,6 +235,19 @@ def test_newest_incidents_in_windows_that_grow(spark):
         assert sorted((r["signal_id"], r["place"], r["event_id"]) for r in got) == sorted((k, p + 1, e) for k, v in want.items() for p, e in enumerate(v[:5]))
 
 
+def test_all_incidents_within_reach_come_without_a_limit(spark):
+    items, incidents = _crowd(spark, 300)
+    far = haversine_km(F.col("lat"), F.col("lon"), F.col("elat"), F.col("elon"))
+    days = 14 * 86400.0
+    pairs = items.crossJoin(incidents).where((far <= F.col("reach")) & (F.col("started") <= F.col("end") + days) & (F.col("until") >= F.col("start") - days)).select("signal_id", "started", "event_id").collect()
+    want = {}
+    for r in sorted(pairs, key=lambda r: (-r["started"], r["event_id"])):
+        want.setdefault(r["signal_id"], []).append(r["event_id"])
+    got = matching.retrieved(items, incidents, "signal_id", 50.0, 14.0, None).collect()
+    assert sorted((r["signal_id"], r["place"], r["event_id"]) for r in got) == sorted((k, p + 1, e) for k, v in want.items() for p, e in enumerate(v))
+    assert catalog.QUERIES["retrieve"](spark, "/root/testdata/sf0.01").agg(F.max("place")).first()[0] > 20
+
+
 def test_hashes_are_compared_once_and_their_rows_paired_in_chunks(spark, monkeypatch):
     """Many rows of few hashes, nulls, and an id that comes twice: all pairs by brute force, while only the different hashes meet."""
     made = {}

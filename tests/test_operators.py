@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera import catalog, session
 from tessera.functions.geo import haversine_km, with_cell, with_cells_around
 from tessera.operators import checks, claims as claim_ops, extraction, fusion, inference, matching, similar, textual, triage
+from tessera.plans.bindings import bound
 
 
 def test_cells_hold_every_pair_within_reach(spark):
@@ -310,3 +311,10 @@ def test_mentions_and_folds_are_computed_once(spark):
     seen.value = 0
     places = spark.createDataFrame([(1, 0, "A", "district", "d1", 20.0, 88.0, 5), (1, 9, "B", "upazila", "d1", 20.1, 88.0, 3), (2, 0, "C", "district", "d2", 21.0, 89.0, 5)], "id long, start int, name string, level string, district string, lat double, lon double, precision_m int")
     assert extraction.best_place(places.mapInPandas(counted, places.schema)).count() == 2 and seen.value == 3
+
+
+def test_photo_hashes_of_large_ids(spark, tmp_path):
+    """The square of an id over 15 million times the factor is no long any more."""
+    ids = [0, 7, 65535, 5_999_999, 15_100_000, 35_999_996, 2**40 + 3]
+    spark.createDataFrame([(k, "purchase") for k in ids], "event_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    assert {r["photo_id"]: r["hash16"] for r in bound(spark, str(tmp_path), "photos").select("photo_id", "hash16").collect()} == {k: k * k * 40503 % 65536 for k in ids}

@@ -223,6 +223,21 @@ def test_nearest_pairs_are_those_of_all_pairs_without_keeping_all(spark):
         assert found.count() <= wanted.agg(F.sum("n")).collect()[0][0] < every.count()
 
 
+def test_pairs_carry_only_what_ranks_them(spark, monkeypatch):
+    """The tables of a search have the columns that rank pairs and, of a seeker, no more pairs than it wants."""
+    made = []
+    monkeypatch.setattr(matching, "stored", lambda df, name: made.append((name, session.stored(df, name))) or made[-1][1])
+    items, incidents = _crowd(spark, 300)
+    wanted = matching._wanted(items, items.selectExpr("signal_id", "1L AS event_id").where("signal_id % 7 = 0"), "signal_id", 3)
+    found = matching.nearest_spans(items.withColumn("more", F.lit("x")), incidents, "signal_id", "event_id", wanted, 305.0, 48.0)
+    assert set(found.columns) == {"signal_id", "event_id", "type", "etype", "km_apart", "hours_apart"}
+    assert all({"more", "status", "item_status"}.isdisjoint(df.columns) for _, df in made)
+    for name, df in made:
+        if name == "near-pairs":
+            assert df.where("k > n").count() == 0 and "started" not in df.columns
+    assert found.count() > 300
+
+
 def test_newest_incidents_in_windows_that_grow(spark):
     items, incidents = _crowd(spark, 400)
     far = haversine_km(F.col("lat"), F.col("lon"), F.col("elat"), F.col("elon"))
